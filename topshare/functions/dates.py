@@ -12,26 +12,21 @@ UNKNOWN = "UNKNOWN"
 ALL = "ALL"
 MONTH_WORD = r"(?i)\b(" + "|".join(fixed.MONTH_WORDS) + r")\b"
 
-# Which layouts a text can have, by its shape; keeps failed parse attempts rare.
-_SHAPES = {
-    r"^\d{4}/": ["yyyy/M/d"],
-    r"^\d{1,2}/\d{1,2}/\d{4}": ["M/d/yyyy", "d/M/yyyy"],
-    r"^\d{1,2}/\d{1,2}/\d{2}(\D|$)": ["M/d/yy"],
-    r"^\d{1,2} [A-Za-z]": ["d MMM yyyy", "d MMMM yyyy"],
-    r"^[A-Za-z]+ \d{1,2},": ["MMM d, yyyy", "MMMM d, yyyy"],
-    r"^[A-Za-z]+ \d{4}": ["MMM yyyy", "MMMM yyyy"],
-    r"^\d{8}": ["yyyyMMdd"],
-}
-
 
 def parse_timestamp(text: Column) -> Column:
-    """TIMESTAMP of ISO text or one of the fixed layouts, else null."""
+    """TIMESTAMP of ISO text or one of the fixed layouts, else null.
+
+    The shape decides the one layout to try: a failed attempt costs an exception.
+    """
     clean = stripped(text)
-    iso = clean.rlike(r"^\d{4}(-\d{1,2}(-\d{1,2}.*)?)?$")
-    parsed = F.when(iso, clean.try_cast("timestamp"))
-    for shape, layouts in _SHAPES.items():
-        tries = [F.try_to_timestamp(clean, F.lit(day + time)) for day in layouts for time in fixed.TIME_LAYOUTS]
-        parsed = parsed.when(clean.rlike(shape), F.coalesce(*tries))
+    parsed = F.when(clean.rlike(f"^{fixed.ISO_SHAPE}$"), clean.try_cast("timestamp"))
+    for layout, shape in fixed.DATE_LAYOUTS.items():
+        found = F.try_to_timestamp(clean, F.lit(layout + fixed.TIME_LAYOUT))
+        if layout.endswith("/yy"):
+            # Two digits are read as 2000..2099; from the pivot on the last century is meant.
+            early = F.regexp_extract(clean, r"^\d+/\d+/(\d{2})", 1).try_cast("int") >= fixed.TWO_DIGIT_YEAR_PIVOT
+            found = found - F.when(early, F.expr("INTERVAL 100 YEARS")).otherwise(F.expr("INTERVAL 0 YEARS"))
+        parsed = parsed.when(clean.rlike(f"^{shape}{fixed.TIME_SHAPE}$"), found)
     return parsed
 
 

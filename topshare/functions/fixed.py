@@ -32,21 +32,24 @@ NULL_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# Date layouts besides ISO, month first; day first only where the month would be above 12.
-DATE_LAYOUTS = [
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "M/d/yy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "MMM yyyy",
-    "MMMM yyyy",
-    "yyyyMMdd",
-]
-TIME_LAYOUTS = ["", " H:mm", " H:mm:ss"]
+# Date layouts besides ISO and the shape of the texts they read, a time of day may follow.
+# Month first; day first only where the month would be above 12.
+DATE_LAYOUTS = {
+    "yyyy/M/d": r"\d{4}/\d{1,2}/\d{1,2}",
+    "d/M/yyyy": r"(1[3-9]|[23]\d)/\d{1,2}/\d{4}",
+    "M/d/yyyy": r"\d{1,2}/\d{1,2}/\d{4}",
+    "M/d/yy": r"\d{1,2}/\d{1,2}/\d{2}",
+    "d MMM yyyy": r"\d{1,2} [A-Za-z]{3} \d{4}",
+    "d MMMM yyyy": r"\d{1,2} [A-Za-z]{4,9} \d{4}",
+    "MMM d, yyyy": r"[A-Za-z]{3} \d{1,2}, \d{4}",
+    "MMMM d, yyyy": r"[A-Za-z]{4,9} \d{1,2}, \d{4}",
+    "MMM yyyy": r"[A-Za-z]{3} \d{4}",
+    "MMMM yyyy": r"[A-Za-z]{4,9} \d{4}",
+    "yyyyMMdd": r"\d{8}",
+}
+ISO_SHAPE = r"\d{4}(-\d{1,2}(-\d{1,2}.*)?)?"
+TIME_LAYOUT, TIME_SHAPE = "[ H:mm[:ss]]", r"( \d{1,2}:\d{2}(:\d{2})?)?"
+TWO_DIGIT_YEAR_PIVOT = 69
 
 # Measures whose names contain one of these may be negative.
 NEGATIVE_ALLOWED = [

@@ -31,8 +31,8 @@ NUMBER_FIELDS = ["number", "plain", "coerced", "failed", "currency", "parenthese
 
 
 def stripped(text: Column) -> Column:
-    """Text without surrounding blanks (of any kind); blank text is null."""
-    return F.nullif(F.btrim(text, F.lit(BLANKS)), F.lit(""))
+    """Text without surrounding blanks of any kind."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def plain_number(text: Column) -> Column:
@@ -61,7 +61,7 @@ def parse_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             ("text", at("text")),
             ("plain", at("text").rlike(PLAIN_NUMBER)),
             # Plain numbers travel on as null, so the patterns below skip them.
-            ("rough", F.when(~at("text").rlike(PLAIN_NUMBER) & (F.lower(at("text")) != "nan"), at("text"))),
+            ("rough", F.when(~at("text").rlike(PLAIN_NUMBER) & ~F.lower(at("text")).isin("", "nan"), at("text"))),
         ],
     )
     carried = ["text", "plain", "rough"]

@@ -98,14 +98,15 @@ def column_counters(df: DataFrame) -> DataFrame:
         "column_name",
         "value",
         F.col("raw").isNotNull().alias("present"),
-        F.col("text").isNotNull().alias("filled"),
+        (F.col("text") != "").alias("filled"),
         F.col("text").rlike(PLAIN_INTEGER).alias("integer"),
         F.col("text").isin("True", "False", "TRUE", "FALSE", "true", "false").alias("true_false"),
-        F.when(under_percent, percent_share(F.col("raw"), True)["changed"])
-        .otherwise(percent_share(F.col("raw"), False)["changed"])
-        .alias("percent"),
-        F.when(under_date & F.col("text").isNotNull(), parse_timestamp(F.col("text")).isNotNull()).alias("dated"),
-        as_boolean(F.col("raw")).isNotNull().alias("logical"),
+        (
+            percent_share(F.col("text"), False)["changed"]
+            | (under_percent & F.coalesce((F.col("value.number") > 1) & (F.col("value.number") <= 100) & F.col("value.plain"), F.lit(False)))
+        ).alias("percent"),
+        F.when(under_date, parse_timestamp(F.col("text")).isNotNull()).alias("dated"),
+        as_boolean(F.col("text")).isNotNull().alias("logical"),
     )
     # Null tokens are no values: what they would have counted is masked out.
     count = lambda cond: F.count(F.when(F.col("filled") & cond, 1))
