@@ -16,23 +16,23 @@ from topshare.functions import fixed
 
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 PLAIN_INTEGER = r"^[+-]?\d{1,18}$"
-BLANKS = " \t\n\r\x0b\x0c\u0085\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+# Every blank other than the plain space.
+OTHER_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 MINUS = "\u2212"
 
-_CODE = r"(?U)\b(" + "|".join(fixed.CURRENCY_CODES) + r")\b"
-_PARENTHESES = r"(?s)^\((.*)\)$"
-_TRAILING_MINUS = r"(?s)^(.*)-$"
-_SUFFIX = r"\s*(mm|bn|k|m|b)\s*$"
+_ANY_CODE = "|".join(fixed.CURRENCY_CODES)
+_CODE = rf"(?U)\b({_ANY_CODE})\b"
+_SCALE_END = r"[kKmMbBnN]$"
 # A grouped, signed number if it is the whole text, else the last plain number.
-_SCALED = r"(?i)(?U)(^[+-]?\s*\d[\d.,'\s]*?|\d+(?:[.,]\d+)?)" + _SUFFIX
-_GROUPING = r"(?U)[\s']"
-
-NUMBER_FIELDS = ["number", "plain", "coerced", "failed", "currency", "parentheses", "scaled", "minus", "convention", "symbols"]
+_SCALED = r"(?i)(^[+-]?\s*\d[\d.,'\s]*?|\d+(?:[.,]\d+)?)\s*(mm|bn|k|m|b)$"
 
 
 def stripped(text: Column) -> Column:
-    """Text without surrounding blanks of any kind."""
-    return F.btrim(text, F.lit(BLANKS))
+    """Text with plain spaces for all blanks and none around it."""
+    return F.trim(F.translate(text, OTHER_BLANKS, " " * len(OTHER_BLANKS)))
 
 
 def plain_number(text: Column) -> Column:
@@ -42,136 +42,143 @@ def plain_number(text: Column) -> Column:
 
 
 def parse_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace each text column by a struct of NUMBER_FIELDS.
+    """Replace each text column by a struct.
 
     number: the value or null; plain: needed no cleaning; coerced: parsed after
-    cleaning; failed: non-blank text that is no number; symbols: currencies.
+    cleaning; failed: non-blank text that is no number; currency: removals;
+    parentheses, scaled, minus: what was found; convention: US or EU;
+    symbols: currencies.
+
+    The costly patterns are behind a simple one for a character they need.
+    The steps are kept few and small: the JVM does not compile a generated
+    method of more than 8,000 bytes, which costs more than any pattern.
     """
     others = [F.col(f"`{c}`") for c in df.columns if c not in columns]
 
-    def layer(frame: DataFrame, fields) -> DataFrame:
-        kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-        made = [expr.alias(f"{c}::{name}") for c in columns for name, expr in fields(lambda n, c=c: F.col(f"`{c}::{n}`"))]
-        return frame.select(*kept, *made)
+    def layer(frame: DataFrame, carried: list[str], made) -> DataFrame:
+        fields = []
+        for c in columns:
+            at = lambda n, c=c: F.col(f"`{c}::{n}`")
+            new = made(at)
+            fields += [at(n) for n in carried if n not in new]
+            fields += [expression.alias(f"{c}::{n}") for n, expression in new.items()]
+        return frame.select(*others, *fields)
 
     step = df.select(*others, *[stripped(F.col(f"`{c}`")).alias(f"{c}::text") for c in columns])
+    step = layer(step, ["text"], lambda at: {"plain": at("text").rlike(PLAIN_NUMBER)})
+    # Plain numbers travel on as null, so that the steps below skip them.
     step = layer(
         step,
-        lambda at: [
-            ("text", at("text")),
-            ("plain", at("text").rlike(PLAIN_NUMBER)),
-            # Plain numbers travel on as null, so the patterns below skip them.
-            ("rough", F.when(~at("text").rlike(PLAIN_NUMBER) & ~F.lower(at("text")).isin("", "nan"), at("text"))),
-        ],
+        ["text", "plain"],
+        lambda at: {"rough": F.when(~at("plain") & ~F.lower(at("text")).isin("", "nan"), at("text"))},
     )
-    carried = ["text", "plain", "rough"]
     step = layer(
         step,
-        lambda at: [
-            *[(n, at(n)) for n in carried],
-            ("minus", at("rough").contains(MINUS)),
-            ("signs", F.array_distinct(F.regexp_extract_all(at("rough"), F.lit(f"([{fixed.CURRENCY_SYMBOLS}])"), 1))),
-            ("bare", F.translate(at("rough"), MINUS + fixed.CURRENCY_SYMBOLS, "-")),
-        ],
+        ["text", "plain", "rough"],
+        lambda at: {"bare": F.translate(at("rough"), MINUS + fixed.CURRENCY_SYMBOLS, "-")},
     )
-    carried += ["minus", "signs"]
     step = layer(
         step,
-        lambda at: [
-            *[(n, at(n)) for n in carried],
-            ("code", F.nullif(F.regexp_extract(at("bare"), _CODE, 1), F.lit(""))),
-            ("bare", F.btrim(F.regexp_replace(at("bare"), _CODE, ""), F.lit(BLANKS))),
-        ],
+        ["text", "plain", "rough", "bare"],
+        lambda at: {
+            "signed": F.length(at("bare")) < F.length(at("rough")),
+            "code": F.when(
+                at("bare").rlike(_ANY_CODE), F.nullif(F.regexp_extract(at("bare"), _CODE, 1), F.lit(""))
+            ),
+        },
     )
-    carried += ["code"]
+    kept = ["text", "plain", "rough", "signed", "code"]
     step = layer(
         step,
-        lambda at: [
-            *[(n, at(n)) for n in carried],
-            ("parentheses", at("bare").rlike(_PARENTHESES)),
-            (
-                "bare",
-                F.btrim(
-                    F.regexp_replace(F.btrim(F.regexp_replace(at("bare"), _PARENTHESES, "-$1"), F.lit(BLANKS)), _TRAILING_MINUS, "-$1"),
-                    F.lit(BLANKS),
-                ),
-            ),
-        ],
+        kept,
+        lambda at: {
+            "bare": F.trim(F.when(at("code").isNotNull(), F.regexp_replace(at("bare"), _CODE, "")).otherwise(at("bare")))
+        },
     )
-    carried += ["parentheses"]
     step = layer(
         step,
-        lambda at: [
-            *[(n, at(n)) for n in carried],
-            ("suffix", F.nullif(F.lower(F.regexp_extract(at("bare"), _SCALED, 2)), F.lit(""))),
-            ("bare", at("bare")),
-        ],
+        kept,
+        lambda at: {
+            "parentheses": at("bare").startswith("(") & at("bare").endswith(")"),
+            "bare": F.trim(F.regexp_replace(at("bare"), r"(?s)^\((.*)\)$", "-$1")),
+        },
     )
-    carried += ["suffix"]
+    kept.append("parentheses")
     step = layer(
         step,
-        lambda at: [
-            *[(n, at(n)) for n in carried],
-            (
-                "bare",
-                F.regexp_replace(
-                    F.when(at("suffix").isNotNull(), F.regexp_extract(at("bare"), _SCALED, 1)).otherwise(at("bare")),
-                    _GROUPING,
-                    "",
-                ),
-            ),
-        ],
+        kept,
+        lambda at: {
+            "bare": F.when(
+                at("bare").endswith("-"),
+                F.concat(F.lit("-"), F.trim(F.substring(at("bare"), F.lit(1), F.length(at("bare")) - 1))),
+            ).otherwise(at("bare"))
+        },
     )
     step = layer(
         step,
-        lambda at: [
-            *[(n, at(n)) for n in carried],
-            ("bare", at("bare")),
-            (
-                "convention",
-                F.when(at("bare").contains(".") & at("bare").contains(","), F.when(at("bare").rlike(r"\.[^,]*$") & ~at("bare").rlike(r",[^.]*$"), "US").otherwise("EU"))
-                .when(at("bare").contains(","), F.when(at("bare").rlike(r",\d{1,2}$"), "EU").otherwise("US")),
-            ),
-        ],
+        [*kept, "bare"],
+        lambda at: {
+            "suffix": F.when(at("bare").rlike(_SCALE_END), F.lower(F.regexp_extract(at("bare"), _SCALED, 2)))
+        },
     )
-    carried += ["convention"]
+    kept.append("suffix")
     step = layer(
         step,
-        lambda at: [
-            *[(n, at(n)) for n in carried],
-            (
-                "parsed",
-                plain_number(
-                    F.when(at("convention") == "US", F.translate(at("bare"), ",", ""))
-                    .when(at("convention") == "EU", F.translate(at("bare"), ",.", "."))
-                    .otherwise(at("bare"))
-                ),
-            ),
-        ],
+        kept,
+        lambda at: {
+            "bare": F.translate(
+                F.when(at("suffix") != "", F.regexp_extract(at("bare"), _SCALED, 1)).otherwise(at("bare")), " '", ""
+            )
+        },
+    )
+    step = layer(
+        step,
+        [*kept, "bare"],
+        lambda at: {
+            # With both marks the last one is the decimal mark; a comma alone is one before one or two digits.
+            "convention": F.when(
+                at("bare").contains(","),
+                F.when(at("bare").rlike(r"\..*,[^.]*$|^[^.]*,\d{1,2}$"), F.lit("EU")).otherwise(F.lit("US")),
+            )
+        },
+    )
+    kept.append("convention")
+    step = layer(
+        step,
+        kept,
+        lambda at: {
+            "bare": F.when(at("convention") == "US", F.translate(at("bare"), ",", ""))
+            .when(at("convention") == "EU", F.translate(at("bare"), ",.", "."))
+            .otherwise(at("bare"))
+        },
+    )
+    step = layer(
+        step, kept, lambda at: {"parsed": F.when(at("bare").rlike(PLAIN_NUMBER), at("bare").try_cast("double"))}
     )
-
-    def factor(suffix: Column) -> Column:
-        chain = F
-        for name, value in fixed.SCALES.items():
-            chain = chain.when(suffix == name, F.lit(value))
-        return chain.otherwise(F.lit(1.0))
 
     def finished(c: str) -> Column:
         at = lambda n: F.col(f"`{c}::{n}`")
-        yes = lambda cond: F.coalesce(cond, F.lit(False))
-        parsed = at("parsed") * factor(at("suffix"))
+        yes = lambda condition: F.coalesce(condition, F.lit(False))
+        factor = F
+        for name, value in fixed.SCALES.items():
+            factor = factor.when(at("suffix") == name, F.lit(value))
+        symbols = F.array_distinct(F.regexp_extract_all(at("rough"), F.lit(f"([{fixed.CURRENCY_SYMBOLS}])"), 1))
+        signs = F.when(at("signed"), symbols)
         return F.struct(
-            F.when(at("plain"), at("text").try_cast("double")).otherwise(parsed).alias("number"),
+            F.when(at("plain"), at("text").try_cast("double"))
+            .otherwise(at("parsed") * factor.otherwise(F.lit(1.0)))
+            .alias("number"),
             yes(at("plain")).alias("plain"),
             at("parsed").isNotNull().alias("coerced"),
             (at("rough").isNotNull() & at("parsed").isNull()).alias("failed"),
             # A symbol and a code in one value are two removals.
-            (F.when(F.size(at("signs")) > 0, 1).otherwise(0) + F.when(at("code").isNotNull(), 1).otherwise(0)).alias("currency"),
+            (yes(at("signed")).cast("int") + at("code").isNotNull().cast("int")).alias("currency"),
             yes(at("parentheses")).alias("parentheses"),
-            at("suffix").isNotNull().alias("scaled"),
-            yes(at("minus")).alias("minus"),
+            yes(at("suffix") != "").alias("scaled"),
+            yes(at("rough").contains(MINUS)).alias("minus"),
             at("convention").alias("convention"),
-            F.when(at("rough").isNotNull(), F.concat(at("signs"), F.filter(F.array(at("code")), lambda s: s.isNotNull()))).alias("symbols"),
+            signs.alias("symbols"),
+            at("code").alias("code"),
         ).alias(c)
 
     return step.select(*others, *[finished(c) for c in columns]).select(*[F.col(f"`{c}`") for c in df.columns])
@@ -180,7 +187,7 @@ def parse_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def percent_share(text: Column, name_says_percent: bool) -> Column:
     """STRUCT(number, changed): "12%" is 0.12; under a percent header 1 < x <= 100 is x / 100."""
     clean = stripped(text)
-    marked = F.when(clean.endswith("%"), plain_number(clean.substr(F.lit(1), F.length(clean) - 1)))
+    marked = F.when(clean.endswith("%"), plain_number(F.substring(clean, F.lit(1), F.length(clean) - 1)))
     number = plain_number(text)
     large = (number > 1) & (number <= 100) if name_says_percent else F.lit(False)
     return F.struct(

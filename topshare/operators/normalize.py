@@ -90,47 +90,48 @@ def column_counters(df: DataFrame) -> DataFrame:
     long = long.select("column_name", without_null_tokens(F.col("raw")).alias("raw"), F.col("raw").alias("value"))
 
     percent_names = [c for c in names if says_percent(c)]
-    date_names = [c for c in names if c in dated]
-    clean = parse_numbers(long, ["value"]).withColumn("text", stripped(F.col("raw")))
     under_percent = F.col("column_name").isin(percent_names) if percent_names else F.lit(False)
-    under_date = F.col("column_name").isin(date_names) if date_names else F.lit(False)
-    seen = clean.select(
-        "column_name",
-        "value",
-        F.col("raw").isNotNull().alias("present"),
-        (F.col("text") != "").alias("filled"),
-        F.col("text").rlike(PLAIN_INTEGER).alias("integer"),
-        F.col("text").isin("True", "False", "TRUE", "FALSE", "true", "false").alias("true_false"),
-        (
-            percent_share(F.col("text"), False)["changed"]
-            | (under_percent & F.coalesce((F.col("value.number") > 1) & (F.col("value.number") <= 100) & F.col("value.plain"), F.lit(False)))
-        ).alias("percent"),
-        F.when(under_date, parse_timestamp(F.col("text")).isNotNull()).alias("dated"),
-        as_boolean(F.col("text")).isNotNull().alias("logical"),
-    )
-    # Null tokens are no values: what they would have counted is masked out.
-    count = lambda cond: F.count(F.when(F.col("filled") & cond, 1))
-    return seen.groupBy("column_name").agg(
-        F.count(F.when(F.col("present"), 1)).alias("n_present"),
+    text, value = F.col("text"), F.col("value")
+    clean = parse_numbers(long, ["value"]).withColumn("text", stripped(F.col("raw")))
+    large = value["plain"] & (value["number"] > 1) & (value["number"] <= 100)
+    # A null token is no value: nothing in it counts.
+    count = lambda cond: F.count(F.when((text != "") & cond, 1))
+    counted = clean.groupBy("column_name").agg(
+        F.count("raw").alias("n_present"),
         count(F.lit(True)).alias("n_filled"),
-        count(F.col("value.plain")).alias("n_plain"),
-        count(F.col("integer")).alias("n_integer"),
-        count(F.col("true_false")).alias("n_true_false"),
-        count(F.col("value.coerced")).alias("successful_coercions"),
-        count(F.col("value.failed")).alias("failed_numeric_coercions"),
-        F.coalesce(F.sum(F.when(F.col("filled"), F.col("value.currency"))), F.lit(0)).alias("currency_removed"),
-        count(F.col("value.parentheses")).alias("parentheses_to_negative"),
-        count(F.col("value.scaled")).alias("scaling_applied"),
-        count(F.col("value.minus")).alias("unicode_minus_normalized"),
-        count(F.col("percent")).alias("percent_normalized"),
-        count(F.col("dated")).alias("datetime_parsed"),
-        count(~F.col("dated")).alias("parsing_errors"),
-        count(F.col("logical")).alias("boolean_coerced"),
-        F.array_sort(F.collect_set(F.when(F.col("filled"), F.col("value.convention")))).alias("conventions"),
-        # At most nine distinct currencies exist; per value there are at most nine.
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("filled"), F.col("value.symbols")))))).alias(
-            "currencies"
-        ),
+        count(value["plain"]).alias("n_plain"),
+        count(text.rlike(PLAIN_INTEGER)).alias("n_integer"),
+        count(text.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias("n_true_false"),
+        count(value["coerced"]).alias("successful_coercions"),
+        count(value["failed"]).alias("failed_numeric_coercions"),
+        F.coalesce(F.sum(F.when(text != "", value["currency"])), F.lit(0)).alias("currency_removed"),
+        count(value["parentheses"]).alias("parentheses_to_negative"),
+        count(value["scaled"]).alias("scaling_applied"),
+        count(value["minus"]).alias("unicode_minus_normalized"),
+        count(percent_share(text, False)["changed"] | (under_percent & large)).alias("percent_normalized"),
+        count(as_boolean(text).isNotNull()).alias("boolean_coerced"),
+        # Two conventions and nine currencies exist: these lists are short.
+        F.array_sort(F.collect_set(F.when(text != "", value["convention"]))).alias("conventions"),
+        F.collect_set(F.when(text != "", value["symbols"])).alias("symbols"),
+        F.collect_set(F.when(text != "", value["code"])).alias("codes"),
+    )
+    currencies = F.array_sort(F.array_union(F.flatten("symbols"), F.col("codes")))
+    counted = counted.withColumn("currencies", currencies).drop("symbols", "codes")
+    return counted.join(_date_counters(df, dated), "column_name", "left") if dated else counted.withColumns(
+        {"datetime_parsed": F.lit(0).cast("bigint"), "parsing_errors": F.lit(0).cast("bigint")}
+    )
+
+
+def _date_counters(df: DataFrame, dated: list[str]) -> DataFrame:
+    """Parsed and failed dates of the columns that are called dates."""
+    texts = [without_null_tokens(F.col(f"`{c}`").cast("string")).alias(c) for c in dated]
+    long = df.select(*texts).unpivot([], dated, "column_name", "raw")
+    is_date = parse_timestamp(F.col("raw")).isNotNull()
+    return (
+        long.where(stripped(F.col("raw")) != "")
+        .select("column_name", is_date.alias("is_date"))
+        .groupBy("column_name")
+        .agg(F.count(F.when(F.col("is_date"), 1)).alias("datetime_parsed"), F.count(F.when(~F.col("is_date"), 1)).alias("parsing_errors"))
     )
 
 

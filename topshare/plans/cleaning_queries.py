@@ -78,6 +78,7 @@ def coerce_currency(spark, d):
         "amount.minus",
         "amount.convention",
         F.array_join("amount.symbols", "|").alias("symbols"),
+        "amount.code",
     )
 
 
@@ -85,7 +86,7 @@ ORACLES["coerce_currency"] = f"""SELECT o_orderkey, CAST(round({_SQL_NUMBER}, 2)
 {_SQL_FORM} NOT IN (7, 8) AS coerced, {_SQL_FORM} = 7 AS failed, CAST({_SQL_FORM} IN (0, 1, 5) AS INTEGER) AS currency,
 {_SQL_FORM} = 2 AS parentheses, {_SQL_FORM} = 6 AS scaled, {_SQL_FORM} = 4 AS minus,
 CASE WHEN {_SQL_FORM} = 1 THEN 'EU' WHEN {_SQL_FORM} IN (0, 2, 3, 4) AND {_SQL_CENTS} >= 100000 THEN 'US' END AS convention,
-CASE {_SQL_FORM} WHEN 0 THEN '$' WHEN 1 THEN '€' WHEN 5 THEN 'CHF' WHEN 8 THEN NULL ELSE '' END AS symbols FROM orders"""
+CASE {_SQL_FORM} WHEN 0 THEN '$' WHEN 1 THEN '€' END AS symbols, CASE {_SQL_FORM} WHEN 5 THEN 'CHF' END AS code FROM orders"""
 
 
 def coerce_percent(spark, d):
