@@ -1,0 +1,110 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from topshare.operators import sampling
+from topshare.operators.numbering import number_rows
+
+
+def digest(*parts):
+    return hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    # One group holds more than a third of the rows.
+    data = [(i, "hot" if i % 5 < 2 else f"g{i % 17}", float((i * 7919) % 1009), 2020 + i % 3) for i in range(1000)]
+    return spark.createDataFrame(data, "id bigint, grp string, value double, year int").cache()
+
+
+def ids(frame):
+    return sorted(r["id"] for r in frame.select("id").collect())
+
+
+def test_random_sample(table):
+    want = sorted(sorted(range(1000), key=lambda i: digest(42, i))[:200])
+    assert ids(sampling.random_sample(table, ["id"], 20)) == want
+    assert ids(sampling.random_sample(table.repartition(11), ["id"], 20)) == want
+    assert ids(sampling.random_sample(table, ["id"], 20, seed=7)) != want
+    assert ids(sampling.random_sample(table, ["id"], 0.05)) == []
+    assert len(ids(sampling.random_sample(table, ["id"], 100))) == 1000
+
+
+def test_stratified_sample(table):
+    groups = {}
+    for r in table.collect():
+        groups.setdefault(r["grp"], []).append(r["id"])
+    want = sorted(i for g in groups.values() for i in sorted(g, key=lambda i: digest(42, i))[: round(len(g) * 0.15)])
+    assert ids(sampling.stratified_sample(table, "grp", ["id"], 15)) == want
+
+
+def test_time_balanced_sample(table):
+    found = sampling.time_balanced_sample(table, "year", ["id"], 10)
+    assert {r["year"]: r["count"] for r in found.groupBy("year").count().collect()} == {2020: 10, 2021: 10, 2022: 10}
+    assert sampling.time_balanced_sample(table, "year", ["id"], 5000).count() == 1000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_top_entities_sample(table):
+    found = sampling.top_entities_sample(table, "grp", "value", 2)
+    names = [r["grp"] for r in sampling.top_entities(table, "grp", "value", 2).collect()]
+    assert names[0] == "hot"
+    assert {r["grp"] for r in found.collect()} == set(names)
+    assert found.count() == table.where(F.col("grp").isin(names)).count()
+
+
+def test_edge_cases(spark):
+    data = [(i, float(i), None if i == 50 else "plain" if i % 10 else "odd!") for i in range(100)]
+    df = spark.createDataFrame(data, "id int, value double, label string")
+    found = sampling.edge_cases_sample(df, ["id"], ["value"], ["label"])
+    assert ids(found) == sorted({50, 0, 1, 98, 99, 10, 20})
+
+
+def test_edge_cases_without_nulls_get_some(spark):
+    df = spark.createDataFrame([(i, float(i), "x") for i in range(100)], "id int, value double, label string")
+    found = sampling.edge_cases_sample(df, ["id"], ["value"], ["label"])
+    assert found.where("value is null").count() == 1 and found.where("label is null").count() == 1
+    quiet = sampling.edge_cases_sample(df, ["id"], ["value"], ["label"], force_nulls=False)
+    assert quiet.where("value is null or label is null").count() == 0
+    # Nothing to show: a tenth of the rows instead.
+    assert sampling.edge_cases_sample(df, ["id"], [], ["label"], force_nulls=False).count() == 10
+
+
+def test_random_nulls(table):
+    found = sampling.add_random_nulls(table, ["id"], 12)
+    counts = found.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in found.columns]).first().asDict()
+    assert counts == {"id": 0, "grp": 120, "value": 120, "year": 120}
+    assert found.where("grp is null and value is null and year is null").count() < 30
+    one = sampling.add_random_nulls(table.where("id < 3"), ["id"], 1, ["value"])
+    assert one.where("value is null").count() == 1
+
+
+@pytest.mark.parametrize("pattern", ["first_n", "last_n", "every_nth"])
+def test_column_null_patterns(table, pattern):
+    found = sampling.add_column_nulls(table, "value", ["id"], 7, pattern)
+    hit = [r["id"] for r in found.where("value is null").orderBy("id").collect()]
+    assert hit == {"first_n": list(range(70)), "last_n": list(range(930, 1000)), "every_nth": list(range(0, 1000, 14))[:70]}[pattern]
+    assert sampling.add_column_nulls(table, "value", ["id"], 7).where("value is null").count() == 70
+
+
+def test_bad_patterns(table):
+    with pytest.raises(ValueError):
+        sampling.add_column_nulls(table, "value", ["id"], 7, "sometimes")
+    with pytest.raises(ValueError):
+        sampling.add_column_nulls(table, "nothing", ["id"])
+
+
+def test_row_numbers_by_ranges(table, rows):
+    order = [F.col("value").desc(), F.col("id").asc()]
+    for within in ([], ["grp"]):
+        small = number_rows(table, order, within)
+        large = number_rows(table, order, within, max_window_rows=0, rows_per_range=37)
+        assert rows(small) == rows(large)
+
+
+def test_row_numbers_with_null_groups(spark, rows):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a")], "id int, g string")
+    numbered = number_rows(df, [F.col("id").asc()], ["g"], max_window_rows=0)
+    assert rows(numbered) == rows(number_rows(df, [F.col("id").asc()], ["g"]))
