@@ -30,34 +30,37 @@ def parse_timestamp(text: Column) -> Column:
     return parsed
 
 
-def whole_part(text: Column) -> Column:
-    """Integer part of a plain number, else null."""
-    return plain_number(text).try_cast("bigint")
+def whole_part(column: Column, text: bool = True) -> Column:
+    """Integer part of a number (``text`` says whether it is written as text), else null."""
+    if text:
+        return plain_number(column).try_cast("bigint")
+    number = column.cast("double")
+    return F.when(~F.isnan(number), number.try_cast("bigint"))
 
 
-def month_number(text: Column) -> Column:
+def month_number(month: Column, text: bool = True) -> Column:
     """1..12 from a number or an English month name or abbreviation, else null."""
+    number = whole_part(month, text)
+    in_range = F.when(number.between(1, 12), number)
+    if not text:
+        return in_range
     names = {**fixed.MONTHS, **{name[:3]: number for name, number in fixed.MONTHS.items()}}
     lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    number = whole_part(text)
-    return F.when(number.between(1, 12), number).otherwise(
-        F.element_at(lookup, F.lower(stripped(text))).cast("bigint")
-    )
+    return F.coalesce(in_range, F.element_at(lookup, F.lower(stripped(month))).cast("bigint"))
 
 
-def quarter_number(text: Column) -> Column:
+def quarter_number(quarter: Column, text: bool = True) -> Column:
     """1..4 from a number or Q1..Q4, else null."""
-    number = whole_part(text)
-    named = F.regexp_extract(F.upper(stripped(text)), "^Q([1-4])$", 1).try_cast("bigint")
-    return F.when(number.between(1, 4), number).otherwise(named)
+    number = whole_part(quarter, text)
+    in_range = F.when(number.between(1, 4), number)
+    if not text:
+        return in_range
+    return F.coalesce(in_range, F.regexp_extract(F.upper(stripped(quarter)), "^Q([1-4])$", 1).try_cast("bigint"))
 
 
 def month_like(text: Column) -> Column:
-    return F.coalesce(whole_part(text).between(1, 12), F.lit(False)) | F.coalesce(text.rlike(MONTH_WORD), F.lit(False))
-
-
-def quarter_like(text: Column) -> Column:
-    return quarter_number(text).isNotNull()
+    """A number from 1 to 12, or any text with an English month word in it."""
+    return F.coalesce(whole_part(text).between(1, 12), F.lit(False)) | text.rlike(MONTH_WORD)
 
 
 def date_key(when: Column) -> Column:
@@ -65,17 +68,17 @@ def date_key(when: Column) -> Column:
     return F.coalesce(when.cast("date").cast("string"), F.lit(UNKNOWN))
 
 
-def year_key(year: Column) -> Column:
-    return F.coalesce(whole_part(year.cast("string")).cast("string"), F.lit(UNKNOWN))
+def year_key(year: Column, text: bool = True) -> Column:
+    return F.coalesce(whole_part(year, text).cast("string"), F.lit(UNKNOWN))
 
 
-def year_month_key(year: Column, month: Column) -> Column:
-    y = whole_part(year.cast("string")).cast("string")
-    m = F.lpad(month_number(month.cast("string")).cast("string"), 2, "0")
+def year_month_key(year: Column, month: Column, year_text: bool = True, month_text: bool = True) -> Column:
+    y = whole_part(year, year_text).cast("string")
+    m = F.lpad(month_number(month, month_text).cast("string"), 2, "0")
     return F.coalesce(F.concat(y, F.lit("-M"), m), F.lit(UNKNOWN))
 
 
-def year_quarter_key(year: Column, quarter: Column) -> Column:
-    y = whole_part(year.cast("string")).cast("string")
-    q = quarter_number(quarter.cast("string")).cast("string")
+def year_quarter_key(year: Column, quarter: Column, year_text: bool = True, quarter_text: bool = True) -> Column:
+    y = whole_part(year, year_text).cast("string")
+    q = quarter_number(quarter, quarter_text).cast("string")
     return F.coalesce(F.concat(y, F.lit("-Q"), q), F.lit(UNKNOWN))

@@ -27,33 +27,32 @@ def number_rows(
     window; larger ones are range-partitioned in that order, numbered inside
     each range, and shifted by the counts of the ranges before.
     """
-    groups = [F.col(f"`{c}`") for c in within]
-    sizes = df.groupBy(*groups).count() if groups else df.agg(F.count(F.lit(1)).alias("count"))
-    found = sizes.agg(F.max("count").alias("largest"), F.sum("count").alias("all")).first()
+    # One non-null key, equal for equal groups, null groups included.
+    group = F.struct(*[F.col(f"`{c}`") for c in within]) if within else F.lit(0)
+    keyed = df.withColumn("__group", group)
+    found = keyed.groupBy("__group").count().agg(F.max("count").alias("largest"), F.sum("count").alias("all")).first()
     if (found["largest"] or 0) <= max_window_rows:
-        order = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(*order_by)
-        return df.withColumn(name, F.row_number().over(order).cast("bigint"))
+        order = Window.partitionBy("__group").orderBy(*order_by)
+        return keyed.withColumn(name, F.row_number().over(order).cast("bigint")).drop("__group")
 
     ranges = max(
         int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(found["all"] / rows_per_range)
     )
-    cut = df.repartitionByRange(ranges, *groups, *order_by).withColumn("__slice", F.spark_partition_id())
+    cut = keyed.repartitionByRange(ranges, F.col("__group"), *order_by).withColumn("__slice", F.spark_partition_id())
     rows, _path = materialize(cut, "numbered")
-    keys = ["__slice", *within]
-    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    keys = ["__slice", "__group"]
+    before = Window.partitionBy("__group").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range and group.
     shifts = (
         rows.groupBy(*keys)
         .count()
         .select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
     )
+    # The window has already placed the rows by the keys of the join.
     local = Window.partitionBy(*keys).orderBy(*order_by)
     numbered = rows.withColumn("__local", F.row_number().over(local).cast("bigint"))
-    joined = numbered.alias("r").join(
-        shifts.alias("s"), [F.col(f"r.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in keys]
-    )
-    return joined.select(
-        *[F.col(f"r.`{c}`") for c in df.columns], (F.col("r.__local") + F.col("s.__before")).alias(name)
+    return numbered.join(shifts, keys).select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("__local") + F.col("__before")).alias(name)
     )
 
 
@@ -64,17 +63,19 @@ def row_hash(keys: Sequence[str], seed: int | str) -> Column:
 
 
 def hash_cutoffs(hashed: DataFrame, groups: Sequence[str], quota: Column, hash_name: str = "h") -> DataFrame:
-    """Per group, the hash of its ``quota``-th row in hash order, as ``cutoff``.
+    """Per group, the hash of its ``quota``-th row in hash order, as ``cutoff`` (this starts jobs).
 
     ``quota`` is an expression of the group size ``n``.  Rows are counted per
     group and hash prefix first; only the one prefix in which the quota ends is
     ranked, so a group that holds a third of all rows is still 65,536 parts.
     Groups with quota 0 are absent.
+
+    Both small tables (a row per group) are written out: the planner then knows
+    their size and broadcasts them if that is small, or else joins by sorting.
     """
     bucket = F.substring(hash_name, 1, _BUCKET_DIGITS).alias("bucket")
     narrow = hashed.select(*groups, hash_name, bucket)
-    in_order = Window.partitionBy(*groups).orderBy("bucket")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ending = (
         narrow.groupBy(*groups, "bucket")
         .agg(F.count(F.lit(1)).alias("size"))
@@ -89,10 +90,12 @@ def hash_cutoffs(hashed: DataFrame, groups: Sequence[str], quota: Column, hash_n
         .where((F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("size")))
         .select(*groups, "bucket", (F.col("quota") - F.col("before")).alias("rest"))
     )
+    ending, _path = materialize(ending, "quota-ends")
     in_bucket = Window.partitionBy(*groups).orderBy(hash_name)
-    return (
+    cutoffs = (
         narrow.join(ending, [*groups, "bucket"])
         .withColumn("pos", F.row_number().over(in_bucket))
         .where(F.col("pos") == F.col("rest"))
         .select(*groups, F.col(hash_name).alias("cutoff"))
     )
+    return materialize(cutoffs, "cutoffs")[0]

@@ -32,77 +32,90 @@ class TimeSpec:
     warnings: list[str] = field(default_factory=list)
 
 
-def _checks(df: DataFrame) -> list[tuple[str, str, Column, Column]]:
-    """(column, kind, valid, hint) for every column that could carry time."""
-    rows = []
-    for f in df.schema.fields:
-        column, text = F.col(f"`{f.name}`"), F.col(f"`{f.name}`").cast("string")
+def _kinds(df: DataFrame) -> list[tuple[int, str, str, bool]]:
+    """(position, column, kind, is text) of every column that could carry time.
+
+    A text column whose name says nothing, or quarter, is looked at for month
+    words too: they come before a quarter name.
+    """
+    found = []
+    for i, f in enumerate(df.schema.fields):
         is_text = isinstance(f.dataType, T.StringType)
+        is_time = isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
         kind = time_kind(f.name)
-        named = F.lit(True)
-        if kind == "date":
-            if is_text:
-                valid = dates.parse_timestamp(column).isNotNull()
-            elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-                valid = column.isNotNull()
-            else:
-                continue
-        elif kind == "year":
-            valid = F.coalesce(dates.plain_number(text).between(fixed.YEAR_MIN, fixed.YEAR_MAX), F.lit(False))
-        elif kind == "month":
-            valid = dates.month_like(text)
-        elif kind == "quarter" and not is_text:
-            valid = dates.quarter_like(text)
-        elif is_text:
-            # Month words in the data come before a quarter name.
-            rows.append((f.name, "month", dates.month_like(text), text.rlike(dates.MONTH_WORD)))
-            if kind != "quarter":
-                continue
-            valid = dates.quarter_like(text)
-        else:
+        if kind == "date" and not (is_text or is_time):
             continue
-        rows.append((f.name, kind, valid, named))
-    return rows
+        if is_text and kind in (None, "quarter"):
+            found.append((i, f.name, "month", True))
+        if kind:
+            found.append((i, f.name, kind, is_text))
+    return found
+
+
+_CHECKS = (
+    "position int, column_name string, kind string, by_name boolean, n bigint, n_valid bigint, hinted boolean, "
+    "is_candidate boolean"
+)
 
 
 def time_checks(df: DataFrame) -> DataFrame:
     """column_name, kind, n, n_valid, is_candidate: one pass over the columns in question.
 
-    A column counts if at least 70% of its non-null values fit.
+    A column counts if at least 70% of its non-null values fit.  The columns
+    are unpivoted, so the plan has the same size for any number of them.
     """
-    rows = _checks(df)
-    schema = "position int, column_name string, kind string, n bigint, n_valid bigint, hinted boolean"
-    if not rows:
-        return df.sparkSession.createDataFrame([], schema + ", is_candidate boolean")
-    figures = []
-    for i, (name, _kind, valid, hint) in enumerate(rows):
-        present = F.col(f"`{name}`").isNotNull()
-        figures += [
-            F.count(F.when(present, 1)).alias(f"n{i}"),
-            F.count(F.when(present & valid, 1)).alias(f"v{i}"),
-            F.coalesce(F.max(present & hint), F.lit(False)).alias(f"h{i}"),
-        ]
-    lines = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(name).alias("column_name"),
-            F.lit(kind).alias("kind"),
-            F.col(f"n{i}").alias("n"),
-            F.col(f"v{i}").alias("n_valid"),
-            F.col(f"h{i}").alias("hinted"),
-        )
-        for i, (name, kind, _v, _h) in enumerate(rows)
-    ]
-    table = df.agg(*figures).select(F.inline(F.array(*lines)))
-    enough = (F.col("n") > 0) & F.col("hinted") & (F.col("n_valid") >= F.col("n") * fixed.VALID_SHARE)
-    return table.withColumn("is_candidate", enough)
+    kinds = _kinds(df)
+    if not kinds:
+        return df.sparkSession.createDataFrame([], _CHECKS)
+    names = list(dict.fromkeys(name for _, name, _, _ in kinds))
+    long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names]).unpivot([], names, "column_name", "text")
+    text = F.col("text")
+
+    def valid(kind: str, check: Column, only_text: bool | None = None) -> Column:
+        chosen = [n for _, n, k, is_text in kinds if k == kind and only_text in (None, is_text)]
+        return F.when(F.col("column_name").isin(chosen), check) if chosen else F.lit(None).cast("boolean")
+
+    flags = {
+        "date": F.coalesce(valid("date", dates.parse_timestamp(text).isNotNull(), True), valid("date", text.isNotNull(), False)),
+        "year": valid("year", dates.plain_number(text).between(fixed.YEAR_MIN, fixed.YEAR_MAX)),
+        "month": valid("month", dates.month_like(text)),
+        "quarter": valid("quarter", dates.quarter_number(text).isNotNull()),
+        "hint": valid("month", text.rlike(dates.MONTH_WORD), True),
+    }
+    counted = (
+        long.where(text.isNotNull())
+        .select("column_name", *[flag.alias(k) for k, flag in flags.items()])
+        .groupBy("column_name")
+        .agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col(k), 1)).alias(k) for k in flags])
+    )
+    # A month column by name needs no month word; any other does.
+    facts = [(i, name, kind, not (kind == "month" and time_kind(name) != "month")) for i, name, kind, _ in kinds]
+    columns = df.sparkSession.createDataFrame(facts, "position int, column_name string, kind string, by_name boolean")
+    picked = F.coalesce(
+        *[F.when(F.col("kind") == k, F.col(k)) for k in KINDS],
+        F.lit(0),
+    )
+    joined = columns.join(counted, "column_name", "left").fillna(0, ["n", *flags])
+    hinted = F.col("by_name") | (F.col("hint") > 0)
+    enough = (F.col("n") > 0) & hinted & (picked >= F.col("n") * fixed.VALID_SHARE)
+    return joined.select(
+        "position",
+        "column_name",
+        "kind",
+        "by_name",
+        "n",
+        picked.alias("n_valid"),
+        hinted.alias("hinted"),
+        enough.alias("is_candidate"),
+    )
 
 
 def detect_time(df: DataFrame) -> TimeSpec:
     """Decide the grain from names and one aggregate (this starts a job)."""
     found: dict[str, list[str]] = {k: [] for k in KINDS}
     hinted: set[str] = set()
-    for row in time_checks(df).collect():
+    # At most two rows per column.
+    for row in sorted(time_checks(df).collect(), key=lambda r: (r["position"], KINDS.index(r["kind"]))):
         if row["kind"] == "quarter" and row["column_name"] in hinted:
             continue
         if row["kind"] == "month" and row["hinted"]:
@@ -132,16 +145,14 @@ def period_key(df: DataFrame, spec: TimeSpec) -> Column:
     if spec.grain == "none":
         return F.lit(dates.ALL)
     at = {k: F.col(f"`{c}`") for k, c in spec.columns.items()}
+    text = {k: isinstance(df.schema[c].dataType, T.StringType) for k, c in spec.columns.items()}
     if spec.grain == "date":
-        name = spec.columns["date"]
-        if isinstance(df.schema[name].dataType, T.StringType):
-            return dates.date_key(dates.parse_timestamp(at["date"]))
-        return dates.date_key(at["date"])
+        return dates.date_key(dates.parse_timestamp(at["date"]) if text["date"] else at["date"])
     if spec.grain == "year_month":
-        return dates.year_month_key(at["year"], at["month"])
+        return dates.year_month_key(at["year"], at["month"], text["year"], text["month"])
     if spec.grain == "year_quarter":
-        return dates.year_quarter_key(at["year"], at["quarter"])
-    return dates.year_key(at["year"])
+        return dates.year_quarter_key(at["year"], at["quarter"], text["year"], text["quarter"])
+    return dates.year_key(at["year"], text["year"])
 
 
 def with_period_key(df: DataFrame, spec: TimeSpec, name: str = "period_key") -> DataFrame:

@@ -13,15 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quarter_of(column: str):
-    return dates.year_quarter_key(F.year(column), F.quarter(column))
+    return dates.year_quarter_key(F.year(column), F.quarter(column), False, False)
 
 
 def month_of(column: str):
-    return dates.year_month_key(F.year(column), F.month(column))
+    return dates.year_month_key(F.year(column), F.month(column), False, False)
 
 
 def year_of(column: str):
-    return dates.year_key(F.year(column))
+    return dates.year_key(F.year(column), False)
 
 
 SQL_QUARTER = "year({0}) || '-Q' || quarter({0})"

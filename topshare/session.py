@@ -48,8 +48,12 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -69,3 +73,8 @@ def release(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_session(spark: SparkSession) -> None:
+    """Delete every scratch table of this application; frames that read one cannot be used afterwards."""
+    release(spark, _session_folder(spark))
