@@ -35,16 +35,19 @@ def stripped(text: Column) -> Column:
     return F.trim(F.translate(text, OTHER_BLANKS, " " * len(OTHER_BLANKS)))
 
 
-def plain_number(text: Column) -> Column:
-    """DOUBLE of a plain number, else null.  The pattern keeps engine-specific literals out."""
-    clean = stripped(text)
-    return F.when(clean.rlike(PLAIN_NUMBER), clean.try_cast("double"))
+def plain_number(text: Column, clean: bool = False) -> Column:
+    """DOUBLE of a plain number, else null.  The pattern keeps engine-specific literals out.
+
+    Here and below ``clean`` says that the text is stripped already.
+    """
+    text = text if clean else stripped(text)
+    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
 
 
 def parse_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace each text column by a struct.
 
-    number: the value or null; plain: needed no cleaning; coerced: parsed after
+    text: the stripped text; number: the value or null; plain: needed no cleaning; coerced: parsed after
     cleaning; failed: non-blank text that is no number; currency: removals;
     parentheses, scaled, minus: what was found; convention: US or EU;
     symbols: currencies.
@@ -165,6 +168,7 @@ def parse_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         symbols = F.array_distinct(F.regexp_extract_all(at("rough"), F.lit(f"([{fixed.CURRENCY_SYMBOLS}])"), 1))
         signs = F.when(at("signed"), symbols)
         return F.struct(
+            at("text").alias("text"),
             F.when(at("plain"), at("text").try_cast("double"))
             .otherwise(at("parsed") * factor.otherwise(F.lit(1.0)))
             .alias("number"),
@@ -184,11 +188,12 @@ def parse_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return step.select(*others, *[finished(c) for c in columns]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def percent_share(text: Column, name_says_percent: bool) -> Column:
+def percent_share(text: Column, name_says_percent: bool, clean: bool = False) -> Column:
     """STRUCT(number, changed): "12%" is 0.12; under a percent header 1 < x <= 100 is x / 100."""
-    clean = stripped(text)
-    marked = F.when(clean.endswith("%"), plain_number(F.substring(clean, F.lit(1), F.length(clean) - 1)))
-    number = plain_number(text)
+    text = text if clean else stripped(text)
+    without_sign = F.rtrim(F.substring(text, F.lit(1), F.length(text) - 1))
+    marked = F.when(text.endswith("%"), plain_number(without_sign, clean=True))
+    number = plain_number(text, clean=True)
     large = (number > 1) & (number <= 100) if name_says_percent else F.lit(False)
     return F.struct(
         F.when(marked.isNotNull(), marked / 100).when(large, number / 100).otherwise(number).alias("number"),
@@ -201,7 +206,7 @@ def rescaled(number: Column) -> Column:
     return F.when((number > 1) & (number <= 100), number / 100).otherwise(number)
 
 
-def as_boolean(text: Column) -> Column:
+def as_boolean(text: Column, clean: bool = False) -> Column:
     """TRUE, FALSE or null for anything that is no boolean word."""
-    word = F.lower(stripped(text))
+    word = F.lower(text if clean else stripped(text))
     return F.when(word.isin(fixed.TRUE_WORDS), True).when(word.isin(fixed.FALSE_WORDS), False)

@@ -91,12 +91,14 @@ def column_counters(df: DataFrame) -> DataFrame:
 
     percent_names = [c for c in names if says_percent(c)]
     under_percent = F.col("column_name").isin(percent_names) if percent_names else F.lit(False)
-    text, value = F.col("text"), F.col("value")
-    clean = parse_numbers(long, ["value"]).withColumn("text", stripped(F.col("raw")))
+    value = F.col("value")
+    # Text after the null tokens: null where there is no value to judge.
+    parsed = parse_numbers(long, ["value"]).withColumn("text", F.when(F.col("raw").isNotNull(), value["text"]))
+    text = F.col("text")
     large = value["plain"] & (value["number"] > 1) & (value["number"] <= 100)
     # A null token is no value: nothing in it counts.
     count = lambda cond: F.count(F.when((text != "") & cond, 1))
-    counted = clean.groupBy("column_name").agg(
+    counted = parsed.groupBy("column_name").agg(
         F.count("raw").alias("n_present"),
         count(F.lit(True)).alias("n_filled"),
         count(value["plain"]).alias("n_plain"),
@@ -108,8 +110,8 @@ def column_counters(df: DataFrame) -> DataFrame:
         count(value["parentheses"]).alias("parentheses_to_negative"),
         count(value["scaled"]).alias("scaling_applied"),
         count(value["minus"]).alias("unicode_minus_normalized"),
-        count(percent_share(text, False)["changed"] | (under_percent & large)).alias("percent_normalized"),
-        count(as_boolean(text).isNotNull()).alias("boolean_coerced"),
+        count(percent_share(text, False, clean=True)["changed"] | (under_percent & large)).alias("percent_normalized"),
+        count(F.lower(text).isin(fixed.TRUE_WORDS + fixed.FALSE_WORDS)).alias("boolean_coerced"),
         # Two conventions and nine currencies exist: these lists are short.
         F.array_sort(F.collect_set(F.when(text != "", value["convention"]))).alias("conventions"),
         F.collect_set(F.when(text != "", value["symbols"])).alias("symbols"),

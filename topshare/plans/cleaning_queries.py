@@ -65,7 +65,7 @@ _SQL_NUMBER = f"""CASE {_SQL_FORM} WHEN 7 THEN NULL WHEN 6 THEN CAST({_SQL_CENTS
 
 
 def coerce_currency(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey", _money(F.col("o_orderkey") % 9).alias("amount"))
+    orders = table(spark, d, "orders", spread=True).select("o_orderkey", _money(F.col("o_orderkey") % 9).alias("amount"))
     return parse_numbers(orders, ["amount"]).select(
         "o_orderkey",
         F.round("amount.number", 2).alias("number"),
@@ -91,7 +91,7 @@ CASE {_SQL_FORM} WHEN 0 THEN '$' WHEN 1 THEN '€' END AS symbols, CASE {_SQL_FO
 
 def coerce_percent(spark, d):
     """Discounts as "5%", as whole percents under a percent header, and as they are."""
-    lines = table(spark, d, "lineitem").select(
+    lines = table(spark, d, "lineitem", spread=True).select(
         "l_returnflag",
         F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")).alias("marked"),
         F.round(F.col("l_discount") * 100).cast("int").cast("string").alias("discount_pct"),
@@ -163,7 +163,7 @@ def coerce_datetime(spark, d):
     text = _date_text(F.col("o_orderkey") % 12)
     parsed = dates.parse_timestamp(F.col("text"))
     return (
-        table(spark, d, "orders")
+        table(spark, d, "orders", spread=True)
         .select("o_orderkey", text.alias("text"))
         .select("o_orderkey", F.col("text").isNotNull().alias("present"), parsed.cast("date").cast("string").alias("day"))
     )
@@ -179,7 +179,7 @@ FROM orders"""
 def _messy_orders(spark, d):
     """Orders as a raw text table under raw headers."""
     key = F.col("o_orderkey")
-    return table(spark, d, "orders").select(
+    return table(spark, d, "orders", spread=True).select(
         key.cast("string").alias("Order Key"),
         _money(key % 9).alias("  Amount (USD) "),
         F.when(key % 4 == 3, "N/A").otherwise(F.concat((key % 90).cast("string"), F.lit("%"))).alias("Discount %"),
@@ -304,7 +304,7 @@ def normalize_unknown_share(spark, d):
 
 def _broken_times(spark, d):
     key, when = F.col("o_orderkey"), F.col("o_orderdate")
-    return table(spark, d, "orders").select(
+    return table(spark, d, "orders", spread=True).select(
         F.when(key % 7 == 0, "n/a")
         .when(key % 7 == 1, F.concat(F.year(when).cast("string"), F.lit(".0")))
         .when(key % 7 == 2, F.concat(F.lit(" "), F.year(when).cast("string"), F.lit(" ")))
@@ -358,7 +358,7 @@ SELECT n_rows, n_unknown, CAST(n_unknown AS DOUBLE) / n_rows AS unknown_share FR
 
 def _timed_lines(spark, d):
     when, key = F.col("l_shipdate"), F.col("l_orderkey")
-    return table(spark, d, "lineitem").select(
+    return table(spark, d, "lineitem", spread=True).select(
         when.alias("date"),
         F.date_format(when, "MM/dd/yyyy").alias("dt_text"),
         F.year(when).alias("year"),
@@ -405,7 +405,7 @@ FROM lineitem GROUP BY 1"""
 
 def _gappy_lines(spark, d):
     """Line items with a null discount in every seventh order and mostly null taxes."""
-    return table(spark, d, "lineitem").select(
+    return table(spark, d, "lineitem", spread=True).select(
         "l_orderkey",
         "l_suppkey",
         "l_linenumber",

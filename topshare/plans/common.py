@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topshare.functions import dates
+from topshare.sources.files import read_parquet
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table; ``spread`` where every row costs much and the file may be a single split."""
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet", spread=spread)
 
 
 def quarter_of(column: str):

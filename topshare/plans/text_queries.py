@@ -28,7 +28,7 @@ def _redaction_layers(source: str) -> str:
 
 
 def redact_pii(spark, d):
-    found = screening.with_pii_counts(table(spark, d, "documents").select("doc_id", "text"), "text")
+    found = screening.with_pii_counts(table(spark, d, "documents", spread=True).select("doc_id", "text"), "text")
     return found.select("doc_id", *[f"n_{k}" for k in fixed.PII], F.md5("redacted").alias("digest"))
 
 
@@ -40,7 +40,7 @@ ORACLES["redact_pii"] = (
 
 
 def pii_by_source(spark, d):
-    return screening.pii_report(table(spark, d, "documents"), "text", ["source", "lang"])
+    return screening.pii_report(table(spark, d, "documents", spread=True), "text", ["source", "lang"])
 
 
 ORACLES["pii_by_source"] = (
@@ -54,7 +54,7 @@ ORACLES["pii_by_source"] = (
 
 def pii_in_conversations(spark, d):
     """Every message with a phone number, card and address made of its keys put in."""
-    talks = table(spark, d, "conversations").select("role", _with_contacts().alias("text"))
+    talks = table(spark, d, "conversations", spread=True).select("role", _with_contacts().alias("text"))
     return screening.pii_report(talks, "text", ["role"])
 
 
@@ -99,7 +99,7 @@ def _sql_phrases() -> str:
 
 
 def screen_messages(spark, d):
-    talks = table(spark, d, "conversations").select("conv_id", "turn", "role", _with_phrases().alias("message"))
+    talks = table(spark, d, "conversations", spread=True).select("conv_id", "turn", "role", _with_phrases().alias("message"))
     found = screening.screen_messages(talks, "message")
     return found.select("conv_id", "turn", "role", *fixed.INJECTION, "is_unsafe", F.md5("question").alias("digest"))
 
@@ -116,7 +116,7 @@ ORACLES["screen_messages"] = (
 
 
 def unsafe_by_role(spark, d):
-    talks = table(spark, d, "conversations").select("role", _with_phrases().alias("message"))
+    talks = table(spark, d, "conversations", spread=True).select("role", _with_phrases().alias("message"))
     found = screening.screen_messages(talks, "message")
     count = [F.count(F.when(F.col(n), 1)).alias(n) for n in [*fixed.INJECTION, "is_unsafe"]]
     return found.groupBy("role").agg(F.count(F.lit(1)).alias("n"), *count)
@@ -132,7 +132,7 @@ ORACLES["unsafe_by_role"] = (
 def clean_inputs(spark, d):
     """Document texts with control characters put in front and behind, cleaned and shortened."""
     made = F.concat(F.lit("\u0001a\u0007\tb\r\n"), F.col("text"), F.lit("\u001f!"))
-    return table(spark, d, "documents").select(
+    return table(spark, d, "documents", spread=True).select(
         "doc_id",
         F.md5(screening.clean_input(made)).alias("digest"),
         F.md5(screening.without_control_characters(made)).alias("whole_digest"),
@@ -148,7 +148,7 @@ md5(regexp_replace(m, '[\\x00-\\x08\\x0B-\\x1F]', '', 'g')) AS whole_digest FROM
 
 def sanitized_sample(spark, d):
     """The first ten documents by key, as they may be shown."""
-    sample = screening.sanitized_sample(table(spark, d, "documents"), ["doc_id"])
+    sample = screening.sanitized_sample(table(spark, d, "documents", spread=True), ["doc_id"])
     return sample.withColumn("text", F.md5("text"))
 
 

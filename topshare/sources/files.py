@@ -14,9 +14,23 @@ def read_csv(spark: SparkSession, path: str | list[str], **options) -> DataFrame
     return spark.read.options(**settings).csv(path)
 
 
-def read_parquet(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None) -> DataFrame:
+def read_parquet(
+    spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, spread: bool = False
+) -> DataFrame:
+    """A table or some of its columns.  ``spread``: see :func:`spread_over_cores`."""
     table = spark.read.parquet(*([path] if isinstance(path, str) else path))
-    return table.select(*columns) if columns else table
+    table = table.select(*columns) if columns else table
+    return spread_over_cores(table) if spread else table
+
+
+def spread_over_cores(table: DataFrame) -> DataFrame:
+    """Deal the rows of a small table out to all cores, for work that is heavy per row.
+
+    For a table as read: one with at least as many splits as there are cores
+    stays as it is, so what is moved is at most one split per core.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", checksums: bool = True, **options) -> DataFrame | None:
