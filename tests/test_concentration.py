@@ -262,3 +262,10 @@ def test_release(spark):
     result.release()
     with pytest.raises(Exception):
         result.head().collect()
+
+
+def test_head_is_a_top_k(spark):
+    values = [("P1", f"e{i:03d}", float(i)) for i in range(100)]
+    head = concentrate(frame(spark, values, True), "entity", "revenue", "period").head(3)
+    assert "WindowGroupLimit" in head._jdf.queryExecution().executedPlan().toString()
+    assert [r["entity"] for r in head.where("not is_total").orderBy("rnk").collect()] == ["e099", "e098", "e097"]

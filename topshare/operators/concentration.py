@@ -228,10 +228,11 @@ def rank_by_ranges(totals: DataFrame, ranges: int) -> tuple[DataFrame, str]:
 class Concentration:
     """The views of one analysis.  All are lazy reads of the scratch tables.
 
-    ``ranked`` holds amounts in units of ``10**-places``.
+    ``units`` and ``ranked`` hold amounts in units of ``10**-places``.
     """
 
     totals: DataFrame
+    units: DataFrame
     ranked: DataFrame
     places: int
     group_by: str
@@ -309,14 +310,23 @@ class Concentration:
         return wide.select(*GROUP, F.inline(F.array(*[one(x) for x in self.thresholds])))
 
     def head(self, rows: int = HEAD_ROWS) -> DataFrame:
-        """The first rows of each group's ranking with running sum and share."""
-        return self.ranked.where(F.col("rnk") <= rows).select(
+        """The first rows of each group's ranking with running sum and share.
+
+        A top-k of its own: a task sends at most ``rows`` entities per group
+        (window group limit), whatever the size of the group.
+        """
+        order = Window.partitionBy(*GROUP).orderBy(F.col("amount").desc(), F.col("entity").asc())
+        first = self.units.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= rows)
+        running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = first.withColumn("cumsum", F.sum("amount").over(running))
+        fine = self.groups.where(F.col("status") == OK).select(*GROUP, "total_value")
+        return summed.join(fine, GROUP).select(
             *GROUP,
-            "rnk",
+            F.col("rnk").cast("bigint").alias("rnk"),
             "entity",
             self._plain(F.col("amount")).alias("value"),
             self._plain(F.col("cumsum")).alias("cumsum"),
-            (self._plain(F.col("cumsum")) / self._plain(F.col("total")) * 100).alias("cumulative_pct"),
+            (self._plain(F.col("cumsum")) / F.col("total_value") * 100).alias("cumulative_pct"),
         )
 
     def summary(self) -> DataFrame:
@@ -461,4 +471,4 @@ def concentrate(
         shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranked, cut = rank_by_ranges(units, max(shuffles, math.ceil(sizes["all"] / rows_per_range)))
         paths.append(cut)
-    return Concentration(totals, ranked, places, group_by, value, period, cuts, paths)
+    return Concentration(totals, units, ranked, places, group_by, value, period, cuts, paths)
