@@ -39,7 +39,7 @@ HEADLINE = [
     "inject_nulls",
     "redact_pii",
     "screen_messages",
-    "row_fingerprints",
+    "row_fingerprint",
     "lineage_latest",
     "artifact_usage",
 ]

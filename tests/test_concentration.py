@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from topshare.operators.concentration import EMPTY_GROUP, NON_POSITIVE, check_thresholds, concentrate
+from topshare.functions.fixed import EMPTY_GROUP, NON_POSITIVE
+from topshare.operators.concentration import check_thresholds, concentrate
 
 FIVE_ROWS = [
     ("2023-01-15", "Company_A", 1000.50, "North"),

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from topshare.functions.fixed import ANALYSIS_PENDING
 from topshare.operators import insight, report
 from topshare.operators.concentration import concentrate
 
@@ -101,4 +102,4 @@ def test_findings(spark):
         ("recommendation", "High concentration risk - consider diversification strategies"),
     ]
     without = texts(insight.findings(concentrate(df, "e", "v", None, [50])))
-    assert without == [("finding", insight.PENDING)]
+    assert without == [("finding", ANALYSIS_PENDING)]

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from topshare.functions import dates
-from topshare.operators.timekey import NO_TIME, TimeSpec, detect_time, period_key, unknown_share, with_period_key
+from topshare.functions.fixed import NO_TIME
+from topshare.operators.timekey import TimeSpec, detect_time, period_key, unknown_share, with_period_key
 
 
 def detect(spark, schema, *data):

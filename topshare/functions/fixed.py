@@ -85,3 +85,35 @@ QUESTION_LENGTH = 500
 INPUT_LENGTH = 1000
 SAMPLE_ROWS = 10
 MAX_CALLS_PER_DATASET = 10
+
+# Message texts.
+EMPTY_GROUP = "No data after grouping"
+NON_POSITIVE = "Total value is non-positive; cannot compute concentration"
+NO_TIME = "No temporal dimension detected"
+MANY_TIME_COLUMNS = "Multiple {kind} columns found: {names}. Using first: {first}"
+MIXED_CONVENTIONS = "Column '{name}' contains mixed decimal conventions (both US and EU formats)"
+UNEXPECTED_NEGATIVES = ("Unexpected negative values in '", "': ", " occurrences")
+MISSING_KEYS = "Schema missing required keys: "
+COLUMN_MISSING_KEYS = ("Column ", " (", ") missing keys: ")
+QUALITY_WARNING = "Data quality warning: "
+NO_DATA = "Normalized data is empty or unreadable"
+ANALYSIS_PENDING = "Run concentration analysis to generate detailed insights"
+SHAPE_FINDING = "Dataset contains {columns} columns with {grain} time granularity"
+TOP_FINDING = ("Top 10%: ", " entities = ", "% of value")
+ADD_TIME = "Consider adding temporal dimensions for time-based analysis"
+USE_TIME = "Leverage {grain} time series for trend analysis"
+TIME_OPPORTUNITY = "Enhanced analytics available with time series"
+DIVERSIFY = "High concentration risk - consider diversification strategies"
+
+# Keys that stored schemas have to carry.
+REQUIRED_SCHEMA_KEYS = ["dataset_id", "columns", "metadata", "warnings"]
+REQUIRED_COLUMN_KEYS = ["name", "dtype", "role", "coercions"]
+
+# Limits of the analysis and of the risk rule.
+DEFAULT_THRESHOLDS = (10, 20, 50)
+MAX_THRESHOLDS = 10
+HEAD_ROWS = 20
+REPORT_HEAD_ROWS = 10
+LISTED_ENTITIES = 10
+LARGE_ENTITY_COUNT = 10_000
+HIGH_SHARE, MEDIUM_SHARE, HIGH_SINGLE_SHARE = 80, 60, 20

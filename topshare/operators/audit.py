@@ -92,6 +92,18 @@ def artifact_usage(artifacts: DataFrame, by: Sequence[str] = ("dataset_id",), li
     )
 
 
+def usage_overview(artifacts: DataFrame) -> DataFrame:
+    """One row: datasets with calls, all calls, calls answered from cache."""
+    per_dataset = artifacts.groupBy("dataset_id").agg(
+        F.count(F.lit(1)).alias("calls"), F.count(F.when(F.col("cached"), 1)).alias("cached")
+    )
+    return per_dataset.agg(
+        F.count(F.lit(1)).alias("total_datasets"),
+        F.coalesce(F.sum("calls"), F.lit(0)).alias("total_calls"),
+        F.coalesce(F.sum("cached"), F.lit(0)).alias("cached_calls"),
+    )
+
+
 def latest_artifacts(artifacts: DataFrame, tie_break: Sequence[str] = ("request_id",)) -> DataFrame:
     """The newest artifact per dataset and function."""
     return _edge_step(artifacts, None, F.max_by, ["timestamp", *tie_break], ["dataset_id", "function_name"])
@@ -184,10 +196,6 @@ def artifact_violations(artifacts: DataFrame, keep: Sequence[str] = ("dataset_id
     return parsed.select(*keep, F.explode(F.array_compact(F.array(*checks, unknown))).alias("violation"))
 
 
-REQUIRED_SCHEMA_KEYS = ["dataset_id", "columns", "metadata", "warnings"]
-REQUIRED_COLUMN_KEYS = ["name", "dtype", "role", "coercions"]
-
-
 def validate_schemas(documents: DataFrame, payload: str, row_counts: DataFrame | None = None) -> DataFrame:
     """dataset_id, severity, message for every problem in stored schema JSON; none means valid.
 
@@ -203,25 +211,25 @@ def validate_schemas(documents: DataFrame, payload: str, row_counts: DataFrame |
         return F.struct(F.lit(severity).alias("severity"), message.alias("message"))
 
     absent = F.filter(
-        F.array(*[F.lit(k) for k in REQUIRED_SCHEMA_KEYS]), lambda k: ~F.map_contains_key(F.col("root"), k)
+        F.array(*[F.lit(k) for k in fixed.REQUIRED_SCHEMA_KEYS]), lambda k: ~F.map_contains_key(F.col("root"), k)
     )
     top = F.when(
         F.size(absent) > 0,
-        F.array(issue("error", F.concat(F.lit("Schema missing required keys: "), F.array_join(absent, ", ")))),
+        F.array(issue("error", F.concat(F.lit(fixed.MISSING_KEYS), F.array_join(absent, ", ")))),
     ).otherwise(F.array().cast("array<struct<severity:string,message:string>>"))
 
     def column_issue(column: Column, i: Column) -> Column:
-        gaps = F.filter(F.array(*[F.lit(k) for k in REQUIRED_COLUMN_KEYS]), lambda k: ~F.map_contains_key(column, k))
+        gaps = F.filter(F.array(*[F.lit(k) for k in fixed.REQUIRED_COLUMN_KEYS]), lambda k: ~F.map_contains_key(column, k))
         text = F.concat(
-            F.lit("Column "), i.cast("string"), F.lit(" ("), F.coalesce(column["name"], F.lit("unknown")),
-            F.lit(") missing keys: "), F.array_join(gaps, ", "),
+            F.lit(fixed.COLUMN_MISSING_KEYS[0]), i.cast("string"), F.lit(fixed.COLUMN_MISSING_KEYS[1]),
+            F.coalesce(column["name"], F.lit("unknown")), F.lit(fixed.COLUMN_MISSING_KEYS[2]), F.array_join(gaps, ", "),
         )
         return F.when(F.size(gaps) > 0, issue("warning", text))
 
     none = F.array().cast("array<struct<severity:string,message:string>>")
     per_column = F.coalesce(F.array_compact(F.transform("columns", column_issue)), none)
     copied = F.coalesce(
-        F.transform("warnings", lambda w: issue("warning", F.concat(F.lit("Data quality warning: "), w))), none
+        F.transform("warnings", lambda w: issue("warning", F.concat(F.lit(fixed.QUALITY_WARNING), w))), none
     )
     found = opened.select("dataset_id", F.inline(F.concat(top, per_column, copied)))
     if row_counts is None:
@@ -229,6 +237,6 @@ def validate_schemas(documents: DataFrame, payload: str, row_counts: DataFrame |
     rows = documents.select("dataset_id").join(row_counts, "dataset_id", "left")
     n = F.coalesce(F.col("n_rows"), F.lit(0))
     data = rows.where(n == 0).select(
-        "dataset_id", F.lit("error").alias("severity"), F.lit("Normalized data is empty or unreadable").alias("message")
+        "dataset_id", F.lit("error").alias("severity"), F.lit(fixed.NO_DATA).alias("message")
     )
     return found.unionByName(data)

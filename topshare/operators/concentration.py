@@ -22,19 +22,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topshare.functions.fixed import (
+    DEFAULT_THRESHOLDS,
+    EMPTY_GROUP,
+    HEAD_ROWS,
+    LARGE_ENTITY_COUNT,
+    LISTED_ENTITIES,
+    MAX_THRESHOLDS,
+    NON_POSITIVE,
+)
 from topshare.session import materialize, release
 
-# Fixed values that results have to agree on.
-DEFAULT_THRESHOLDS = (10, 20, 50)
-MAX_THRESHOLDS = 10
-HEAD_ROWS = 20
-LISTED_ENTITIES = 10
-LARGE_ENTITY_COUNT = 10_000
 TOTAL = "TOTAL"
-EMPTY_GROUP = "No data after grouping"
-NON_POSITIVE = "Total value is non-positive; cannot compute concentration"
 OK = "ok"
-
 GROUP = ["is_total", "period"]
 
 

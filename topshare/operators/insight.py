@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topshare.functions import fixed
 from topshare.operators.concentration import GROUP, Concentration
 
-# Fixed values of the rules.
-HIGH_SHARE, MEDIUM_SHARE, HIGH_SINGLE = 80, 60, 20
-PENDING = "Run concentration analysis to generate detailed insights"
-
 
 def risk_levels(result: Concentration) -> DataFrame:
     """Per group: share of the top 10% and of the largest entity, and the level."""
@@ -19,8 +16,8 @@ def risk_levels(result: Concentration) -> DataFrame:
     ten = result.metrics().where(F.col("threshold") == 10).select(*GROUP, "entity_count", F.col("pct").alias("top_10_pct"))
     largest = result.head(1).select(*GROUP, F.col("entity").alias("largest_entity"), F.col("cumulative_pct").alias("largest_pct"))
     level = (
-        F.when((F.col("top_10_pct") > HIGH_SHARE) | (F.col("largest_pct") > HIGH_SINGLE), "high")
-        .when(F.col("top_10_pct") >= MEDIUM_SHARE, "medium")
+        F.when((F.col("top_10_pct") > fixed.HIGH_SHARE) | (F.col("largest_pct") > fixed.HIGH_SINGLE_SHARE), "high")
+        .when(F.col("top_10_pct") >= fixed.MEDIUM_SHARE, "medium")
         .otherwise("low")
     )
     return ten.join(largest, GROUP).withColumn("risk_level", level)
@@ -35,38 +32,32 @@ def findings(result: Concentration, column_count: int | None = None, grain: str
 
     lines = []
     if grain is not None:
-        lines.append(
-            line("finding", F.lit(f"Dataset contains {column_count} columns with {grain} time granularity"))
-        )
-        advice = (
-            "Consider adding temporal dimensions for time-based analysis"
-            if grain == "none"
-            else f"Leverage {grain} time series for trend analysis"
-        )
+        lines.append(line("finding", F.lit(fixed.SHAPE_FINDING.format(columns=column_count, grain=grain))))
+        advice = fixed.ADD_TIME if grain == "none" else fixed.USE_TIME.format(grain=grain)
         lines.append(line("recommendation", F.lit(advice)))
         if grain != "none":
-            lines.append(line("opportunity", F.lit("Enhanced analytics available with time series")))
+            lines.append(line("opportunity", F.lit(fixed.TIME_OPPORTUNITY)))
     share = F.col("pct")
     lines += [
         line(
             "finding",
             F.concat(
-                F.lit("Top 10%: "),
+                F.lit(fixed.TOP_FINDING[0]),
                 F.col("entity_count").cast("string"),
-                F.lit(" entities = "),
+                F.lit(fixed.TOP_FINDING[1]),
                 F.format_string("%.1f", share),
-                F.lit("% of value"),
+                F.lit(fixed.TOP_FINDING[2]),
             ),
             share.isNotNull(),
         ),
         line(
             "recommendation",
-            F.lit("High concentration risk - consider diversification strategies"),
-            share > HIGH_SHARE,
+            F.lit(fixed.DIVERSIFY),
+            share > fixed.HIGH_SHARE,
         ),
     ]
     if grain is None:
-        lines.append(line("finding", F.lit(PENDING), share.isNull()))
+        lines.append(line("finding", F.lit(fixed.ANALYSIS_PENDING), share.isNull()))
     # The total group is one row; without threshold 10 or in error it has no share.
     ten = result.metrics().where(F.col("is_total") & (F.col("threshold") == 10)).select(*GROUP, "entity_count", "pct")
     total = result.groups.where("is_total").select(*GROUP).join(ten, GROUP, "left")

@@ -220,6 +220,11 @@ _COUNTED = {
 
 def plan_normalization(df: DataFrame, names: dict[str, str] | None = None) -> list[ColumnPlan]:
     """Decide every column's branch (this starts one job; the result has one row per column)."""
+    return plans_from(cascade(df, names))
+
+
+def plans_from(rows: DataFrame) -> list[ColumnPlan]:
+    """The rows of :func:`cascade`, collected."""
     return [
         ColumnPlan(
             name=r["column_name"],
@@ -233,7 +238,7 @@ def plan_normalization(df: DataFrame, names: dict[str, str] | None = None) -> li
             counters={c: r[c] for c in _COUNTED.get(r["branch"], [])},
             failed_ratio=r["failed_ratio"],
         )
-        for r in cascade(df, names).collect()
+        for r in rows.collect()
     ]
 
 
@@ -299,7 +304,7 @@ def normalize(df: DataFrame) -> Normalized:
     data = apply_plans(renamed, plans)
     spec = detect_time(data)
     warnings = [
-        f"Column '{p.name}' contains mixed decimal conventions (both US and EU formats)"
+        fixed.MIXED_CONVENTIONS.format(name=p.name)
         for p in plans
         if p.decimal_convention == "mixed"
     ]

@@ -124,11 +124,11 @@ def negative_policy(df: DataFrame, allowed: list[str] | None = None) -> DataFram
             F.when(
                 ~is_allowed,
                 F.concat(
-                    F.lit("Unexpected negative values in '"),
+                    F.lit(fixed.UNEXPECTED_NEGATIVES[0]),
                     F.col("column_name"),
-                    F.lit("': "),
+                    F.lit(fixed.UNEXPECTED_NEGATIVES[1]),
                     F.col("negative_count").cast("string"),
-                    F.lit(" occurrences"),
+                    F.lit(fixed.UNEXPECTED_NEGATIVES[2]),
                 ),
             ).alias("warning"),
         )

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topshare.functions.dates import ALL
-from topshare.operators.concentration import GROUP, LISTED_ENTITIES, OK, Concentration
+from topshare.functions.fixed import HEAD_ROWS, LISTED_ENTITIES, REPORT_HEAD_ROWS
+from topshare.operators.concentration import GROUP, OK, Concentration
 
-REPORT_HEAD = 10
 _METRIC = "count bigint, value double, percentage double, pct_of_total double"
 
 
@@ -53,12 +53,12 @@ def summary_wide(result: Concentration) -> DataFrame:
 
 def details(result: Concentration) -> DataFrame:
     """The first ten rows of every period's ranking."""
-    return result.head(REPORT_HEAD).select("period", "entity", "value", "cumsum", "cumulative_pct")
+    return result.head(REPORT_HEAD_ROWS).select("period", "entity", "value", "cumsum", "cumulative_pct")
 
 
 def top_entities(result: Concentration) -> DataFrame:
     """As ``details`` with the rank."""
-    return result.head(REPORT_HEAD).select(
+    return result.head(REPORT_HEAD_ROWS).select(
         "period", F.col("rnk").alias("rank"), "entity", "value", "cumsum", "cumulative_pct"
     )
 
@@ -96,7 +96,7 @@ def result_documents(result: Concentration) -> DataFrame:
     """The stored form: one nested document per period and one for the total."""
     return (
         result.groups.join(_metric_maps(result, "percentage", True), GROUP, "left")
-        .join(_heads(result, 20, "head_sample"), GROUP, "left")
+        .join(_heads(result, HEAD_ROWS, "head_sample"), GROUP, "left")
         .select(
             *GROUP,
             "total_entities",
@@ -115,7 +115,7 @@ def contract(result: Concentration) -> tuple[DataFrame, DataFrame]:
     """
     documents = (
         result.groups.join(_metric_maps(result, "pct_of_total", False), GROUP, "left")
-        .join(_heads(result, REPORT_HEAD, "head"), GROUP, "left")
+        .join(_heads(result, REPORT_HEAD_ROWS, "head"), GROUP, "left")
         .withColumn("total", F.when(F.col("status") == OK, F.col("total_value")).otherwise(0.0))
     )
     is_totals = F.col("is_total") | (F.col("period") == ALL)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topshare.operators.numbering import hash_cutoffs, number_rows, row_hash
+from topshare.session import materialize
 
 SPECIAL_CHARACTERS = r"(?U)[^\w\s]"
 
@@ -24,7 +25,7 @@ def _ordered(keys: Sequence[str]) -> list[Column]:
 
 
 def random_sample(df: DataFrame, keys: Sequence[str], percentage: float = 20.0, seed: int = 42) -> DataFrame:
-    """Exactly int(rows * percentage / 100) rows."""
+    """Exactly int(rows * percentage / 100) rows (finding the cutoff starts jobs, here and below)."""
     hashed = df.withColumn("h", row_hash(keys, seed)).withColumn("g", F.lit(1))
     cutoff = hash_cutoffs(hashed, ["g"], F.floor(F.col("n") * F.lit(percentage / 100)))
     # The cutoff is a single row.
@@ -85,23 +86,30 @@ def edge_cases_sample(
     preserve: Sequence[str] | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """Rows with nulls, extreme values and special characters, without repeats.
+    """Rows with nulls, extreme values and special characters, without repeats (this starts jobs).
 
     At most 5 null rows, 2 smallest and 2 largest of up to three measures and
-    3 special rows of up to two text columns: every part is a top-k.
+    3 special rows of up to two text columns.  Each part is a top-k over the
+    columns it needs; whole rows are read once, for the at most 23 keys found.
     """
-    order = _ordered(keys)
-    parts = [df.where(has_null(df)).orderBy(*order).limit(5)]
+    order, names = _ordered(keys), list(keys)
+
+    def first(frame: DataFrame, rows: int, *sort: Column) -> DataFrame:
+        return frame.orderBy(*sort, *order).limit(rows).select(*[F.col(f"`{k}`") for k in names])
+
+    parts = [first(df.where(has_null(df)), 5)]
     for v in list(values)[:3]:
         column = F.col(f"`{v}`")
         present = df.where(column.isNotNull())
-        parts.append(present.orderBy(column.asc(), *order).limit(2))
-        parts.append(present.orderBy(column.desc(), *order).limit(2))
+        parts += [first(present, 2, column.asc()), first(present, 2, column.desc())]
     for t in list(texts)[:2]:
-        parts.append(df.where(F.col(f"`{t}`").rlike(SPECIAL_CHARACTERS)).orderBy(*order).limit(3))
-    found = reduce(DataFrame.unionByName, parts).dropDuplicates()
-    if found.isEmpty():
+        parts.append(first(df.where(F.col(f"`{t}`").rlike(SPECIAL_CHARACTERS)), 3))
+    chosen, _path = materialize(reduce(DataFrame.unionByName, parts).distinct(), "edge-keys")
+    if chosen.isEmpty():
         found = random_sample(df, keys, 10.0, seed)
+    else:
+        whole = df.join(F.broadcast(chosen), names, "left_semi").select(*df.columns)
+        found, _path = materialize(whole, "edge-rows")
     if force_nulls and found.where(has_null(found)).isEmpty():
         kept = keys if preserve is None else preserve
         found = add_random_nulls(found, keys, 15.0, [c for c in df.columns if c not in kept], seed)

@@ -18,7 +18,6 @@ GRAINS = {
     "year_quarter": ["year", "quarter"],
     "year": ["year"],
 }
-NO_TIME = "No temporal dimension detected"
 
 
 @dataclass(frozen=True)
@@ -124,10 +123,10 @@ def detect_time(df: DataFrame) -> TimeSpec:
             found[row["kind"]].append(row["column_name"])
     possible = [grain for grain, kinds in GRAINS.items() if all(found[k] for k in kinds)]
     if not possible:
-        return TimeSpec(warnings=[NO_TIME])
+        return TimeSpec(warnings=[fixed.NO_TIME])
     grain = possible[0]
     warnings = [
-        f"Multiple {k} columns found: {', '.join(found[k])}. Using first: {found[k][0]}"
+        fixed.MANY_TIME_COLUMNS.format(kind=k, names=", ".join(found[k]), first=found[k][0])
         for k in GRAINS[grain]
         if len(found[k]) > 1
     ]

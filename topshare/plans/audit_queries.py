@@ -113,6 +113,14 @@ def artifact_usage(spark, d):
 ORACLES["artifact_usage"] = f"SELECT 'ds_' || user_id AS dataset_id, {_USAGE} GROUP BY user_id"
 
 
+def usage_overview(spark, d):
+    return audit.usage_overview(_artifacts(spark, d))
+
+
+ORACLES["usage_overview"] = """SELECT count(DISTINCT user_id) AS total_datasets, count(*) AS total_calls,
+count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 = 0) AS cached_calls FROM events"""
+
+
 def artifact_usage_by_function(spark, d):
     return _usage(audit.artifact_usage(_artifacts(spark, d), ["function_name", "model"]))
 
@@ -189,7 +197,7 @@ ORACLES["artifact_violations"] = " UNION ALL ".join(
 # -- stored schemas ---------------------------------------------------------------------
 
 
-def schema_validation(spark, d):
+def artifact_validation(spark, d):
     """One stored schema per document; keys are missing by rule, and so are tables."""
     key = F.col("doc_id")
     column = F.struct(
@@ -211,7 +219,7 @@ def schema_validation(spark, d):
 
 _GAPS = "array_to_string(list_filter([CASE WHEN doc_id % 4 = 0 THEN 'role' END, CASE WHEN doc_id % 6 = 0 THEN 'coercions' END], lambda x: x IS NOT NULL), ', ')"
 _MISSING = "array_to_string(list_filter([CASE WHEN doc_id % 10 = 0 THEN 'columns' END, CASE WHEN doc_id % 3 = 0 THEN 'metadata' END, CASE WHEN doc_id % 5 = 0 THEN 'warnings' END], lambda x: x IS NOT NULL), ', ')"
-ORACLES["schema_validation"] = f"""SELECT doc_id AS dataset_id, 'error' AS severity, 'Schema missing required keys: ' || {_MISSING} AS message FROM documents
+ORACLES["artifact_validation"] = f"""SELECT doc_id AS dataset_id, 'error' AS severity, 'Schema missing required keys: ' || {_MISSING} AS message FROM documents
 WHERE doc_id % 10 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0
 UNION ALL SELECT doc_id, 'warning', 'Column ' || i || ' (' || lang || ') missing keys: ' || {_GAPS} FROM documents, (SELECT unnest([0, 1]) AS i) c
 WHERE doc_id % 10 > 0 AND (doc_id % 4 = 0 OR doc_id % 6 = 0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from topshare.functions import dates
 from topshare.functions.text_numbers import as_boolean, parse_numbers, percent_share, rescaled
-from topshare.operators.normalize import apply_plans, cascade, normalize, plan_normalization
+from topshare.operators.normalize import apply_plans, cascade, normalize, plans_from
 from topshare.operators.profile import (
     column_kinds,
     dataset_metadata,
@@ -18,6 +18,7 @@ from topshare.operators.profile import (
 )
 from topshare.operators.timekey import TimeSpec, detect_time, time_checks, unknown_share, with_period_key
 from topshare.plans.common import table
+from topshare.session import materialize
 
 QUERIES, ORACLES = {}, {}
 
@@ -512,7 +513,7 @@ FROM {t}, (SELECT avg({c}) AS mean, stddev_samp({c}) AS std FROM {t}) f"""
 )
 
 
-def negative_values(spark, d):
+def negative_policy_query(spark, d):
     """Balances under three names: two are allowed to be negative."""
     customers = table(spark, d, "customer").select(
         F.col("c_acctbal").alias("revenue"),
@@ -532,7 +533,7 @@ round(CAST(count(*) FILTER (WHERE {column} < 0) AS DOUBLE) / count({column}), 9)
 {warning} AS warning FROM {source} HAVING count(*) FILTER (WHERE {column} < 0) > 0"""
 
 
-ORACLES["negative_values"] = " UNION ALL ".join(
+ORACLES["negative_policy"] = " UNION ALL ".join(
     [
         _negative_sql("customer", "c_acctbal", "revenue", False),
         _negative_sql("customer", "c_acctbal", "gross_profit", True),
@@ -542,13 +543,13 @@ ORACLES["negative_values"] = " UNION ALL ".join(
 )
 
 
-def kinds_for_sampling(spark, d):
+def column_kinds_query(spark, d):
     lines = column_kinds(table(spark, d, "lineitem"))
     customers = column_kinds(table(spark, d, "customer"))
     return lines.unionByName(customers).select("column_name", "kind")
 
 
-ORACLES["kinds_for_sampling"] = " UNION ALL ".join(
+ORACLES["column_kinds"] = " UNION ALL ".join(
     [
         f"SELECT '{c}' AS column_name, {k} AS kind"
         for c, k in {
@@ -564,15 +565,16 @@ ORACLES["kinds_for_sampling"] = " UNION ALL ".join(
 )
 
 
-def table_metadata(spark, d):
+def dataset_metadata_query(spark, d):
     """Row, column and currency facts of the cleaned orders, and the steps taken."""
     from topshare.functions.naming import standard_names
 
     raw = _messy_orders(spark, d)
     names = standard_names(raw.columns)
     renamed = raw.toDF(*names)
-    steps = cascade(renamed, names)
-    data = apply_plans(renamed, plan_normalization(renamed, names))
+    # One row per column, used three times.
+    steps, _path = materialize(cascade(renamed, names), "cascade")
+    data = apply_plans(renamed, plans_from(steps.orderBy("position")))
     facts = dataset_metadata(data, profile(data), steps).withColumn("k", F.lit(1))
     summary = transformation_summary(steps).withColumn("k", F.lit(1))
     joined = facts.join(summary, "k").drop("k")
@@ -581,10 +583,10 @@ def table_metadata(spark, d):
     )
 
 
-ORACLES["table_metadata"] = """SELECT count(*) AS row_count, CAST(11 AS BIGINT) AS column_count, true AS has_time_dimension,
+ORACLES["dataset_metadata"] = """SELECT count(*) AS row_count, CAST(11 AS BIGINT) AS column_count, true AS has_time_dimension,
 '$|CHF|€' AS currencies_detected, true AS multi_currency, CAST(7 AS BIGINT) AS total_transformations, CAST(6 AS BIGINT) AS columns_modified,
 'boolean_coercion|datetime_coercion|header_standardization|numeric_coercion|percent_normalization|percent_representation' AS transformation_types
 FROM orders"""
 
 for _name in list(ORACLES):
-    QUERIES[_name] = globals()[_name]
+    QUERIES[_name] = globals().get(f"{_name}_query") or globals()[_name]

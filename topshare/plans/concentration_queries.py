@@ -291,6 +291,19 @@ ORACLES["report_long"] = (
 )
 
 
+def report_totals_only(spark, d):
+    """The report of a table without periods: one TOTAL row per threshold."""
+    result = concentrate(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice")
+    return report.long_report(result).withColumn("value", F.round("value", 2))
+
+
+ORACLES["report_totals_only"] = (
+    concentration_sql("SELECT l_suppkey AS entity, NULL AS period, l_extendedprice AS value FROM lineitem")
+    + """SELECT period, threshold, entity_count AS "count", round(value, 2) AS value, round(pct, 1) AS pct_of_total,
+'l_suppkey' AS group_by, 'l_extendedprice' AS value_column FROM m"""
+)
+
+
 def report_summary_wide(spark, d):
     wide = report.summary_wide(_by_priority(spark, d))
     return wide.select(*[F.round(c, 2).alias(c) if c == "total" or c.endswith("_value") else F.col(c) for c in wide.columns])

@@ -165,12 +165,12 @@ ORACLES["sanitized_sample"] = (
 )
 
 
-def row_fingerprints(spark, d):
+def row_fingerprint(spark, d):
     orders = table(spark, d, "orders")
     return orders.select("o_orderkey", screening.row_fingerprint(orders.columns).alias("fingerprint"))
 
 
-ORACLES["row_fingerprints"] = """SELECT o_orderkey, left(sha256('{"o_custkey":"' || o_custkey || '","o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ||
+ORACLES["row_fingerprint"] = """SELECT o_orderkey, left(sha256('{"o_custkey":"' || o_custkey || '","o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ||
 '","o_orderkey":"' || o_orderkey || '","o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus ||
 '","o_totalprice":"' || o_totalprice || '"}'), 16) AS fingerprint FROM orders"""
 
