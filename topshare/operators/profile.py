@@ -8,6 +8,8 @@ before the shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -226,8 +228,13 @@ def dataset_metadata(df: DataFrame, columns: DataFrame, cascade_rows: DataFrame)
     money = cascade_rows.agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("currencies")))).alias("currencies_detected")
     ).withColumn("multi_currency", F.size("currencies_detected") > 1)
-    # Two one-row frames on a constant key.
-    return shape.withColumn("k", F.lit(1)).join(money.withColumn("k", F.lit(1)), "k").drop("k")
+    return one_row(shape, money)
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Frames of one row each, side by side."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
 
 
 def transformation_summary(cascade_rows: DataFrame) -> DataFrame:

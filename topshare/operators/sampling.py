@@ -26,10 +26,10 @@ def _ordered(keys: Sequence[str]) -> list[Column]:
 
 def random_sample(df: DataFrame, keys: Sequence[str], percentage: float = 20.0, seed: int = 42) -> DataFrame:
     """Exactly int(rows * percentage / 100) rows (finding the cutoff starts jobs, here and below)."""
-    hashed = df.withColumn("h", row_hash(keys, seed)).withColumn("g", F.lit(1))
-    cutoff = hash_cutoffs(hashed, ["g"], F.floor(F.col("n") * F.lit(percentage / 100)))
-    # The cutoff is a single row.
-    return hashed.join(F.broadcast(cutoff), "g").where(F.col("h") <= F.col("cutoff")).select(*df.columns)
+    mark = row_hash(keys, seed)
+    hashed = df.select(F.lit("all").alias("g"), mark.alias("h"))
+    cutoff = hash_cutoffs(hashed, ["g"], F.floor(F.col("n") * F.lit(percentage / 100))).first()
+    return df.where(mark <= F.lit(cutoff["cutoff"])) if cutoff else df.limit(0)
 
 
 def stratified_sample(
@@ -130,13 +130,11 @@ def add_random_nulls(
     marks = {c: row_hash(keys, f"{seed}|{c}") for c in targets}
     long = df.select(*[marks[c].alias(c) for c in targets]).unpivot([], targets, "target", "h")
     quota = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(null_percentage) / 100))
-    cutoffs = hash_cutoffs(long, ["target"], quota)
-    # One row with one cutoff per column.
-    wide = cutoffs.agg(*[F.max(F.when(F.col("target") == c, F.col("cutoff"))).alias(f"cut_{c}") for c in targets])
-    keyed = df.withColumn("g", F.lit(1)).join(F.broadcast(wide.withColumn("g", F.lit(1))), "g")
-    return keyed.select(
+    # One cutoff per column.
+    cuts = {r["target"]: r["cutoff"] for r in hash_cutoffs(long, ["target"], quota).collect()}
+    return df.select(
         *[
-            F.when(marks[c] > F.col(f"`cut_{c}`"), F.col(f"`{c}`")).alias(c) if c in targets else F.col(f"`{c}`")
+            F.when(marks[c] > F.lit(cuts[c]), F.col(f"`{c}`")).alias(c) if c in cuts else F.col(f"`{c}`")
             for c in df.columns
         ]
     )

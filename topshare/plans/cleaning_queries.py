@@ -12,6 +12,7 @@ from topshare.operators.profile import (
     dataset_metadata,
     negative_policy,
     null_and_distinct,
+    one_row,
     outliers,
     profile,
     transformation_summary,
@@ -575,9 +576,7 @@ def dataset_metadata_query(spark, d):
     # One row per column, used three times.
     steps, _path = materialize(cascade(renamed, names), "cascade")
     data = apply_plans(renamed, plans_from(steps.orderBy("position")))
-    facts = dataset_metadata(data, profile(data), steps).withColumn("k", F.lit(1))
-    summary = transformation_summary(steps).withColumn("k", F.lit(1))
-    joined = facts.join(summary, "k").drop("k")
+    joined = one_row(dataset_metadata(data, profile(data), steps), transformation_summary(steps))
     return joined.select(
         *[F.array_join(c, "|").alias(c) if c in ("currencies_detected", "transformation_types") else F.col(c) for c in joined.columns]
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topshare.operators import sampling
+from topshare.operators.profile import one_row
 from topshare.sources import files
 
 
@@ -55,11 +56,8 @@ def write_samples(
         listed = hashed.agg(F.array_sort(F.collect_list(F.struct("path", "length", "sha256"))).alias("files"))
         stored = spark.read.schema(sample.schema).parquet(target)
         counted = stored.agg(F.count(F.lit(1)).alias("n_rows"))
-        # Two one-row frames on a constant key.
         lines.append(
-            counted.withColumn("k", F.lit(1))
-            .join(listed.withColumn("k", F.lit(1)), "k")
-            .select(
+            one_row(counted, listed).select(
                 F.lit(name).alias("name"),
                 F.lit(text).alias("description"),
                 "n_rows",
