@@ -210,8 +210,10 @@ def validate_schemas(documents: DataFrame, payload: str, row_counts: DataFrame |
     def issue(severity: str, message: Column) -> Column:
         return F.struct(F.lit(severity).alias("severity"), message.alias("message"))
 
+    # Records stored by dataset have their id in the folder name, that is in the frame.
     absent = F.filter(
-        F.array(*[F.lit(k) for k in fixed.REQUIRED_SCHEMA_KEYS]), lambda k: ~F.map_contains_key(F.col("root"), k)
+        F.array(*[F.lit(k) for k in fixed.REQUIRED_SCHEMA_KEYS]),
+        lambda k: ~F.map_contains_key(F.col("root"), k) & ((k != "dataset_id") | F.col("dataset_id").isNull()),
     )
     top = F.when(
         F.size(absent) > 0,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from topshare.functions import dates
 from topshare.functions.text_numbers import as_boolean, parse_numbers, percent_share, rescaled
+from topshare.operators.dataset import column_schema
 from topshare.operators.normalize import apply_plans, cascade, normalize, plans_from
 from topshare.operators.profile import (
     column_kinds,
@@ -587,5 +588,53 @@ ORACLES["dataset_metadata"] = """SELECT count(*) AS row_count, CAST(11 AS BIGINT
 'boolean_coercion|datetime_coercion|header_standardization|numeric_coercion|percent_normalization|percent_representation' AS transformation_types
 FROM orders"""
 
+def dataset_schema(spark, d):
+    """The stored description of the customers, from a raw text table."""
+    balance = F.format_number(F.abs("c_acctbal"), 2)
+    raw = table(spark, d, "customer", spread=True).select(
+        F.col("c_custkey").cast("string").alias("Customer Key"),
+        F.when(F.col("c_acctbal") < 0, F.concat(F.lit("($"), balance, F.lit(")")))
+        .otherwise(F.concat(F.lit("$"), balance))
+        .alias("Balance (USD)"),
+        F.col("c_mktsegment").alias("Segment"),
+    )
+    result = normalize(raw)
+    return column_schema(result.data, result).select(
+        "name",
+        "original_name",
+        "dtype",
+        "role",
+        "cardinality",
+        "null_rate",
+        "coercions.currency_removed",
+        "coercions.parentheses_to_negative",
+        F.array_join("currencies_detected", "|").alias("currencies"),
+        F.coalesce("anomalies.low_cardinality", F.lit(False)).alias("low_cardinality"),
+    )
+
+
+def _schema_row(name, original, dtype, column, numeric, money=False):
+    role = (
+        f"CASE WHEN count(DISTINCT {column}) > least(50, greatest(5, count(*) // 10)) OR count(DISTINCT {column}) > count(*) * 0.5 "
+        "THEN 'numeric' ELSE 'categorical' END"
+        if numeric
+        else "'categorical'"
+    )
+    counts = "count(*)" if money else "count(*) * 0"
+    negatives = "count(*) FILTER (WHERE c_acctbal < 0)" if money else "count(*) * 0"
+    return f"""SELECT '{name}' AS name, '{original}' AS original_name, '{dtype}' AS dtype, {role} AS role, count(DISTINCT {column}) AS cardinality,
+CAST(0 AS DOUBLE) AS null_rate, {counts} AS currency_removed, {negatives} AS parentheses_to_negative, '{'$' if money else ''}' AS currencies,
+count(*) > 100 AND count(DISTINCT {column}) < 5 AS low_cardinality FROM customer"""
+
+
+ORACLES["dataset_schema"] = " UNION ALL ".join(
+    [
+        _schema_row("customer_key", "Customer Key", "bigint", "c_custkey", True),
+        _schema_row("balance_usd", "Balance (USD)", "double", "c_acctbal", True, money=True),
+        _schema_row("segment", "Segment", "string", "c_mktsegment", False),
+        _schema_row("period_key", "period_key", "string", "CAST('ALL' AS VARCHAR)", False),
+    ]
+)
+
 for _name in list(ORACLES):
     QUERIES[_name] = globals().get(f"{_name}_query") or globals()[_name]

@@ -20,6 +20,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # HotSpot does not compile larger methods; Spark then splits the generated code instead.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Call sites of every column expression cost a round trip each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
     )
     if master:
