@@ -99,6 +99,7 @@ def test_header_names():
         "x": "__x__",
         "année": "Année",
     }
+    assert list(standard_names(["%", "#"])) == ["column", "column_2"]
     assert standard_names(["a", "a_2", "a"]) == {"a": "a", "a_2": "a_2", "a_3": "a"}
 
 

@@ -14,7 +14,8 @@ def standard_names(names: Sequence[str]) -> dict[str, str]:
     mapping: dict[str, str] = {}
     for original in names:
         words = [w for w in re.split(r"[\W_]+", str(original).strip().lower()) if w]
-        base = name = "_".join(words)
+        # A header without any word still needs a name that Spark can address.
+        base = name = "_".join(words) or "column"
         number = 1
         while name in mapping:
             number += 1
