@@ -270,3 +270,43 @@ def test_head_is_a_top_k(spark):
     head = concentrate(frame(spark, values, True), "entity", "revenue", "period").head(3)
     assert "WindowGroupLimit" in head._jdf.queryExecution().executedPlan().toString()
     assert [r["entity"] for r in head.where("not is_total").orderBy("rnk").collect()] == ["e099", "e098", "e097"]
+
+
+def brute_force(cents, thresholds):
+    """Plain restatement for one group: {entity: cents} -> {threshold: (count, value, names)}."""
+    total = sum(cents.values())
+    if total <= 0:
+        return {}
+    ranked = sorted(cents.items(), key=lambda e: (-e[1], e[0]))
+    found = {}
+    for x in thresholds:
+        running, kept = 0, []
+        for name, value in ranked:
+            running += value
+            if running * 100 <= x * total:
+                kept.append((name, value))
+        kept = kept or ranked[:1]
+        found[x] = (len(kept), sum(v for _, v in kept) / 100, [n for n, _ in kept[:10]])
+    return found
+
+
+def test_many_small_groups_against_brute_force(spark, limit):
+    rng = random.Random(23)
+    data, want = [], {}
+    thresholds = [1, 10, 33, 50, 90, 100]
+    for p in range(80):
+        cents = {}
+        for _ in range(rng.randrange(1, 60)):
+            name = f"e{rng.randrange(30):02d}"
+            # Few distinct values: ties, zeros and negatives are common.
+            value = rng.choice([0, 100, 100, 250, 999, 5000, -100, -250, rng.randrange(-3000, 6000)])
+            cents[name] = cents.get(name, 0) + value
+            data.append((f"p{p:02d}", name, value / 100))
+        want[f"p{p:02d}"] = brute_force(cents, thresholds)
+    result = concentrate(
+        frame(spark, data, True), "entity", "revenue", "period", thresholds, max_window_rows=limit, rows_per_range=40
+    )
+    got = {p: {} for p in want}
+    for r in result.metrics().where("not is_total").collect():
+        got[r["period"]][r["threshold"]] = (r["entity_count"], r["value"], list(r["entities"]))
+    assert got == want
