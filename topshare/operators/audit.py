@@ -69,13 +69,15 @@ def normalization_summary(schemas: DataFrame, steps: DataFrame, order: Sequence[
     """Stored schema joined to the dataset's first ``normalize`` step; datasets without one are left out."""
     step = first_step(steps, "normalize", order)
     taken = [c for c in step.columns if c != "dataset_id"]
+    renamed = {"timestamp": "normalized_at", "id": "step_id"}
     return schemas.join(
-        step.select("dataset_id", *[F.col(f"`{c}`").alias({"timestamp": "normalized_at", "id": "step_id"}.get(c, c)) for c in taken]),
-        "dataset_id",
+        step.select("dataset_id", *[F.col(f"`{c}`").alias(renamed.get(c, c)) for c in taken]), "dataset_id"
     )
 
 
-def artifact_usage(artifacts: DataFrame, by: Sequence[str] = ("dataset_id",), limit: int = fixed.MAX_CALLS_PER_DATASET) -> DataFrame:
+def artifact_usage(
+    artifacts: DataFrame, by: Sequence[str] = ("dataset_id",), limit: int = fixed.MAX_CALLS_PER_DATASET
+) -> DataFrame:
     """Calls, share answered from cache, failures and latency per group, against the call limit."""
     cached = F.when(F.col("cached"), 1).otherwise(0)
     return (

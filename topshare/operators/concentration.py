@@ -460,7 +460,12 @@ def concentrate(
             F.sum(F.abs("amount")).alias("mass"),
             F.count(F.when(F.col("amount") != F.round("amount", 2), 1)).alias("finer"),
         )
-        .agg(F.max("rows").alias("largest"), F.sum("rows").alias("all"), F.max("mass").alias("mass"), F.sum("finer").alias("finer"))
+        .agg(
+            F.max("rows").alias("largest"),
+            F.sum("rows").alias("all"),
+            F.max("mass").alias("mass"),
+            F.sum("finer").alias("finer"),
+        )
         .first()
     )
     places = scale if sizes["finer"] else min(scale, 2)

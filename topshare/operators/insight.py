@@ -13,8 +13,14 @@ def risk_levels(result: Concentration) -> DataFrame:
     """Per group: share of the top 10% and of the largest entity, and the level."""
     if 10 not in result.thresholds:
         raise ValueError("the risk rule reads threshold 10")
-    ten = result.metrics().where(F.col("threshold") == 10).select(*GROUP, "entity_count", F.col("pct").alias("top_10_pct"))
-    largest = result.head(1).select(*GROUP, F.col("entity").alias("largest_entity"), F.col("cumulative_pct").alias("largest_pct"))
+    ten = (
+        result.metrics()
+        .where(F.col("threshold") == 10)
+        .select(*GROUP, "entity_count", F.col("pct").alias("top_10_pct"))
+    )
+    largest = result.head(1).select(
+        *GROUP, F.col("entity").alias("largest_entity"), F.col("cumulative_pct").alias("largest_pct")
+    )
     level = (
         F.when((F.col("top_10_pct") > fixed.HIGH_SHARE) | (F.col("largest_pct") > fixed.HIGH_SINGLE_SHARE), "high")
         .when(F.col("top_10_pct") >= fixed.MEDIUM_SHARE, "medium")

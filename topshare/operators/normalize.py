@@ -119,9 +119,10 @@ def column_counters(df: DataFrame) -> DataFrame:
     )
     currencies = F.array_sort(F.array_union(F.flatten("symbols"), F.col("codes")))
     counted = counted.withColumn("currencies", currencies).drop("symbols", "codes")
-    return counted.join(_date_counters(df, dated), "column_name", "left") if dated else counted.withColumns(
-        {"datetime_parsed": F.lit(0).cast("bigint"), "parsing_errors": F.lit(0).cast("bigint")}
-    )
+    if dated:
+        return counted.join(_date_counters(df, dated), "column_name", "left")
+    none = F.lit(0).cast("bigint")
+    return counted.withColumns({"datetime_parsed": none, "parsing_errors": none})
 
 
 def _date_counters(df: DataFrame, dated: list[str]) -> DataFrame:
@@ -133,7 +134,10 @@ def _date_counters(df: DataFrame, dated: list[str]) -> DataFrame:
         long.where(stripped(F.col("raw")) != "")
         .select("column_name", is_date.alias("is_date"))
         .groupBy("column_name")
-        .agg(F.count(F.when(F.col("is_date"), 1)).alias("datetime_parsed"), F.count(F.when(~F.col("is_date"), 1)).alias("parsing_errors"))
+        .agg(
+            F.count(F.when(F.col("is_date"), 1)).alias("datetime_parsed"),
+            F.count(F.when(~F.col("is_date"), 1)).alias("parsing_errors"),
+        )
     )
 
 
@@ -144,7 +148,15 @@ def cascade(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """
     names = names or {c: c for c in df.columns}
     facts = [
-        (i, f.name, str(names[f.name]), _kind(f.dataType), f.dataType.simpleString(), says_percent(f.name), says_date_text(f.name))
+        (
+            i,
+            f.name,
+            str(names[f.name]),
+            _kind(f.dataType),
+            f.dataType.simpleString(),
+            says_percent(f.name),
+            says_date_text(f.name),
+        )
         for i, f in enumerate(df.schema.fields)
     ]
     schema = (
@@ -180,7 +192,9 @@ def cascade(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
         )
         .withColumn(
             "decimal_convention",
-            F.when(numeric & (F.size("conventions") > 1), "mixed").when(numeric & (F.size("conventions") == 1), F.col("conventions")[0]),
+            F.when(numeric & (F.size("conventions") > 1), "mixed").when(
+                numeric & (F.size("conventions") == 1), F.col("conventions")[0]
+            ),
         )
         .withColumn("currencies", F.when(numeric, F.col("currencies")).otherwise(F.array().cast("array<string>")))
         .withColumn("multi_currency", F.size("currencies") > 1)

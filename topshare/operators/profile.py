@@ -141,7 +141,8 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column: type, role, nulls, cardinality, outliers, negatives and flags."""
     facts = []
     for i, f in enumerate(df.schema.fields):
-        kind = "number" if isinstance(f.dataType, T.NumericType) else "time" if isinstance(f.dataType, _TIME_TYPES) else "other"
+        kind = "number" if isinstance(f.dataType, T.NumericType) else "other"
+        kind = "time" if isinstance(f.dataType, _TIME_TYPES) else kind
         facts.append((i, f.name, f.dataType.simpleString(), kind))
     columns = df.sparkSession.createDataFrame(facts, "position int, column_name string, dtype string, kind string")
     found = columns.join(null_and_distinct(df, exact=exact), "column_name", "left").fillna(

@@ -75,7 +75,9 @@ def time_checks(df: DataFrame) -> DataFrame:
         return F.when(F.col("column_name").isin(chosen), check) if chosen else F.lit(None).cast("boolean")
 
     flags = {
-        "date": F.coalesce(valid("date", dates.parse_timestamp(text).isNotNull(), True), valid("date", text.isNotNull(), False)),
+        "date": F.coalesce(
+            valid("date", dates.parse_timestamp(text).isNotNull(), True), valid("date", text.isNotNull(), False)
+        ),
         "year": valid("year", dates.plain_number(text).between(fixed.YEAR_MIN, fixed.YEAR_MAX)),
         "month": valid("month", dates.month_like(text)),
         "quarter": valid("quarter", dates.quarter_number(text).isNotNull()),

@@ -33,7 +33,9 @@ def spread_over_cores(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", checksums: bool = True, **options) -> DataFrame | None:
+def write_parquet(
+    df: DataFrame, path: str, mode: str = "errorifexists", checksums: bool = True, **options
+) -> DataFrame | None:
     """Write, and return the manifest of the files written."""
     df.write.mode(mode).options(**options).parquet(path)
     return file_manifest(df.sparkSession, path, "*.parquet") if checksums else None

@@ -33,20 +33,26 @@ def write_samples(
         "sample_small": ("5% random sample", sampling.random_sample(df, keys, 5, seed)),
     }
     if period:
-        samples["sample_time_balanced"] = ("ten rows of every period", sampling.time_balanced_sample(df, period, keys, 10, seed))
+        balanced = sampling.time_balanced_sample(df, period, keys, 10, seed)
+        samples["sample_time_balanced"] = ("ten rows of every period", balanced)
     if group and value:
-        samples["sample_top_entities"] = ("all rows of the top ten entities", sampling.top_entities_sample(df, group, value, 10))
+        top = sampling.top_entities_sample(df, group, value, 10)
+        samples["sample_top_entities"] = ("all rows of the top ten entities", top)
     kept = [*keys, *[c for c in (period, group) if c]]
-    edge = sampling.edge_cases_sample(df, keys, [value] if value else [], [group] if group else [], preserve=kept, seed=seed)
+    edge = sampling.edge_cases_sample(
+        df, keys, [value] if value else [], [group] if group else [], preserve=kept, seed=seed
+    )
     samples["sample_edge_cases"] = ("nulls, extremes and special characters", edge)
     if group:
         samples["sample_stratified"] = ("15% of every group", sampling.stratified_sample(df, group, keys, 15, seed))
     targets = [c for c in df.columns if c not in kept]
     tenth = sampling.random_sample(df, keys, 10, seed)
-    samples["sample_with_nulls"] = ("10% sample with 12% nulls", sampling.add_random_nulls(tenth, keys, 12, targets, seed))
+    gappy = sampling.add_random_nulls(tenth, keys, 12, targets, seed)
+    samples["sample_with_nulls"] = ("10% sample with 12% nulls", gappy)
     if value:
         part = sampling.random_sample(df, keys, 8, seed)
-        samples["sample_single_null_column"] = (f"8% sample with 25% nulls in {value}", sampling.add_column_nulls(part, value, keys, 25, seed=seed))
+        holed = sampling.add_column_nulls(part, value, keys, 25, seed=seed)
+        samples["sample_single_null_column"] = (f"8% sample with 25% nulls in {value}", holed)
 
     lines = []
     for name, (text, sample) in samples.items():
