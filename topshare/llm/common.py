@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 import topshare
-from topshare.session import materialize
+from topshare.session import scratch_path
 
 #: Rows of one Arrow batch: bounds what a Python worker holds, also where texts are long.
 BATCH_ROWS = 512
@@ -41,6 +41,12 @@ def texts_of(column: Iterable) -> Iterator[str]:
     return ("" if t is None or t is pd.NA or t != t else t for t in column)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame, written to the shared scratch folder and read again."""
-    return materialize(df, label)[0]
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """The frame, written to the shared scratch folder and read again.
+
+    ``options`` are those of the Parquet writer.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
