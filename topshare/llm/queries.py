@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topshare.llm import packing, simhash
+from topshare.llm import packing, rank_queue, simhash
 from topshare.llm.common import table
 
 
@@ -25,8 +25,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op7_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = rank_queue.encode(table(spark, sf_dir, "documents"), path)
+    coded = coded.withColumn("decoded", rank_queue.decode(F.col("ids"), path))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op3_packing": op3_packing,
     "op6_simhash": op6_simhash,
+    "op7_rank_queue_bpe": op7_rank_queue_bpe,
 }
 ORACLES: dict[str, str] = {}
