@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topshare.llm import packing, rank_queue, simhash
+from topshare.llm import language_id, packing, rank_queue, simhash, toxicity
 from topshare.llm.common import table
 
 
+def remainder(column: str, folds: int) -> Column:
+    """The fold of a row: crc32 of its id as text."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -19,6 +24,14 @@ def packed(docs: DataFrame) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 5) == 0
+    model = toxicity.train(toxicity.training_rows(docs, labels.where(~held_out)))
+    return toxicity.classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -37,9 +50,18 @@ def op7_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = language_id.train(language_id.training_rows(docs, ~held_out))
+    return language_id.classify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op3_packing": op3_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_rank_queue_bpe": op7_rank_queue_bpe,
+    "op8_language_id": op8_language_id,
 }
 ORACLES: dict[str, str] = {}
