@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topshare.llm import language_id, packing, rank_queue, simhash, toxicity
+from topshare.llm import language_id, line_frequency, packing, rank_queue, simhash, toxicity
 from topshare.llm.common import table
 
 
@@ -15,6 +15,63 @@ def remainder(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.judge(table(spark, sf_dir, "documents")).drop("text_digest", "removed")
+
+
+_SPACE = r"[ \t\n\x0B\f\r]+"
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+split AS (SELECT doc_id, list_filter(string_split_regex(text, '{_SPACE}'), lambda x: x <> '') AS words FROM d),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split),
+grams AS (
+  SELECT doc_id, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o
+         || ' ' || lead(word, 4) OVER o AS gram
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+),
+twice AS (
+  SELECT doc_id, i, gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS found FROM grams
+),
+repeated AS (
+  SELECT doc_id, count(*) FILTER (WHERE inside) AS n_repeat_words FROM (
+    SELECT doc_id, bool_or(found) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS inside
+    FROM twice) GROUP BY doc_id
+),
+lines AS (
+  SELECT doc_id, source, text, line, list_filter(string_split_regex(lower(line), '{_SPACE}'), lambda x: x <> '') AS words
+  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d)
+),
+plain AS (
+  SELECT doc_id, source, text, line, len(words) AS n, regexp_replace(array_to_string(words, ' '), '[0-9]+', '0', 'g') AS norm
+  FROM lines WHERE len(words) > 0
+),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM plain GROUP BY doc_id),
+hosts AS (SELECT source, greatest({line_frequency.MAX_TEXTS}, count(DISTINCT text) * {line_frequency.MAX_SHARE}) AS most
+          FROM d GROUP BY source),
+counted AS (SELECT source, norm, count(DISTINCT text) AS n FROM plain GROUP BY source, norm),
+over_limit AS (SELECT c.source, c.norm FROM counted c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > h.most),
+removed AS (
+  SELECT p.doc_id, sum(p.n) AS gone FROM plain p JOIN over_limit o ON p.norm = o.norm AND p.source IS NOT DISTINCT FROM o.source
+  GROUP BY p.doc_id
+),
+figures AS (
+  SELECT d.doc_id, CAST(len(s.words) AS BIGINT) AS n_words,
+         CAST(length(d.text) - length(regexp_replace(d.text, '[^ 	
+]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed_words
+  FROM d JOIN split s ON d.doc_id = s.doc_id LEFT JOIN repeated r ON d.doc_id = r.doc_id
+  LEFT JOIN dups u ON d.doc_id = u.doc_id LEFT JOIN removed x ON d.doc_id = x.doc_id
+),
+failed AS (SELECT *, n_words < {line_frequency.LEAST_WORDS}
+  OR 100 * n_repeat_words > {line_frequency.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM figures)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= {line_frequency.LEAST_WORDS}
+  AND n_words - n_removed_words >= {line_frequency.LEAST_SHARE} * n_words AS kept
+FROM failed
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -58,10 +115,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_frequency": op1_line_frequency,
     "op3_packing": op3_packing,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_rank_queue_bpe": op7_rank_queue_bpe,
     "op8_language_id": op8_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_line_frequency": OP1_SQL,
+}
