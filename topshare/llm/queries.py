@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topshare.llm import language_id, line_frequency, packing, rank_queue, simhash, toxicity
+from topshare.llm import chat_format, language_id, line_frequency, merkle, packing, rank_queue, simhash, toxicity
 from topshare.llm.common import table
 
 
@@ -57,7 +57,8 @@ removed AS (
 figures AS (
   SELECT d.doc_id, CAST(len(s.words) AS BIGINT) AS n_words,
          CAST(length(d.text) - length(regexp_replace(d.text, '[^ 	
-]', '', 'g')) AS BIGINT) AS word_chars,
+
+]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed_words
@@ -114,6 +115,57 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    formatted = chat_format.format_conversations(turns.unionByName(planted))
+    read = formatted.select(
+        "conv_id",
+        chat_format.turns_of(F.col("formatted")).alias("turns"),
+        chat_format.learned_text(F.col("formatted"), F.col("loss_spans")).alias("learned"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+OP9_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+t AS (
+  SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS opens,
+         length(text) + len(regexp_extract_all(text, '{chat_format.CONTROL}')) AS text_chars,
+         length(role) + len(regexp_extract_all(role, '{chat_format.CONTROL}')) AS role_chars
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(text_chars + CASE WHEN opens THEN {len(chat_format.TURN + chat_format.TEXT + chat_format.END)} + role_chars
+                                  ELSE {len(chat_format.NEXT)} END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op3_packing": op3_packing,
@@ -121,7 +173,10 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_rank_queue_bpe": op7_rank_queue_bpe,
     "op8_language_id": op8_language_id,
+    "op9_chat_format": op9_chat_format,
+    "op10_merkle": op10_merkle,
 }
 ORACLES = {
     "op1_line_frequency": OP1_SQL,
+    "op9_chat_format": OP9_SQL,
 }
