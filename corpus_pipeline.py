@@ -3,9 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from topshare.llm import simhash
+from topshare.llm import language_id, simhash, toxicity
 from topshare.llm.common import table, written
+from topshare.llm.queries import packed
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language of the table stay; ``und`` and doubtful ones go."""
+    return language_id.keep_identified(docs, language_id.train(language_id.training_rows(docs, F.lit(True))))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    rows = toxicity.training_rows(docs, table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, toxicity.train(rows))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +26,16 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_one_of_each(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 ids."""
+    return packed(docs)
+
+
 STAGES = [
+    ("language_id", identify_language),
+    ("toxicity", drop_toxic),
     ("simhash_dedup", simhash_dedup),
+    ("packing", pack_sequences),
 ]
 
 #: Trained models, a public tokenizer and XXH64 have no SQL; tests compare with brute force.
@@ -24,6 +45,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the scratch folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs

@@ -6,10 +6,55 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topshare.llm import chat_format, language_id, line_frequency, merkle, packing, rank_queue, simhash, toxicity
+from topshare.llm import (
+    chat_format,
+    html_layout,
+    language_id,
+    line_frequency,
+    merkle,
+    packing,
+    rank_queue,
+    simhash,
+    toxicity,
+    warc_derivatives,
+)
 from topshare.llm.common import table
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = warc_derivatives.responses_from_pages(table(spark, sf_dir, "pages"))
+    records = warc_derivatives.derivatives(responses)
+
+    def field(name: str, lines: str = "head") -> Column:
+        return F.nullif(F.regexp_extract(lines, rf"(?m)^{name}: (.*)$", 1), F.lit(""))
+
+    return records.withColumn("text", F.col("block").cast("string")).select(
+        "page_id",
+        "record_type",
+        "record_id",
+        "refers_to",
+        field("WARC-Target-URI").alias("target_uri"),
+        field("WARC-Date").alias("warc_date"),
+        field("Content-Type").alias("content_type"),
+        field("Content-Length").cast("long").alias("content_length"),
+        field("WARC-Block-Digest").alias("block_digest"),
+        field("source-payload-digest", "text").alias("source_payload_digest"),
+        field("source-payload-digest-agrees", "text").cast("boolean").alias("source_digest_agrees"),
+        "text",
+    )
+
+
+def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    text = html_layout.extract(pages)
+    return text.select(
+        "page_id",
+        "text",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
+    )
+
+
 def remainder(column: str, folds: int) -> Column:
     """The fold of a row: crc32 of its id as text."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
@@ -168,7 +213,9 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_packing": op3_packing,
+    "op4_html_layout": op4_html_layout,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_rank_queue_bpe": op7_rank_queue_bpe,
