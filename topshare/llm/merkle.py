@@ -112,10 +112,13 @@ _KEYS = ["no_id", "id", "digest"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with plain keys: no null among them, and different texts of one doc_id apart."""
+    """Documents with plain keys: no null among them, and different texts of one doc_id apart.
+
+    The keys hold the doc_id, so both uses of this frame need the same columns
+    and share one shuffle of the texts.
+    """
     text = F.coalesce("text", F.lit(""))
     return docs.select(
-        "doc_id",
         text.alias("text"),
         F.isnull("doc_id").alias("no_id"),
         F.coalesce("doc_id", F.lit(0)).alias("id"),
@@ -178,7 +181,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     kept = n - F.floor(n / 3).cast("int")
     edited = joined.select(
-        "doc_id",
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
         n.cast("long").alias("n_chars"),
         "text",
         F.concat(F.substr("text", F.lit(1), kept), "head").alias("edited"),
