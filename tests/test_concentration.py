@@ -135,6 +135,14 @@ def test_tiny_and_large_totals(spark):
     tiny = concentrate(frame(spark, [("A", 0.001), ("B", 0.0005), ("C", 0.0003)]), "entity", "revenue")
     assert tiny.groups.first()["total_value"] == 0.0018
     assert tiny.places == 6
+    fine = concentrate(frame(spark, [("A", 3.4e-6), ("B", 1e-6)]), "entity", "revenue")
+    assert [(r["entity_count"], r["value"]) for r in fine.metrics().collect()] == [(1, 3.4e-6)] * 3
+    below = concentrate(frame(spark, [("A", 3e-7), ("B", 1e-7)]), "entity", "revenue")
+    group = below.groups.first()
+    assert (group["status"], group["total_value"]) == ("ok", pytest.approx(4e-7))
+    assert [r["value"] for r in below.head().orderBy("rnk").collect()] == pytest.approx([3e-7, 1e-7])
+    huge = concentrate(frame(spark, [("A", 3e23), ("B", 1e23)]), "entity", "revenue", None, [90])
+    assert figures(huge)[90][0] == 1 and huge.groups.first()["total_value"] == 4e23
     large = concentrate(frame(spark, [("A", 4e17), ("B", 123456789012.34), ("A", 1e17)]), "entity", "revenue")
     assert dict(large.ranked.dtypes)["amount"] == "decimal(38,0)"
     assert large.head().orderBy("rnk").first()["value"] == 5e17
@@ -310,3 +318,40 @@ def test_many_small_groups_against_brute_force(spark, limit):
     for r in result.metrics().where("not is_total").collect():
         got[r["period"]][r["threshold"]] = (r["entity_count"], r["value"], list(r["entities"]))
     assert got == want
+
+
+@pytest.mark.parametrize("max_window_rows", [500_000, 0])
+def test_sixth_decimal_decides(spark, max_window_rows):
+    rows = [("A", 10.000001), ("B", 10.000004)]
+    result = concentrate(frame(spark, rows), "entity", "revenue", max_window_rows=max_window_rows)
+    assert [(r["entity"], r["value"]) for r in result.head().orderBy("rnk").collect()] == [("B", 10.000004), ("A", 10.000001)]
+    assert result.metrics().where("threshold = 50").first()["entities"] == ["B"]
+
+
+@pytest.mark.parametrize("max_window_rows", [500_000, 0])
+def test_values_out_of_range_give_their_group_a_status(spark, max_window_rows):
+    rows = [("P", "A", float("inf")), ("P", "B", 1.0), ("Q", "A", 2.0), ("Q", None, float("-inf")), ("R", "C", 2e25)]
+    result = concentrate(frame(spark, rows, True), "entity", "revenue", "period", max_window_rows=max_window_rows)
+    found = {(r["is_total"], r["period"]): r["status"] for r in result.groups.collect()}
+    assert found.pop((False, "Q")) == "ok"
+    assert set(found.values()) == {"Total value is out of range; cannot compute concentration"}
+    assert {r["period"] for r in result.metrics().collect()} == {r["period"] for r in result.head().collect()} == {"Q"}
+
+
+def test_one_scan_of_the_input(spark, tmp_path):
+    from topshare.operators.concentration import _overall, _summed
+
+    frame(spark, [("P", "A", 1.0), (None, "B", 2.0)], True).write.parquet(str(tmp_path / "in"))
+    summed = _summed(spark.read.parquet(str(tmp_path / "in")), "entity", "revenue", "period", None)
+    assert summed._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    summed.write.parquet(str(tmp_path / "sums"))
+    plan = _overall(spark.read.parquet(str(tmp_path / "sums")))._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path / "in") not in plan
+
+
+def test_decimal_and_whole_number_measures(spark):
+    frame_ = spark.sql("SELECT * FROM VALUES ('A', 1.00000000001BD, 9007199254740993L), ('B', 1.00000000002BD, 2L) t(entity, d, n)")
+    result = concentrate(frame_, "entity", "d")
+    assert [r["entity"] for r in result.head().orderBy("rnk").collect()] == ["B", "A"]
+    result = concentrate(frame_, "entity", "n")
+    assert result.totals.where("entity = 'A'").first()["amount"] == 9007199254740993

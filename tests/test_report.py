@@ -17,7 +17,7 @@ def result(spark):
 
 def test_long_report_order(result):
     found = report.sorted_report(result)
-    assert found.columns == ["period", "threshold", "count", "value", "pct_of_total", "group_by", "value_column"]
+    assert found.columns == ["is_total", "period", "threshold", "count", "value", "pct_of_total", "group_by", "value_column"]
     assert [(r["period"], r["threshold"]) for r in found.collect()] == [
         (p, x) for p in ("P1", "P2", "TOTAL") for x in (10, 50, 100)
     ]

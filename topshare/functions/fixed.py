@@ -89,17 +89,19 @@ MAX_CALLS_PER_DATASET = 10
 # Message texts.
 EMPTY_GROUP = "No data after grouping"
 NON_POSITIVE = "Total value is non-positive; cannot compute concentration"
+OUT_OF_RANGE = "Total value is out of range; cannot compute concentration"
+LARGE_MESSAGE = "Large dataset detected: %d entities (>%d threshold)"
 NO_TIME = "No temporal dimension detected"
 MANY_TIME_COLUMNS = "Multiple {kind} columns found: {names}. Using first: {first}"
 MIXED_CONVENTIONS = "Column '{name}' contains mixed decimal conventions (both US and EU formats)"
-UNEXPECTED_NEGATIVES = ("Unexpected negative values in '", "': ", " occurrences")
+UNEXPECTED_NEGATIVES = "Unexpected negative values in '%s': %d occurrences"
 MISSING_KEYS = "Schema missing required keys: "
-COLUMN_MISSING_KEYS = ("Column ", " (", ") missing keys: ")
+COLUMN_MISSING_KEYS = "Column %d (%s) missing keys: %s"
 QUALITY_WARNING = "Data quality warning: "
 NO_DATA = "Normalized data is empty or unreadable"
 ANALYSIS_PENDING = "Run concentration analysis to generate detailed insights"
 SHAPE_FINDING = "Dataset contains {columns} columns with {grain} time granularity"
-TOP_FINDING = ("Top 10%: ", " entities = ", "% of value")
+TOP_FINDING = "Top 10%%: %d entities = %.1f%% of value"
 ADD_TIME = "Consider adding temporal dimensions for time-based analysis"
 USE_TIME = "Leverage {grain} time series for trend analysis"
 TIME_OPPORTUNITY = "Enhanced analytics available with time series"

@@ -224,10 +224,8 @@ def validate_schemas(documents: DataFrame, payload: str, row_counts: DataFrame |
 
     def column_issue(column: Column, i: Column) -> Column:
         gaps = F.filter(F.array(*[F.lit(k) for k in fixed.REQUIRED_COLUMN_KEYS]), lambda k: ~F.map_contains_key(column, k))
-        text = F.concat(
-            F.lit(fixed.COLUMN_MISSING_KEYS[0]), i.cast("string"), F.lit(fixed.COLUMN_MISSING_KEYS[1]),
-            F.coalesce(column["name"], F.lit("unknown")), F.lit(fixed.COLUMN_MISSING_KEYS[2]), F.array_join(gaps, ", "),
-        )
+        name = F.coalesce(column["name"], F.lit("unknown"))
+        text = F.format_string(fixed.COLUMN_MISSING_KEYS, i, name, F.array_join(gaps, ", "))
         return F.when(F.size(gaps) > 0, issue("warning", text))
 
     none = F.array().cast("array<struct<severity:string,message:string>>")

@@ -1,8 +1,8 @@
 """Who holds how much of a total, per period and overall.
 
-The measure is summed once per (period, entity) with map-side combine; the
-overall sums are built from those, so the input is scanned once.  The sums go
-to a scratch table that every view below reads.
+The measure is summed once per (period, entity) with map-side combine and
+written to a scratch table; the overall sums are built from that table, so the
+input is scanned once.  Every view below reads those two tables.
 
 Ranking inside a group (a period, or the overall total) needs an order, and
 the overall group holds every entity.  Groups of a checked size are ranked
@@ -27,15 +27,21 @@ from topshare.functions.fixed import (
     EMPTY_GROUP,
     HEAD_ROWS,
     LARGE_ENTITY_COUNT,
+    LARGE_MESSAGE,
     LISTED_ENTITIES,
     MAX_THRESHOLDS,
     NON_POSITIVE,
+    OUT_OF_RANGE,
 )
 from topshare.session import materialize, release
 
 TOTAL = "TOTAL"
 OK = "ok"
 GROUP = ["is_total", "period"]
+_FIGURES = ["amount", "fine", "beyond", "n_rows"]
+_PLACES = 6
+_AMOUNT = T.DecimalType(38, _PLACES)
+_BEYOND = 1e24
 
 
 def check_thresholds(thresholds: Iterable[int] | None) -> list[int]:
@@ -66,68 +72,84 @@ def _without_nan(df: DataFrame, name: str) -> Column:
     return column
 
 
-def entity_totals(
-    df: DataFrame, group_by: str, value: str, period: str | None = None, scale: int = 6
-) -> DataFrame:
-    """Exact sums per (period, entity) and per entity, with input row counts.
-
-    Columns: is_total, period, entity, amount DECIMAL, n_rows.  Rows with a
-    null entity stay (their period is still a period, their rows still count);
-    rows with a null period count only for the total.
-    """
+def _checked(df: DataFrame, group_by: str, value: str, period: str | None, scale: int | None) -> None:
     _need_columns(df, group_by, value, *([period] if period else []))
-    if not 0 <= scale <= 6:
-        raise ValueError("scale is 0 to 6 decimals: cumsum * 100 has to fit 38 digits unrounded")
+    if scale is not None and not 0 <= scale <= _PLACES:
+        raise ValueError(f"scale is 0 to {_PLACES} decimals, or None for all that can be kept")
     if not isinstance(df.schema[value].dataType, T.NumericType):
         raise ValueError(f"column {value} is not numeric")
 
-    amount_type = T.DecimalType(38, scale)
-    zero = F.lit(0).cast(amount_type)
-    entity = _without_nan(df, group_by).alias("entity")
-    one = F.lit(1).cast("bigint").alias("n_rows")
-
-    def shaped(frame: DataFrame, is_total: bool, label: Column) -> DataFrame:
-        return frame.select(F.lit(is_total).alias("is_total"), label.alias("period"), "entity", "amount", "n_rows")
-
-    parts, amount = _exact_sum(df, value, scale)
-    amount = F.coalesce(amount.cast(amount_type), zero).alias("amount")
-    if period is None:
-        sums = df.select(entity, one, *parts).groupBy("entity").agg(amount, F.sum("n_rows").alias("n_rows"))
-        return shaped(sums, True, F.lit(TOTAL))
-    label = _without_nan(df, period).cast("string").alias("period")
-    fine = df.select(label, entity, one, *parts).groupBy("period", "entity").agg(amount, F.sum("n_rows").alias("n_rows"))
-    coarse = fine.groupBy("entity").agg(
-        F.sum("amount").cast(amount_type).alias("amount"), F.sum("n_rows").alias("n_rows")
+
+def _summed(df: DataFrame, group_by: str, value: str, period: str | None, scale: int | None) -> DataFrame:
+    """Exact sums per (period, entity), null periods included: the one pass over the input."""
+    parts, sums = _exact_sums(df, value, scale)
+    label = _without_nan(df, period).cast("string") if period else F.lit(TOTAL)
+    rows = df.select(label.alias("period"), _without_nan(df, group_by).alias("entity"), *parts)
+    return _carried(rows.groupBy("period", "entity").agg(*sums, F.count(F.lit(1)).alias("n_rows")))
+
+
+def _overall(summed: DataFrame) -> DataFrame:
+    """Sums per entity from the sums per period."""
+    figures = [F.sum(c).alias(c) for c in ("amount", "fine", "beyond", "n_rows")]
+    return _carried(summed.groupBy("entity").agg(*figures)).select(
+        F.lit(True).alias("is_total"), F.lit(TOTAL).alias("period"), "entity", *_FIGURES
     )
-    return shaped(fine.where(F.col("period").isNotNull()), False, F.col("period")).unionByName(
-        shaped(coarse, True, F.lit(TOTAL))
+
+
+def _per_period(summed: DataFrame) -> DataFrame:
+    return summed.where(F.col("period").isNotNull()).select(
+        F.lit(False).alias("is_total"), "period", "entity", *_FIGURES
     )
 
 
-def _exact_sum(df: DataFrame, value: str, scale: int) -> tuple[list[Column], Column]:
-    """Columns to add before grouping, and the aggregate that sums them exactly.
+def _exact_sums(df: DataFrame, value: str, scale: int | None) -> tuple[list[Column], list[Column]]:
+    """Columns to add before grouping, and the aggregates that sum them exactly.
+
+    ``amount`` counts millionths, ``fine`` what is left of each value below
+    them, in units of ``10**-15``, and ``beyond`` the values that are too large
+    for an exact sum (``_BEYOND`` and more, infinities included).
 
     Summing every row as DECIMAL costs several times a BIGINT sum.  A value
-    whose count of ``10**-scale`` units fits a double exactly is therefore
-    split into two integers of 24 and 28 bits, whose BIGINT sums cannot
-    overflow at any realistic row count; only larger values go through DECIMAL.
+    whose count of millionths fits a double exactly is therefore split into two
+    integers of 24 and 28 bits, whose BIGINT sums cannot overflow at any
+    realistic row count; only larger values go through DECIMAL.
     """
     column = _without_nan(df, value)
-    wide = T.DecimalType(28, scale)
-    if isinstance(df.schema[value].dataType, T.DecimalType):
-        return [column.cast(wide).alias("large")], F.sum("large")
-    small = F.abs(column.cast("double")) < float(2**52 // 10**scale)
-    units = F.when(small, F.rint(column.cast("double") * F.lit(float(10**scale))).cast("bigint"))
-    parts = [
-        F.shiftright(units, 24).alias("high"),
-        units.bitwiseAND(F.lit(2**24 - 1)).alias("low"),
-        F.when(~small, column.cast(wide)).alias("large"),
-    ]
+    kind = df.schema[value].dataType
+    wide = T.DecimalType(30, _PLACES)
+    kept = _PLACES if scale is None else scale
+    beyond = F.abs(column.cast("double")) >= F.lit(_BEYOND)
+    none = F.lit(None).cast("bigint")
+    if isinstance(kind, T.DecimalType):
+        coarse = F.when(~beyond, F.round(column, kept).cast(wide))
+        rest = ((column - coarse) * F.lit(10**15).cast("decimal(16,0)")).cast("bigint")
+        high, low, large, fine = none, none, coarse, rest if scale is None and kind.scale > _PLACES else none
+    else:
+        number = column.cast("double")
+        small = F.abs(number) < float(2**52 // 10**_PLACES)
+        units = F.when(small, F.rint(number * F.lit(float(10**kept))).cast("bigint") * F.lit(10 ** (_PLACES - kept)))
+        high, low = F.shiftright(units, 24), units.bitwiseAND(F.lit(2**24 - 1))
+        large = F.when(~small & ~beyond, F.round(column, kept).cast(wide))
+        # A value of six decimals at most leaves exactly nothing.
+        rest = F.rint((number - units / F.lit(float(10**_PLACES))) * F.lit(1e15)).cast("bigint")
+        fine = rest if scale is None and isinstance(kind, T.FractionalType) else none
+    parts = [high.alias("high"), low.alias("low"), large.alias("large"), fine.alias("fine"), beyond.alias("beyond")]
     whole = F.sum("high").cast("decimal(38,0)") * F.lit(2**24) + F.sum("low").cast("decimal(38,0)")
-    per_unit = F.lit(10**scale).cast("decimal(7,0)")
-    small_sum = (whole.cast("decimal(38,0)") / per_unit).cast(T.DecimalType(38, scale))
+    small_sum = (whole.cast("decimal(38,0)") / F.lit(10**_PLACES).cast("decimal(7,0)")).cast(_AMOUNT)
     nothing = F.lit(0).cast(wide)
-    return parts, F.coalesce(small_sum, nothing) + F.coalesce(F.sum("large"), nothing)
+    amount = F.coalesce(small_sum, nothing) + F.coalesce(F.sum("large"), nothing)
+    return parts, [
+        amount.cast(_AMOUNT).alias("amount"),
+        F.coalesce(F.sum("fine"), F.lit(0).cast("bigint")).alias("fine"),
+        F.count_if(F.coalesce("beyond", F.lit(False))).alias("beyond"),
+    ]
+
+
+def _carried(sums: DataFrame) -> DataFrame:
+    """Move whole millionths out of ``fine``, which is then 0 to ``10**9 - 1``."""
+    rest = F.pmod("fine", F.lit(10**9))
+    carry = ((F.col("fine") - rest).cast("decimal(20,0)") / F.lit(10**15).cast("decimal(16,0)")).cast("decimal(20,6)")
+    return sums.withColumns({"amount": (F.col("amount") + carry).cast(_AMOUNT), "fine": rest})
 
 
 def _group_figures(totals: DataFrame) -> DataFrame:
@@ -135,28 +157,43 @@ def _group_figures(totals: DataFrame) -> DataFrame:
     held = F.col("entity").isNotNull()
     figures = [
         F.count("entity").alias("total_entities"),
-        F.sum(F.when(held, F.col("amount"))).alias("total"),
+        F.sum(F.when(held, F.col("amount"))).alias("amount"),
+        F.sum(F.when(held, F.col("fine"))).alias("fine"),
+        F.sum(F.when(held, F.col("beyond"))).alias("beyond"),
         F.coalesce(F.sum("n_rows"), F.lit(0)).alias("input_rows"),
     ]
     per_period = totals.where(~F.col("is_total")).groupBy(*GROUP).agg(*figures)
     overall = totals.where(F.col("is_total")).agg(*figures)
     overall = overall.select(F.lit(True).alias("is_total"), F.lit(TOTAL).alias("period"), *overall.columns)
+    groups = _carried(per_period.unionByName(overall))
     status = (
         F.when(F.col("total_entities") == 0, F.lit(EMPTY_GROUP))
-        .when(F.col("total") <= 0, F.lit(NON_POSITIVE))
+        .when(F.col("beyond") > 0, F.lit(OUT_OF_RANGE))
+        .when((F.col("amount") < 0) | ((F.col("amount") == 0) & (F.col("fine") == 0)), F.lit(NON_POSITIVE))
         .otherwise(F.lit(OK))
     )
-    return per_period.unionByName(overall).withColumn("status", status)
+    total = F.col("amount").cast("double") + F.col("fine").cast("double") / F.lit(1e15)
+    return groups.select(*GROUP, "total_entities", total.alias("total_value"), "input_rows", status.alias("status"))
+
+
+def places_for(finest: int, mass) -> int:
+    """Decimals that ranking keeps: ``finest``, or as many as leave running sums times 100 within 38 digits."""
+    digits = len(str(int(mass)))
+    places = min(finest, 36 - digits)
+    return places if digits <= 26 else min(places, 32 - digits)
 
 
 def in_units(held: DataFrame, places: int, mass) -> DataFrame:
     """Amounts as whole units of ``10**-places``: BIGINT if no running sum times 100 can overflow."""
     unit_type = "bigint" if mass * 10**places * 100 < 2**63 else "decimal(38,0)"
+    coarse = min(places, _PLACES)
     # Scale down before the factor, or the product would lose decimals.
-    exact = F.col("amount").cast(T.DecimalType(32, places)) * F.lit(10**places).cast("decimal(7,0)")
-    if places == 0:
-        exact = F.col("amount")
-    return held.select(*GROUP, "entity", exact.cast(unit_type).alias("amount"))
+    exact = F.col("amount").cast(T.DecimalType(32, coarse)) * F.lit(10**coarse).cast("decimal(7,0)")
+    if places > _PLACES:
+        below = F.col("fine").cast("decimal(10,0)") / F.lit(10 ** (15 - places)).cast("decimal(10,0)")
+        exact = exact.cast("decimal(38,0)") * F.lit(10 ** (places - _PLACES)).cast("decimal(10,0)")
+        exact = exact.cast("decimal(38,0)") + F.round(below, 0).cast("decimal(10,0)")
+    return held.select(*GROUP, "entity", exact.cast(unit_type).alias("amount"), "beyond")
 
 
 def rank_by_window(totals: DataFrame) -> DataFrame:
@@ -171,8 +208,10 @@ def rank_by_window(totals: DataFrame) -> DataFrame:
             F.row_number().over(order).cast("bigint").alias("rnk"),
             F.sum("amount").over(running).alias("cumsum"),
             F.sum("amount").over(Window.partitionBy(*GROUP)).alias("total"),
+            F.sum("beyond").over(Window.partitionBy(*GROUP)).alias("beyond"),
         )
-        .where(F.col("total") > 0)
+        .where((F.col("total") > 0) & (F.col("beyond") == 0))
+        .drop("beyond")
     )
 
 
@@ -193,14 +232,16 @@ def rank_by_ranges(totals: DataFrame, ranges: int) -> tuple[DataFrame, str]:
     whole = Window.partitionBy(*GROUP)
     offsets = (
         rows.groupBy(*keys)
-        .agg(F.sum("amount").alias("part"), F.count(F.lit(1)).alias("part_rows"))
+        .agg(F.sum("amount").alias("part"), F.sum("beyond").alias("beyond"), F.count(F.lit(1)).alias("part_rows"))
         .select(
             *keys,
             F.coalesce(F.sum("part").over(before), F.lit(0)).alias("sum_before"),
             F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"),
             F.sum("part").over(whole).alias("total"),
+            F.sum("beyond").over(whole).alias("beyond"),
         )
-        .where(F.col("total") > 0)
+        .where((F.col("total") > 0) & (F.col("beyond") == 0))
+        .drop("beyond")
     )
     order = Window.partitionBy(*keys).orderBy(F.col("amount").desc(), F.col("entity").asc())
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -252,9 +293,7 @@ class Concentration:
     @cached_property
     def groups(self) -> DataFrame:
         """is_total, period, total_entities, total_value, input_rows, status."""
-        return _group_figures(self.totals).select(
-            *GROUP, "total_entities", F.col("total").cast("double").alias("total_value"), "input_rows", "status"
-        )
+        return _group_figures(self.totals)
 
     def periods(self) -> DataFrame:
         """Distinct periods in order."""
@@ -427,9 +466,7 @@ class Concentration:
 
 
 def _size_message(limit: int) -> Column:
-    return F.concat(
-        F.lit("Large dataset: "), F.col("total_entities").cast("string"), F.lit(f" entities (> {limit})")
-    )
+    return F.format_string(LARGE_MESSAGE, F.col("total_entities"), F.lit(limit))
 
 
 def concentrate(
@@ -439,38 +476,45 @@ def concentrate(
     period: str | None = None,
     thresholds: Iterable[int] | None = None,
     *,
-    scale: int = 6,
+    scale: int | None = None,
     max_window_rows: int = 500_000,
     rows_per_range: int = 1_000_000,
 ) -> Concentration:
-    """Run the aggregation (this starts a job) and return the analysis views.
-
-    ``value`` is rounded to ``scale`` decimals and summed as DECIMAL, which
-    makes the threshold cuts independent of row order and partitioning.
-    A group with more than ``max_window_rows`` entities is ranked by ranges.
+    """Run the aggregation (this starts jobs) and return the analysis views.
+
+    Values are summed exactly: 15 decimals, or ``scale`` (0 to 6) if that is
+    given, for values below 10**24.  Larger ones and infinities give their group
+    a status and no metrics.  So the threshold cuts are independent of row order
+    and partitioning.  Ranking keeps the decimals that occur, as far as running
+    sums fit 38 digits.  A group with more than ``max_window_rows`` entities is
+    ranked by ranges.
     """
     cuts = check_thresholds(thresholds)
-    totals, path = materialize(entity_totals(df, group_by, value, period, scale), "totals")
-    paths = [path]
+    _checked(df, group_by, value, period, scale)
+    summed, path = materialize(_summed(df, group_by, value, period, scale), "sums")
+    totals, paths = _overall(summed), [path]
+    if period is not None:
+        totals, path = materialize(totals, "overall")
+        totals = _per_period(summed).unionByName(totals)
+        paths.append(path)
     held = totals.where(F.col("entity").isNotNull())
+    cents = F.lit("0.01").cast("decimal(3,2)")
     sizes = (
         held.groupBy(*GROUP)
         .agg(
             F.count(F.lit(1)).alias("rows"),
-            F.sum(F.abs("amount")).alias("mass"),
-            F.count(F.when(F.col("amount") != F.round("amount", 2), 1)).alias("finer"),
-        )
-        .agg(
-            F.max("rows").alias("largest"),
-            F.sum("rows").alias("all"),
-            F.max("mass").alias("mass"),
-            F.sum("finer").alias("finer"),
+            F.sum(F.abs("amount") + F.lit(1)).alias("mass"),
+            F.count_if(F.col("amount") % cents != 0).alias("finer"),
+            F.count_if(F.col("fine") != 0).alias("finest"),
         )
+        .agg(*[F.max(c).alias(c) for c in ("rows", "mass", "finer", "finest")], F.sum("rows").alias("all"))
         .first()
     )
-    places = scale if sizes["finer"] else min(scale, 2)
-    units = in_units(held, places, sizes["mass"] or 0)
-    if (sizes["largest"] or 0) <= max_window_rows:
+    finest = 15 if sizes["finest"] else _PLACES if sizes["finer"] else 2
+    mass = sizes["mass"] or 0
+    places = places_for(finest, mass)
+    units = in_units(held, places, mass)
+    if (sizes["rows"] or 0) <= max_window_rows:
         ranked = rank_by_window(units)
     else:
         shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -47,13 +47,7 @@ def findings(result: Concentration, column_count: int | None = None, grain: str
     lines += [
         line(
             "finding",
-            F.concat(
-                F.lit(fixed.TOP_FINDING[0]),
-                F.col("entity_count").cast("string"),
-                F.lit(fixed.TOP_FINDING[1]),
-                F.format_string("%.1f", share),
-                F.lit(fixed.TOP_FINDING[2]),
-            ),
+            F.format_string(fixed.TOP_FINDING, F.col("entity_count"), share),
             share.isNotNull(),
         ),
         line(

@@ -125,13 +125,7 @@ def negative_policy(df: DataFrame, allowed: list[str] | None = None) -> DataFram
             is_allowed.alias("is_allowed"),
             F.when(
                 ~is_allowed,
-                F.concat(
-                    F.lit(fixed.UNEXPECTED_NEGATIVES[0]),
-                    F.col("column_name"),
-                    F.lit(fixed.UNEXPECTED_NEGATIVES[1]),
-                    F.col("negative_count").cast("string"),
-                    F.lit(fixed.UNEXPECTED_NEGATIVES[2]),
-                ),
+                F.format_string(fixed.UNEXPECTED_NEGATIVES, F.col("column_name"), F.col("negative_count")),
             ).alias("warning"),
         )
     )

@@ -13,9 +13,12 @@ _METRIC = "count bigint, value double, percentage double, pct_of_total double"
 
 
 def long_report(result: Concentration) -> DataFrame:
-    """period, threshold, count, value, pct_of_total (1 decimal), group_by, value_column."""
+    """is_total, period, threshold, count, value, pct_of_total (1 decimal), group_by, value_column.
+
+    ``is_total`` keeps a period called TOTAL apart from the total.
+    """
     return result.metrics().select(
-        "period",
+        *GROUP,
         "threshold",
         F.col("entity_count").alias("count"),
         "value",
@@ -27,7 +30,7 @@ def long_report(result: Concentration) -> DataFrame:
 
 def sorted_report(result: Concentration) -> DataFrame:
     """The long report in period and numeric threshold order, for writing."""
-    return long_report(result).orderBy("period", F.col("threshold").cast("int"))
+    return long_report(result).orderBy(*GROUP, F.col("threshold").cast("int"))
 
 
 def summary_wide(result: Concentration) -> DataFrame:
@@ -53,13 +56,13 @@ def summary_wide(result: Concentration) -> DataFrame:
 
 def details(result: Concentration) -> DataFrame:
     """The first ten rows of every period's ranking."""
-    return result.head(REPORT_HEAD_ROWS).select("period", "entity", "value", "cumsum", "cumulative_pct")
+    return result.head(REPORT_HEAD_ROWS).select(*GROUP, "entity", "value", "cumsum", "cumulative_pct")
 
 
 def top_entities(result: Concentration) -> DataFrame:
     """As ``details`` with the rank."""
     return result.head(REPORT_HEAD_ROWS).select(
-        "period", F.col("rnk").alias("rank"), "entity", "value", "cumsum", "cumulative_pct"
+        *GROUP, F.col("rnk").alias("rank"), "entity", "value", "cumsum", "cumulative_pct"
     )
 
 

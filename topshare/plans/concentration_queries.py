@@ -109,6 +109,61 @@ ORACLES["concentration_none_grain"] = (
     concentration_sql("SELECT p_brand AS entity, 'ALL' AS period, p_retailprice AS value FROM part") + METRICS_SQL
 )
 
+
+
+def _fine_amounts(spark, d, **options):
+    """Sums of micro amounts: periods far below a millionth, and amounts that differ in the sixth decimal only."""
+    lines = table(spark, d, "lineitem").select(
+        "l_suppkey",
+        F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("line"),
+        F.when(F.col("l_linenumber") == 1, F.col("l_quantity") / F.lit(1e9))
+        .when(F.col("l_linenumber") == 2, F.lit(10.0) + (F.col("l_suppkey") % 7) / F.lit(1e6))
+        .otherwise(F.col("l_extendedprice") + (F.col("l_suppkey") % 9) / F.lit(1e6))
+        .alias("amount"),
+    )
+    found = concentrate(lines, "l_suppkey", "amount", "line", **options).metrics()
+    # Nine decimals of a period below a millionth, six of the others.
+    value = F.when(F.col("period") == "L1", F.round(F.col("value") * 1e9, 3)).otherwise(F.round("value", 5))
+    return found.where(~F.col("is_total")).select("period", "threshold", "entity_count", value.alias("value"), F.round("pct", 5).alias("pct"))
+
+
+def concentration_fine_amounts(spark, d):
+    return _fine_amounts(spark, d)
+
+
+def concentration_fine_amounts_ranges(spark, d):
+    """The same result through range partitioning."""
+    return _fine_amounts(spark, d, max_window_rows=0)
+
+
+_FINE_SQL = """
+WITH src AS (
+  SELECT l_suppkey AS entity, 'L' || l_linenumber AS period,
+         CASE WHEN l_linenumber = 1 THEN CAST(round(l_quantity * 1000000) AS HUGEINT)
+              WHEN l_linenumber = 2 THEN 10000000000000000 + (l_suppkey % 7) * 1000000000
+              ELSE CAST(round(l_extendedprice * 1000000) AS HUGEINT) * 1000000000 + (l_suppkey % 9) * 1000000000 END AS units
+  FROM lineitem
+),
+e AS (SELECT period, entity, sum(units) AS amount FROM src GROUP BY period, entity),
+r AS (
+  SELECT *, sum(amount) OVER (PARTITION BY period) AS total,
+         row_number() OVER (PARTITION BY period ORDER BY amount DESC, entity) AS rnk,
+         sum(amount) OVER (PARTITION BY period ORDER BY amount DESC, entity ROWS UNBOUNDED PRECEDING) AS cumsum
+  FROM e
+),
+m AS (
+  SELECT period, x AS threshold, greatest(count(*) FILTER (WHERE cumsum * 100 <= total * x), 1) AS entity_count,
+         coalesce(sum(amount) FILTER (WHERE cumsum * 100 <= total * x), max(amount) FILTER (WHERE rnk = 1)) AS v, max(total) AS total
+  FROM r CROSS JOIN (SELECT unnest([10, 20, 50]) AS x) GROUP BY period, x
+)
+SELECT period, threshold, entity_count,
+       CASE WHEN period = 'L1' THEN round(CAST(v AS DOUBLE) / 1e6, 3) ELSE round(CAST(v AS DOUBLE) / 1e15, 5) END AS value,
+       round(CAST(v AS DOUBLE) / CAST(total AS DOUBLE) * 100, 5) AS pct
+FROM m
+"""
+ORACLES["concentration_fine_amounts"] = _FINE_SQL
+ORACLES["concentration_fine_amounts_ranges"] = _FINE_SQL
+
 # -- special cases -----------------------------------------------------------
 
 
@@ -254,7 +309,7 @@ def size_warnings(spark, d):
 
 ORACLES["size_warnings"] = (
     concentration_sql("SELECT l_partkey AS entity, CAST(year(l_shipdate) AS VARCHAR) AS period, l_quantity AS value FROM lineitem")
-    + "SELECT is_total, period, total_entities, 'Large dataset: ' || total_entities || ' entities (> 100)' AS message FROM gs WHERE total_entities > 100"
+    + "SELECT is_total, period, total_entities, 'Large dataset detected: ' || total_entities || ' entities (>100 threshold)' AS message FROM gs WHERE total_entities > 100"
 )
 
 
@@ -268,7 +323,7 @@ ORACLES["step_log"] = (
     + """SELECT 'aggregation_' || period AS step, 'completed' AS status, period, total_entities AS entities_count,
        round(CAST(total AS DOUBLE) / 1000000.0, 2) AS total_value, NULL AS message FROM gs
 UNION ALL SELECT 'performance_warning_' || period, 'warning', period, total_entities, NULL,
-       'Large dataset: ' || total_entities || ' entities (> 100)' FROM gs WHERE total_entities > 100
+       'Large dataset detected: ' || total_entities || ' entities (>100 threshold)' FROM gs WHERE total_entities > 100
 UNION ALL SELECT 'concentration_calculation_' || period, 'completed', period, NULL, NULL, '3 thresholds calculated' FROM gs WHERE status = 'ok'
 UNION ALL SELECT 'error_' || period, 'failed', period, NULL, NULL, status FROM gs WHERE status <> 'ok'
 UNION ALL SELECT 'summary_generation', 'completed', NULL, NULL, NULL, count(*) || ' periods analyzed' FROM gs
@@ -286,8 +341,27 @@ def report_long(spark, d):
 
 ORACLES["report_long"] = (
     concentration_sql(_PRIORITY_SOURCE)
-    + """SELECT period, threshold, entity_count AS "count", round(value, 2) AS value, round(pct, 1) AS pct_of_total,
-'o_custkey' AS group_by, 'o_totalprice' AS value_column FROM m ORDER BY period, threshold"""
+    + """SELECT is_total, period, threshold, entity_count AS "count", round(value, 2) AS value, round(pct, 1) AS pct_of_total,
+'o_custkey' AS group_by, 'o_totalprice' AS value_column FROM m ORDER BY is_total, period, threshold"""
+)
+
+
+def report_total_period(spark, d):
+    """A period called TOTAL stays apart from the total, in the report and in its heads."""
+    named = F.when(F.col("o_orderpriority").startswith("1"), "TOTAL").otherwise(F.col("o_orderpriority"))
+    result = concentrate(_orders(spark, d).withColumn("priority", named), "o_custkey", "o_totalprice", "priority")
+    first = report.top_entities(result).where("rank = 1").select("is_total", "period", F.col("entity").alias("first_entity"))
+    return report.long_report(result).withColumn("value", F.round("value", 2)).join(first, ["is_total", "period"])
+
+
+ORACLES["report_total_period"] = (
+    concentration_sql(
+        "SELECT o_custkey AS entity, CASE WHEN starts_with(o_orderpriority, '1') THEN 'TOTAL' ELSE o_orderpriority END AS period, "
+        "o_totalprice AS value FROM orders"
+    )
+    + """SELECT m.is_total, m.period, threshold, entity_count AS "count", round(value, 2) AS value, round(pct, 1) AS pct_of_total,
+'o_custkey' AS group_by, 'o_totalprice' AS value_column, entity AS first_entity
+FROM m JOIN ranked r ON m.is_total = r.is_total AND m.period = r.period AND rnk = 1"""
 )
 
 
@@ -299,7 +373,7 @@ def report_totals_only(spark, d):
 
 ORACLES["report_totals_only"] = (
     concentration_sql("SELECT l_suppkey AS entity, NULL AS period, l_extendedprice AS value FROM lineitem")
-    + """SELECT period, threshold, entity_count AS "count", round(value, 2) AS value, round(pct, 1) AS pct_of_total,
+    + """SELECT is_total, period, threshold, entity_count AS "count", round(value, 2) AS value, round(pct, 1) AS pct_of_total,
 'l_suppkey' AS group_by, 'l_extendedprice' AS value_column FROM m"""
 )
 
@@ -332,7 +406,7 @@ def report_top_entities(spark, d):
 
 
 ORACLES["report_top_entities"] = (
-    concentration_sql(_PRIORITY_SOURCE) + f"SELECT period, rnk AS rank, entity, {_HEAD_FIGURES} FROM ranked WHERE rnk <= 10"
+    concentration_sql(_PRIORITY_SOURCE) + f"SELECT is_total, period, rnk AS rank, entity, {_HEAD_FIGURES} FROM ranked WHERE rnk <= 10"
 )
 
 
@@ -341,7 +415,7 @@ def report_details(spark, d):
 
 
 ORACLES["report_details"] = (
-    concentration_sql(_PRIORITY_SOURCE) + f"SELECT period, entity, {_HEAD_FIGURES} FROM ranked WHERE rnk <= 10"
+    concentration_sql(_PRIORITY_SOURCE) + f"SELECT is_total, period, entity, {_HEAD_FIGURES} FROM ranked WHERE rnk <= 10"
 )
 
 

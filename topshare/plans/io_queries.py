@@ -70,6 +70,7 @@ def report_csv_round_trip(spark, d):
     files.write_csv(report.sorted_report(result), path, single_file=True)
     back = files.read_csv(spark, path)
     return back.select(
+        F.col("is_total").cast("boolean").alias("is_total"),
         "period",
         F.col("threshold").cast("int").alias("threshold"),
         F.col("count").cast("bigint").alias("count"),
@@ -81,7 +82,8 @@ def report_csv_round_trip(spark, d):
 
 ORACLES["report_csv_round_trip"] = (
     concentration_sql(_PRIORITY_SOURCE)
-    + """SELECT period, threshold, entity_count AS "count", round(value, 2) AS value, round(pct, 1) AS pct_of_total, 'o_custkey' AS group_by FROM m"""
+    + """SELECT is_total, period, threshold, entity_count AS "count", round(value, 2) AS value, round(pct, 1) AS pct_of_total,
+'o_custkey' AS group_by FROM m"""
 )
 
 
