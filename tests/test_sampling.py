@@ -8,7 +8,8 @@ from topshare.operators.numbering import number_rows
 
 
 def digest(*parts):
-    return hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()
+    *seeds, key = map(str, parts)
+    return hashlib.md5("|".join([*seeds, f"{len(key)}:{key}"]).encode()).hexdigest()
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +109,27 @@ def test_row_numbers_with_null_groups(spark, rows):
     df = spark.createDataFrame([(1, None), (2, None), (3, "a")], "id int, g string")
     numbered = number_rows(df, [F.col("id").asc()], ["g"], max_window_rows=0)
     assert rows(numbered) == rows(number_rows(df, [F.col("id").asc()], ["g"]))
+
+
+def test_composite_keys_stay_apart(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("", None), (None, "")], "x string, y string")
+    assert sampling.random_sample(df, ["x", "y"], 50.0).count() == 2
+    assert df.select(sampling.row_hash(["x", "y"], 42).alias("h")).distinct().count() == 4
+
+
+def test_large_buckets_are_split_by_more_digits(spark):
+    from topshare.operators.numbering import hash_cutoffs
+
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('g', id % 50) END AS g")
+    hashed = df.select("g", sampling.row_hash(["id"], 1).alias("h"))
+    quota = F.floor(F.col("n") * 0.3)
+    once = {tuple(r) for r in hash_cutoffs(hashed, ["g"], quota).collect()}
+    assert once == {tuple(r) for r in hash_cutoffs(hashed, ["g"], quota, ranked_rows=0).collect()}
+
+
+def test_nan_is_missing_for_edge_cases(spark):
+    rows = [(1, 1.0), (2, float("nan")), (3, 3.0), (4, 2.0), (5, 9.0)]
+    df = spark.createDataFrame(rows, "id int, value double")
+    found = {r["id"] for r in sampling.edge_cases_sample(df, ["id"], ["value"]).collect()}
+    assert found == {1, 2, 3, 4, 5}
+    assert df.where(sampling.has_null(df)).count() == 1

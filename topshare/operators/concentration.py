@@ -64,7 +64,7 @@ def _need_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"column not found: {', '.join(missing)}; available: {', '.join(df.columns)}")
 
 
-def _without_nan(df: DataFrame, name: str) -> Column:
+def without_nan(df: DataFrame, name: str) -> Column:
     """NaN counts as null everywhere in this package."""
     column = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
@@ -83,8 +83,8 @@ def _checked(df: DataFrame, group_by: str, value: str, period: str | None, scale
 def _summed(df: DataFrame, group_by: str, value: str, period: str | None, scale: int | None) -> DataFrame:
     """Exact sums per (period, entity), null periods included: the one pass over the input."""
     parts, sums = _exact_sums(df, value, scale)
-    label = _without_nan(df, period).cast("string") if period else F.lit(TOTAL)
-    rows = df.select(label.alias("period"), _without_nan(df, group_by).alias("entity"), *parts)
+    label = without_nan(df, period).cast("string") if period else F.lit(TOTAL)
+    rows = df.select(label.alias("period"), without_nan(df, group_by).alias("entity"), *parts)
     return _carried(rows.groupBy("period", "entity").agg(*sums, F.count(F.lit(1)).alias("n_rows")))
 
 
@@ -114,7 +114,7 @@ def _exact_sums(df: DataFrame, value: str, scale: int | None) -> tuple[list[Colu
     integers of 24 and 28 bits, whose BIGINT sums cannot overflow at any
     realistic row count; only larger values go through DECIMAL.
     """
-    column = _without_nan(df, value)
+    column = without_nan(df, value)
     kind = df.schema[value].dataType
     wide = T.DecimalType(30, _PLACES)
     kept = _PLACES if scale is None else scale

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from topshare.session import materialize
 
 _BUCKET_DIGITS = 4
+_HASH_DIGITS = 32
+#: A bucket with more rows is split by further digits of the hash before it is ranked.
+_RANKED_ROWS = 1_000_000
 
 
 def number_rows(
@@ -57,24 +60,35 @@ def number_rows(
 
 
 def row_hash(keys: Sequence[str], seed: int | str) -> Column:
-    """A repeatable pseudo-random order: md5 of seed and key values."""
-    values = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys]
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *values))
+    """A repeatable pseudo-random order: md5 of seed and key values.
 
+    Each value has its length before it and null is a dash, so different keys
+    never make the same text.
+    """
+
+    def told(key: str) -> Column:
+        text = F.col(f"`{key}`").cast("string")
+        return F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[told(k) for k in keys]))
 
-def hash_cutoffs(hashed: DataFrame, groups: Sequence[str], quota: Column, hash_name: str = "h") -> DataFrame:
+
+def hash_cutoffs(
+    hashed: DataFrame, groups: Sequence[str], quota: Column, hash_name: str = "h", ranked_rows: int = _RANKED_ROWS
+) -> DataFrame:
     """Per group, the hash of its ``quota``-th row in hash order, as ``cutoff`` (this starts jobs).
 
     ``quota`` is an expression of the group size ``n``.  Rows are counted per
     group and hash prefix first; only the one prefix in which the quota ends is
-    ranked, so a group that holds a third of all rows is still 65,536 parts.
-    Groups with quota 0 are absent.
+    ranked.  A group that holds a third of all rows is 65,536 parts, and while
+    the part of any group has more than ``ranked_rows`` rows, parts are counted
+    again by four more digits.  Groups with quota 0 are absent.
 
     Both small tables (a row per group) are written out: the planner then knows
     their size and broadcasts them if that is small, or else joins by sorting.
     """
-    bucket = F.substring(hash_name, 1, _BUCKET_DIGITS).alias("bucket")
-    narrow = hashed.select(*groups, hash_name, bucket)
+    digits = _BUCKET_DIGITS
+    narrow = hashed.select(*groups, hash_name, F.substring(hash_name, 1, digits).alias("bucket"))
     before = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ending = (
         narrow.groupBy(*groups, "bucket")
@@ -88,9 +102,19 @@ def hash_cutoffs(hashed: DataFrame, groups: Sequence[str], quota: Column, hash_n
         )
         .withColumn("quota", quota.cast("bigint"))
         .where((F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("size")))
-        .select(*groups, "bucket", (F.col("quota") - F.col("before")).alias("rest"))
+        .select(*groups, "bucket", "size", (F.col("quota") - F.col("before")).alias("rest"))
     )
     ending, _path = materialize(ending, "quota-ends")
+    while digits < _HASH_DIGITS and not ending.where(F.col("size") > ranked_rows).isEmpty():
+        digits += _BUCKET_DIGITS
+        inside = narrow.join(ending.select(*groups, "bucket", "rest"), [*groups, "bucket"])
+        narrow = inside.withColumn("bucket", F.substring(hash_name, 1, digits)).select(*groups, hash_name, "bucket", "rest")
+        counted = narrow.groupBy(*groups, "bucket").agg(F.count(F.lit(1)).alias("size"), F.first("rest").alias("rest"))
+        placed = counted.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+        closing = (F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("size"))
+        ending = placed.where(closing).select(*groups, "bucket", "size", (F.col("rest") - F.col("before")).alias("rest"))
+        ending, _path = materialize(ending, "quota-ends")
+        narrow = narrow.drop("rest")
     in_bucket = Window.partitionBy(*groups).orderBy(hash_name)
     cutoffs = (
         narrow.join(ending, [*groups, "bucket"])

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topshare.operators.concentration import without_nan
 from topshare.operators.numbering import hash_cutoffs, number_rows, row_hash
 from topshare.session import materialize
 
@@ -61,20 +62,19 @@ def time_balanced_sample(
 
 def top_entities(df: DataFrame, group: str, value: str, top_n: int = 10) -> DataFrame:
     """The ``top_n`` entities by total value, ties by name."""
-    total = F.sum(F.col(f"`{value}`").cast("decimal(28,6)")).alias("total_value")
+    total = F.sum(without_nan(df, value).cast("decimal(28,6)")).alias("total_value")
     sums = df.where(F.col(f"`{group}`").isNotNull()).groupBy(group).agg(total)
     return sums.orderBy(F.col("total_value").desc_nulls_last(), F.col(f"`{group}`").asc()).limit(top_n)
 
 
 def top_entities_sample(df: DataFrame, group: str, value: str, top_n: int = 10) -> DataFrame:
-    """All rows of the top entities: a semi join with a list of at most ``top_n`` names."""
-    return df.join(F.broadcast(top_entities(df, group, value, top_n).select(group)), group, "left_semi").select(
-        *df.columns
-    )
+    """All rows of the top entities: a semi join with ``top_n`` names, which Spark broadcasts if they are few."""
+    return df.join(top_entities(df, group, value, top_n).select(group), group, "left_semi").select(*df.columns)
 
 
 def has_null(df: DataFrame) -> Column:
-    return reduce(or_, [F.col(f"`{c}`").isNull() for c in df.columns])
+    """Whether any column is null; NaN counts as null, here as everywhere in this package."""
+    return reduce(or_, [without_nan(df, c).isNull() for c in df.columns])
 
 
 def edge_cases_sample(
@@ -99,7 +99,7 @@ def edge_cases_sample(
 
     parts = [first(df.where(has_null(df)), 5)]
     for v in list(values)[:3]:
-        column = F.col(f"`{v}`")
+        column = without_nan(df, v)
         present = df.where(column.isNotNull())
         parts += [first(present, 2, column.asc()), first(present, 2, column.desc())]
     for t in list(texts)[:2]:
@@ -157,7 +157,8 @@ def add_column_nulls(
         raise ValueError(f"unknown pattern {pattern}: use random, first_n, last_n or every_nth")
     n = df.count()
     chosen = min(max(1, int(n * null_percentage / 100)), n)
-    numbered = number_rows(df, _ordered(keys))
+    # Only keys are numbered; the rows to change are found by them.
+    numbered = number_rows(df.select(*[F.col(f"`{k}`") for k in keys]), _ordered(keys))
     row = F.col("row_no")
     step = max(1, n // chosen) if chosen else 1
     hit = {
@@ -165,8 +166,10 @@ def add_column_nulls(
         "last_n": row > n - chosen,
         "every_nth": ((row - 1) % step == 0) & ((row - 1) / step < chosen),
     }[pattern]
-    return numbered.select(
-        *[F.when(~hit, F.col(f"`{c}`")).alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]
+    found = numbered.where(hit).select(*[F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)], F.lit(True).alias("__hit"))
+    same = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)])
+    return df.join(found, same, "left").select(
+        *[F.when(F.col("__hit").isNull(), F.col(f"`{c}`")).alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]
     )
 
 

@@ -13,7 +13,7 @@ from topshare.plans.common import table
 
 QUERIES, ORACLES = {}, {}
 _KEY = ["o_orderkey"]
-_HASH = "md5('42|' || o_orderkey)"
+_HASH = "md5('42|' || length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey)"
 
 
 def sample_random(spark, d):
@@ -93,18 +93,23 @@ UNION SELECT * FROM (SELECT * FROM o WHERE regexp_matches(o_orderpriority, '[^\\
 
 
 def inject_nulls(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    return sampling.add_random_nulls(orders, _KEY, 12.0)
+    return sampling.add_random_nulls(table(spark, d, "orders"), _KEY, 12.0)
 
 
-_NULLS = "row_number() OVER (ORDER BY md5('42|{0}|' || o_orderkey))"
-ORACLES["inject_nulls"] = f"""SELECT o_orderkey, CASE WHEN a > k THEN o_totalprice END AS o_totalprice, CASE WHEN b > k THEN o_orderstatus END AS o_orderstatus FROM (
-SELECT *, {_NULLS.format('o_totalprice')} AS a, {_NULLS.format('o_orderstatus')} AS b, greatest(1, floor(count(*) OVER () * 12.0 / 100)) AS k FROM orders) t"""
+_NULLS = "row_number() OVER (ORDER BY md5('42|{0}|' || length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey))"
+_NULLED = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+ORACLES["inject_nulls"] = (
+    "SELECT o_orderkey, "
+    + ", ".join(f"CASE WHEN r_{c} > k THEN {c} END AS {c}" for c in _NULLED)
+    + " FROM (SELECT *, "
+    + ", ".join(f"{_NULLS.format(c)} AS r_{c}" for c in _NULLED)
+    + ", greatest(1, floor(count(*) OVER () * 12.0 / 100)) AS k FROM orders) t"
+)
 
 
 def inject_nulls_patterns(spark, d):
     """Which rows each pattern of a single column hits."""
-    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    orders = table(spark, d, "orders")
     parts = [
         sampling.add_column_nulls(orders, "o_totalprice", _KEY, 7.0, pattern)
         .where(F.col("o_totalprice").isNull())
@@ -115,13 +120,44 @@ def inject_nulls_patterns(spark, d):
 
 
 ORACLES["inject_nulls_patterns"] = """WITH t AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn, count(*) OVER () AS n,
-row_number() OVER (ORDER BY md5('42|o_totalprice|' || o_orderkey)) AS h, CAST(greatest(1, floor(count(*) OVER () * 7.0 / 100)) AS BIGINT) AS k FROM orders)
+row_number() OVER (ORDER BY md5('42|o_totalprice|' || length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey)) AS h, CAST(greatest(1, floor(count(*) OVER () * 7.0 / 100)) AS BIGINT) AS k FROM orders)
 SELECT 'random' AS pattern, o_orderkey FROM t WHERE h <= k
 UNION ALL SELECT 'first_n', o_orderkey FROM t WHERE rn <= k
 UNION ALL SELECT 'last_n', o_orderkey FROM t WHERE rn > n - k
 UNION ALL SELECT 'every_nth', o_orderkey FROM t WHERE (rn - 1) % greatest(1, n // k) = 0 AND (rn - 1) // greatest(1, n // k) < k"""
 
 
+def sample_composite_key(spark, d):
+    """A sample by two text keys whose joined texts would be ambiguous."""
+    lines = table(spark, d, "lineitem").select(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("|")).alias("a"),
+        F.concat(F.lit("|"), F.col("l_linenumber").cast("string")).alias("b"),
+        "l_quantity",
+    )
+    return sampling.random_sample(lines, ["a", "b"], 10.0)
+
+
+ORACLES["sample_composite_key"] = """WITH t AS (SELECT l_orderkey || '|' AS a, '|' || l_linenumber AS b, l_quantity FROM lineitem)
+SELECT a, b, l_quantity FROM (SELECT *, count(*) OVER () AS n,
+row_number() OVER (ORDER BY md5('42|' || length(a) || ':' || a || '|' || length(b) || ':' || b)) AS pos FROM t) u WHERE pos <= floor(n * 0.1)"""
+
+
+def sample_edge_cases_nan(spark, d):
+    """NaN is a missing value: such rows count as rows with nulls and are no extremes."""
+    orders = table(spark, d, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 400 == 3, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("price"),
+    )
+    found = sampling.edge_cases_sample(orders, _KEY, ["price"])
+    return found.withColumn("price", F.nanvl("price", F.lit(None).cast("double")))
+
+
+ORACLES["sample_edge_cases_nan"] = """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 400 <> 3 THEN o_totalprice END AS price FROM orders)
+SELECT * FROM (SELECT * FROM o WHERE price IS NULL ORDER BY o_orderkey LIMIT 5)
+UNION SELECT * FROM (SELECT * FROM o WHERE price IS NOT NULL ORDER BY price, o_orderkey LIMIT 2)
+UNION SELECT * FROM (SELECT * FROM o WHERE price IS NOT NULL ORDER BY price DESC, o_orderkey LIMIT 2)"""
+
+
 def row_numbers_by_ranges(spark, d):
     """Row numbers per customer by date, through range partitioning."""
     orders = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
