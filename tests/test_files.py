@@ -61,3 +61,18 @@ def test_samples(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "samples" / "sample_single_null_column"))
     assert stored.where("value is null").count() == 4
     assert all(f["sha256"] for r in manifest.collect() for f in r["files"])
+
+
+def test_csv_reader_loses_nothing(spark, tmp_path, rows):
+    ragged = tmp_path / "ragged.csv"
+    ragged.write_text("a,b\n1,x,EXTRA\n2,y\n")
+    with pytest.raises(Exception):
+        files.read_csv(spark, str(ragged)).collect()
+    with pytest.raises(Exception):
+        files.read_csv(spark, str(ragged)).select("a").collect()
+    assert rows(files.read_csv(spark, str(ragged), mode="PERMISSIVE")) == [("1", "x"), ("2", "y")]
+    broken = tmp_path / "broken.csv"
+    broken.write_text('a,b\n1,"x\ny, z"\n2,w\n')
+    with pytest.raises(Exception):
+        files.read_csv(spark, str(broken)).collect()
+    assert rows(files.read_csv(spark, str(broken), multiLine=True)) == [("1", "x\ny, z"), ("2", "w")]

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from topshare.functions.naming import alias_for, standard_names
 from topshare.functions.text_numbers import as_boolean, parse_numbers, percent_share
-from topshare.operators.normalize import normalize, plan_normalization
+from topshare.operators.normalize import apply_plans, normalize, plan_normalization
 
 NBSP, NARROW, MINUS = "\u00a0", "\u202f", "\u2212"
 
@@ -241,3 +241,14 @@ def test_plan_size_does_not_grow_with_columns(spark):
         return len(column_counters(df)._jdf.queryExecution().optimizedPlan().toString())
 
     assert size(40) < 2 * size(10)
+
+
+def test_long_ids_stay_apart(spark):
+    ids = ["1234567890123456781", "1234567890123456782"]
+    wider = ["92233720368547758080", "92233720368547758081"]
+    digits = ["1" * 39 + "1", "1" * 39 + "2"]
+    df = spark.createDataFrame(list(zip(ids, wider, digits)), "a string, b string, c string")
+    data = apply_plans(df, plan_normalization(df))
+    assert dict(data.dtypes) == {"a": "bigint", "b": "decimal(38,0)", "c": "string"}
+    assert {str(r["a"]) for r in data.collect()} == set(ids)
+    assert {str(r["b"]) for r in data.collect()} == set(wider) and {r["c"] for r in data.collect()} == set(digits)

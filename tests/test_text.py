@@ -77,3 +77,10 @@ def test_fingerprint(spark):
     one = [r[0] for r in df.select(screening.row_fingerprint(["x", "y", "z"])).collect()]
     other = [r[0] for r in df.select(screening.row_fingerprint(["z", "y", "x"])).collect()]
     assert one == other and one[0] == one[1] != one[2] and all(re.fullmatch("[0-9a-f]{16}", f) for f in one)
+
+
+def test_fingerprint_keeps_types(spark):
+    df = spark.sql("SELECT 1 AS a, '1' AS b")
+    one, other = (df.select(screening.row_fingerprint([c]).alias("f")) for c in ("a", "b"))
+    same = df.select(F.col("b").alias("a")).select(screening.row_fingerprint(["a"]).alias("f"))
+    assert len({one.first()["f"], other.first()["f"], same.first()["f"]}) == 3

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from topshare.functions import fixed
 
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-PLAIN_INTEGER = r"^[+-]?\d{1,18}$"
+WHOLE_NUMBER = r"^[+-]?\d+$"
 # Every blank other than the plain space.
 OTHER_BLANKS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"

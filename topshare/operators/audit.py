@@ -242,3 +242,14 @@ def validate_schemas(documents: DataFrame, payload: str, row_counts: DataFrame |
         "dataset_id", F.lit("error").alias("severity"), F.lit(fixed.NO_DATA).alias("message")
     )
     return found.unionByName(data)
+
+
+def schema_verdicts(documents: DataFrame, payload: str, row_counts: DataFrame | None = None) -> DataFrame:
+    """dataset_id, is_valid (no error), n_errors, n_warnings of every dataset."""
+    found = validate_schemas(documents, payload, row_counts)
+    counts = found.groupBy("dataset_id").agg(
+        F.count_if(F.col("severity") == "error").alias("n_errors"),
+        F.count_if(F.col("severity") == "warning").alias("n_warnings"),
+    )
+    all_ = documents.select("dataset_id").distinct().join(counts, "dataset_id", "left").fillna(0, ["n_errors", "n_warnings"])
+    return all_.select("dataset_id", (F.col("n_errors") == 0).alias("is_valid"), "n_errors", "n_warnings")

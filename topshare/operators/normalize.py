@@ -19,7 +19,7 @@ from topshare.functions import fixed
 from topshare.functions.dates import parse_timestamp
 from topshare.functions.naming import says_date_text, says_percent, standard_names
 from topshare.functions.text_numbers import (
-    PLAIN_INTEGER,
+    WHOLE_NUMBER,
     as_boolean,
     parse_numbers,
     percent_share,
@@ -56,6 +56,8 @@ STEPS = [NUMERIC, PERCENT, PERCENT_ONLY, DATETIME, BOOLEAN]
 # Plain text columns that only need their type.
 PLAIN_NUMBERS = "plain_number"
 PLAIN_INTEGERS = "plain_integer"
+PLAIN_WHOLE = "plain_whole"
+PLAIN_DIGITS = "plain_digits"
 UNCHANGED = "unchanged"
 
 
@@ -95,6 +97,7 @@ def column_counters(df: DataFrame) -> DataFrame:
     # Text after the null tokens: null where there is no value to judge.
     parsed = parse_numbers(long, ["value"]).withColumn("text", F.when(F.col("raw").isNotNull(), value["text"]))
     text = F.col("text")
+    whole = text.rlike(WHOLE_NUMBER)
     large = value["plain"] & (value["number"] > 1) & (value["number"] <= 100)
     # A null token is no value: nothing in it counts.
     count = lambda cond: F.count(F.when((text != "") & cond, 1))
@@ -102,7 +105,9 @@ def column_counters(df: DataFrame) -> DataFrame:
         F.count("raw").alias("n_present"),
         count(F.lit(True)).alias("n_filled"),
         count(value["plain"]).alias("n_plain"),
-        count(text.rlike(PLAIN_INTEGER)).alias("n_integer"),
+        count(whole).alias("n_whole"),
+        count(whole & text.try_cast("bigint").isNotNull()).alias("n_integer"),
+        count(whole & text.try_cast("decimal(38,0)").isNotNull()).alias("n_decimal"),
         count(text.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias("n_true_false"),
         count(value["coerced"]).alias("successful_coercions"),
         count(value["failed"]).alias("failed_numeric_coercions"),
@@ -165,14 +170,20 @@ def cascade(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     )
     columns = df.sparkSession.createDataFrame(facts, schema)
     found = columns.join(column_counters(df), "column_name", "left")
-    zeros = {c: 0 for c in [*COUNTERS, "n_filled"]}
+    zeros = {c: 0 for c in [*COUNTERS, "n_filled", "n_whole", "n_decimal"]}
     found = found.fillna(zeros)
 
     text = F.col("kind") == "text"
     filled = F.col("n_filled")
     is_plain = text & (filled > 0) & (F.col("n_plain") == filled)
     is_logical = F.col("n_present") * fixed.VALID_SHARE <= F.col("boolean_coerced")
-    typed = F.when(F.col("n_integer") == filled, PLAIN_INTEGERS).otherwise(PLAIN_NUMBERS)
+    # Whole numbers never become DOUBLE, which would merge long ids: BIGINT, DECIMAL or, beyond 38 digits, text.
+    typed = (
+        F.when(F.col("n_integer") == filled, PLAIN_INTEGERS)
+        .when(F.col("n_decimal") == filled, PLAIN_WHOLE)
+        .when(F.col("n_whole") == filled, PLAIN_DIGITS)
+        .otherwise(PLAIN_NUMBERS)
+    )
     branch = (
         F.when(text & ~is_plain & (F.col("n_true_false") < filled) & (F.col("successful_coercions") > 0), NUMERIC)
         .when(F.col("kind").isin("text", "number") & (F.col("percent_normalized") > 0), PERCENT)
@@ -199,7 +210,7 @@ def cascade(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
         .withColumn("currencies", F.when(numeric, F.col("currencies")).otherwise(F.array().cast("array<string>")))
         .withColumn("multi_currency", F.size("currencies") > 1)
         .withColumn("failed_ratio", F.try_divide(F.col("failed_numeric_coercions").cast("double"), filled.cast("double")))
-        .drop("conventions")
+        .drop("conventions", "n_whole", "n_decimal")
         .orderBy("position")
     )
 
@@ -278,6 +289,10 @@ def apply_plans(df: DataFrame, plans: list[ColumnPlan]) -> DataFrame:
             return percent_share(column, says_percent(name))["number"]
         if plan.typed == PLAIN_INTEGERS:
             return stripped(column).cast("bigint")
+        if plan.typed == PLAIN_WHOLE:
+            return stripped(column).cast("decimal(38,0)")
+        if plan.typed == PLAIN_DIGITS:
+            return stripped(column)
         if plan.typed == PLAIN_NUMBERS:
             return plain_number(column)
         if plan.branch == DATETIME and text:

@@ -86,6 +86,11 @@ def screen_messages(df: DataFrame, text: str) -> DataFrame:
 
 
 def row_fingerprint(columns: Sequence[str]) -> Column:
-    """First 16 hex digits of SHA-256 over the row as JSON text with sorted keys."""
-    ordered = F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in sorted(columns)])
-    return F.substring(F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}), 256), 1, 16)
+    """First 16 hex digits of SHA-256 over the row as JSON text with sorted keys.
+
+    Values keep their types, so the number 1 and the text "1" differ.
+    """
+    ordered = F.struct(*[F.col(f"`{c}`").alias(c) for c in sorted(columns)])
+    moment = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    options = {"ignoreNullFields": "false", "timestampFormat": moment, "timestampNTZFormat": moment}
+    return F.substring(F.sha2(F.to_json(ordered, options), 256), 1, 16)

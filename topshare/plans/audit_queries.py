@@ -142,28 +142,38 @@ FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY
 
 
 def artifact_violations(spark, d):
-    """Documents as answers of four functions, with lists and texts of any length."""
+    """Documents as answers of all six functions and an unknown one, with lists and texts of any length."""
     key = F.col("doc_id")
     repeat = lambda n: F.array_repeat(F.col("source"), n.cast("int"))
     function = (
-        F.when(key % 5 == 0, "risk_flags")
-        .when(key % 5 == 1, "threshold_recommendations")
-        .when(key % 5 == 2, "qa_over_context")
-        .when(key % 5 == 3, "data_quality_report")
+        F.when(key % 7 == 0, "risk_flags")
+        .when(key % 7 == 1, "threshold_recommendations")
+        .when(key % 7 == 2, "qa_over_context")
+        .when(key % 7 == 3, "data_quality_report")
+        .when(key % 7 == 5, "narrative_insights")
+        .when(key % 7 == 6, "schema_description")
         .otherwise("free_text")
     )
-    is_a = lambda i: key % 5 == i
+    is_a = lambda i: key % 7 == i
     answer = F.struct(
         F.when(is_a(0) & (key % 3 > 0), F.when(F.col("lang") == "en", "low").otherwise("severe")).alias("level"),
         F.when(is_a(0), repeat(key % 8)).alias("reasons"),
         F.when(is_a(0), F.col("n_chars") / 50.0).alias("score"),
-        F.when(is_a(1), F.array((key % 120).cast("int"), F.lit(10), (key % 7 * 10).cast("int"))).alias("suggested"),
+        F.when(is_a(1), F.array((key % 120).cast("int"), F.lit(10), (key % 6 * 10).cast("int"))).alias("suggested"),
         F.when(is_a(1), F.col("text")).alias("rationale"),
         F.when(is_a(2), F.col("text")).alias("answer"),
         F.when(is_a(2) & (key % 4 > 0), repeat(key % 9)).alias("citations"),
         F.when(is_a(3), repeat(key % 13)).alias("issues"),
-        F.when(is_a(3), repeat(key % 11)).alias("recommendations"),
-        F.when(is_a(3), (key % 14).cast("int")).alias("severity_score"),
+        F.when(is_a(3) | (is_a(5) & (key % 6 > 0)), repeat(key % 11)).alias("recommendations"),
+        F.when(is_a(3), (key % 15).cast("int")).alias("severity_score"),
+        F.when(is_a(5) & (key % 3 > 0), F.col("text")).alias("executive_summary"),
+        F.when(is_a(5), repeat(key % 12)).alias("key_findings"),
+        F.when(is_a(5), repeat(key % 8)).alias("risk_indicators"),
+        F.when(is_a(5) & (key % 4 > 0), repeat(key % 9)).alias("opportunities"),
+        F.when(is_a(6) & (key % 3 > 0), F.create_map(F.lit("doc_id"), F.col("source"))).alias("column_descriptions"),
+        F.when(is_a(6) & (key % 4 > 0), F.col("source")).alias("business_context"),
+        F.when(is_a(6) & (key % 5 > 0), repeat(key % 4)).alias("data_quality_notes"),
+        F.when(is_a(6) & (key % 6 > 0), repeat(key % 4)).alias("recommended_analyses"),
     )
     artifacts = table(spark, d, "documents").select(
         "doc_id", function.alias("function_name"), F.to_json(answer).alias("response")
@@ -172,23 +182,43 @@ def artifact_violations(spark, d):
 
 
 _RULES = [
-    ("risk_flags", "level: missing", "doc_id % 5 = 0 AND doc_id % 3 = 0"),
-    ("risk_flags", "level: low, medium or high", "doc_id % 5 = 0 AND doc_id % 3 > 0 AND lang <> 'en'"),
-    ("risk_flags", "reasons: 1..5 entries", "doc_id % 5 = 0 AND doc_id % 8 NOT BETWEEN 1 AND 5"),
-    ("risk_flags", "score: range 0..100", "doc_id % 5 = 0 AND n_chars / 50.0 > 100"),
-    ("threshold_recommendations", "suggested: range 1..100", "doc_id % 5 = 1 AND (doc_id % 120 NOT BETWEEN 1 AND 100 OR doc_id % 7 = 0)"),
+    ("risk_flags", "level: missing", "doc_id % 7 = 0 AND doc_id % 3 = 0"),
+    ("risk_flags", "level: low, medium or high", "doc_id % 7 = 0 AND doc_id % 3 > 0 AND lang <> 'en'"),
+    ("risk_flags", "reasons: 1..5 entries", "doc_id % 7 = 0 AND doc_id % 8 NOT BETWEEN 1 AND 5"),
+    ("risk_flags", "score: range 0..100", "doc_id % 7 = 0 AND n_chars / 50.0 > 100"),
+    ("threshold_recommendations", "suggested: range 1..100", "doc_id % 7 = 1 AND (doc_id % 120 NOT BETWEEN 1 AND 100 OR doc_id % 6 = 0)"),
     (
         "threshold_recommendations",
         "suggested: unique",
-        "doc_id % 5 = 1 AND (doc_id % 120 = 10 OR doc_id % 7 * 10 = 10 OR doc_id % 120 = doc_id % 7 * 10)",
+        "doc_id % 7 = 1 AND (doc_id % 120 = 10 OR doc_id % 6 * 10 = 10 OR doc_id % 120 = doc_id % 6 * 10)",
     ),
-    ("threshold_recommendations", "rationale: length 10..300", "doc_id % 5 = 1 AND length(text) NOT BETWEEN 10 AND 300"),
-    ("qa_over_context", "answer: length 1..500", "doc_id % 5 = 2 AND length(text) NOT BETWEEN 1 AND 500"),
-    ("qa_over_context", "citations: missing", "doc_id % 5 = 2 AND doc_id % 4 = 0"),
-    ("qa_over_context", "citations: 0..5 entries", "doc_id % 5 = 2 AND doc_id % 4 > 0 AND doc_id % 9 > 5"),
-    ("data_quality_report", "issues: 0..10 entries", "doc_id % 5 = 3 AND doc_id % 13 > 10"),
-    ("data_quality_report", "severity_score: range 1..10", "doc_id % 5 = 3 AND doc_id % 14 NOT BETWEEN 1 AND 10"),
-    ("free_text", "function_name: unknown", "doc_id % 5 = 4"),
+    ("threshold_recommendations", "rationale: length 10..300", "doc_id % 7 = 1 AND length(text) NOT BETWEEN 10 AND 300"),
+    ("qa_over_context", "answer: length 1..500", "doc_id % 7 = 2 AND length(text) NOT BETWEEN 1 AND 500"),
+    ("qa_over_context", "citations: missing", "doc_id % 7 = 2 AND doc_id % 4 = 0"),
+    ("qa_over_context", "citations: 0..5 entries", "doc_id % 7 = 2 AND doc_id % 4 > 0 AND doc_id % 9 > 5"),
+    ("data_quality_report", "issues: 0..10 entries", "doc_id % 7 = 3 AND doc_id % 13 > 10"),
+    ("data_quality_report", "severity_score: range 1..10", "doc_id % 7 = 3 AND doc_id % 15 NOT BETWEEN 1 AND 10"),
+    ("narrative_insights", "executive_summary: missing", "doc_id % 7 = 5 AND doc_id % 3 = 0"),
+    (
+        "narrative_insights",
+        "executive_summary: length 10..500",
+        "doc_id % 7 = 5 AND doc_id % 3 > 0 AND length(text) NOT BETWEEN 10 AND 500",
+    ),
+    ("narrative_insights", "key_findings: 1..10 entries", "doc_id % 7 = 5 AND doc_id % 12 NOT BETWEEN 1 AND 10"),
+    ("narrative_insights", "risk_indicators: 0..5 entries", "doc_id % 7 = 5 AND doc_id % 8 > 5"),
+    ("narrative_insights", "opportunities: missing", "doc_id % 7 = 5 AND doc_id % 4 = 0"),
+    ("narrative_insights", "opportunities: 0..5 entries", "doc_id % 7 = 5 AND doc_id % 4 > 0 AND doc_id % 9 > 5"),
+    ("narrative_insights", "recommendations: missing", "doc_id % 7 = 5 AND doc_id % 6 = 0"),
+    (
+        "narrative_insights",
+        "recommendations: 1..5 entries",
+        "doc_id % 7 = 5 AND doc_id % 6 > 0 AND doc_id % 11 NOT BETWEEN 1 AND 5",
+    ),
+    ("schema_description", "column_descriptions: missing", "doc_id % 7 = 6 AND doc_id % 3 = 0"),
+    ("schema_description", "business_context: missing", "doc_id % 7 = 6 AND doc_id % 4 = 0"),
+    ("schema_description", "data_quality_notes: missing", "doc_id % 7 = 6 AND doc_id % 5 = 0"),
+    ("schema_description", "recommended_analyses: missing", "doc_id % 7 = 6 AND doc_id % 6 = 0"),
+    ("free_text", "function_name: unknown", "doc_id % 7 = 4"),
 ]
 ORACLES["artifact_violations"] = " UNION ALL ".join(
     f"SELECT doc_id, '{f}' AS function_name, '{text}' AS violation FROM documents WHERE {cond}" for f, text, cond in _RULES
@@ -197,7 +227,7 @@ ORACLES["artifact_violations"] = " UNION ALL ".join(
 # -- stored schemas ---------------------------------------------------------------------
 
 
-def artifact_validation(spark, d):
+def _stored_schemas(spark, d):
     """One stored schema per document; keys are missing by rule, and so are tables."""
     key = F.col("doc_id")
     column = F.struct(
@@ -214,7 +244,11 @@ def artifact_validation(spark, d):
     )
     documents = table(spark, d, "documents").select("doc_id", key.alias("dataset_id"), F.to_json(payload).alias("payload"))
     labels = table(spark, d, "labels").groupBy(F.col("doc_id").alias("dataset_id")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return audit.validate_schemas(documents, "payload", labels)
+    return documents, "payload", labels
+
+
+def artifact_validation(spark, d):
+    return audit.validate_schemas(*_stored_schemas(spark, d))
 
 
 _GAPS = "array_to_string(list_filter([CASE WHEN doc_id % 4 = 0 THEN 'role' END, CASE WHEN doc_id % 6 = 0 THEN 'coercions' END], lambda x: x IS NOT NULL), ', ')"
@@ -226,5 +260,17 @@ WHERE doc_id % 10 > 0 AND (doc_id % 4 = 0 OR doc_id % 6 = 0)
 UNION ALL SELECT doc_id, 'warning', 'Data quality warning: ' || source FROM documents WHERE doc_id % 5 > 0 AND doc_id % 7 = 0
 UNION ALL SELECT doc_id, 'error', 'Normalized data is empty or unreadable' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
 
+
+
+def artifact_verdicts(spark, d):
+    """Whether each stored schema is valid, with its counts of errors and warnings."""
+    return audit.schema_verdicts(*_stored_schemas(spark, d))
+
+
+ORACLES["artifact_verdicts"] = f"""WITH found AS ({ORACLES["artifact_validation"]})
+SELECT d.doc_id AS dataset_id, count(*) FILTER (WHERE severity = 'error') = 0 AS is_valid,
+count(*) FILTER (WHERE severity = 'error') AS n_errors, count(*) FILTER (WHERE severity = 'warning') AS n_warnings
+FROM documents d LEFT JOIN found f ON d.doc_id = f.dataset_id GROUP BY d.doc_id"""
+
 for _name in list(ORACLES):
     QUERIES[_name] = globals()[_name]

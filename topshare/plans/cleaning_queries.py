@@ -61,6 +61,52 @@ def _money(form):
     )
 
 
+#: More ways: the other symbols and codes, scale suffixes, and an apostrophe between thousands.
+_MORE_MARKS = [("£", 0), ("¥", 0), ("USD ", 1), ("EUR ", 1), ("GBP ", 1), ("JPY ", 1)]
+_MORE_SCALES = [("m", 6), ("mm", 6), ("b", 9), ("bn", 9), ("K", 3)]
+
+
+def _more_money(form):
+    cents = F.lpad((_cents() % 100).cast("string"), 2, "0")
+    whole = F.floor(_cents() / 100).cast("string")
+    text = F.when(form == 0, F.concat(_grouped("'"), F.lit("."), cents))
+    for i, (mark, _) in enumerate(_MORE_MARKS, 1):
+        text = text.when(form == i, F.concat(F.lit(mark), whole, F.lit("."), cents))
+    for i, (suffix, _) in enumerate(_MORE_SCALES, 1 + len(_MORE_MARKS)):
+        text = text.when(form == i, F.concat(whole, F.lit(suffix)))
+    return text
+
+
+def coerce_currency_more(spark, d):
+    forms = 1 + len(_MORE_MARKS) + len(_MORE_SCALES)
+    orders = table(spark, d, "orders", spread=True).select("o_orderkey", _more_money(F.col("o_orderkey") % forms).alias("amount"))
+    return parse_numbers(orders, ["amount"]).select(
+        "o_orderkey",
+        F.round("amount.number", 2).alias("number"),
+        "amount.currency",
+        "amount.scaled",
+        F.array_join("amount.symbols", "|").alias("symbols"),
+        "amount.code",
+    )
+
+
+def _more_sql():
+    form = f"o_orderkey % {1 + len(_MORE_MARKS) + len(_MORE_SCALES)}"
+    cents = "CAST(round(o_totalprice * 100) AS BIGINT)"
+    first = 1 + len(_MORE_MARKS)
+    scales = " ".join(f"WHEN {i} THEN ({cents} // 100) * 1e{power}" for i, (_, power) in enumerate(_MORE_SCALES, first))
+    symbols = " ".join(f"WHEN {i} THEN '{m}'" for i, (m, code) in enumerate(_MORE_MARKS, 1) if not code)
+    codes = " ".join(f"WHEN {i} THEN '{m.strip()}'" for i, (m, code) in enumerate(_MORE_MARKS, 1) if code)
+    return (
+        f"SELECT o_orderkey, CAST(round(CASE {form} {scales} ELSE {cents} / 100.0 END, 2) AS DOUBLE) AS number, "
+        f"CAST({form} BETWEEN 1 AND {len(_MORE_MARKS)} AS INTEGER) AS currency, {form} >= {first} AS scaled, "
+        f"CASE {form} {symbols} END AS symbols, CASE {form} {codes} END AS code FROM orders"
+    )
+
+
+ORACLES["coerce_currency_more"] = _more_sql()
+
+
 _SQL_CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 _SQL_FORM = "o_orderkey % 9"
 _SQL_NUMBER = f"""CASE {_SQL_FORM} WHEN 7 THEN NULL WHEN 6 THEN CAST({_SQL_CENTS} // 100 AS DOUBLE)

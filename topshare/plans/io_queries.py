@@ -27,6 +27,23 @@ ORACLES["csv_round_trip"] = """SELECT o_orderkey, o_custkey, o_orderstatus, o_to
 o_orderpriority FROM orders"""
 
 
+def csv_quoted_text(spark, d):
+    """Whole texts with quotes, commas and line breaks through a CSV file, and ids of 19 digits through the cleaning rules."""
+    path = scratch_path(spark, "csv-text")
+    long_id = (F.lit(1234567890123450000) + F.col("doc_id")).cast("string")
+    texts = table(spark, d, "documents").select("doc_id", long_id.alias("long_id"), F.concat(F.lit('"a", '), "text").alias("text"))
+    files.write_csv(texts, path)
+    raw = files.read_csv(spark, path, multiLine=True)
+    clean = apply_plans(raw.select("doc_id", "long_id"), plan_normalization(raw.select("doc_id", "long_id")))
+    ids = clean.withColumn("long_id", F.col("long_id").cast("bigint"))
+    whole = raw.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.char_length("text").alias("n"), F.md5("text").alias("text_md5"))
+    return whole.join(ids, "doc_id")
+
+
+ORACLES["csv_quoted_text"] = """SELECT doc_id, CAST(length('"a", ' || text) AS INTEGER) AS n, md5('"a", ' || text) AS text_md5,
+1234567890123450000 + doc_id AS long_id FROM documents WHERE text IS NOT NULL"""
+
+
 def parquet_round_trip(spark, d):
     """Three columns of the line items, written and read by column list."""
     path = scratch_path(spark, "parquet")

@@ -170,9 +170,9 @@ def row_fingerprint(spark, d):
     return orders.select("o_orderkey", screening.row_fingerprint(orders.columns).alias("fingerprint"))
 
 
-ORACLES["row_fingerprint"] = """SELECT o_orderkey, left(sha256('{"o_custkey":"' || o_custkey || '","o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ||
-'","o_orderkey":"' || o_orderkey || '","o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus ||
-'","o_totalprice":"' || o_totalprice || '"}'), 16) AS fingerprint FROM orders"""
+ORACLES["row_fingerprint"] = """SELECT o_orderkey, left(sha256('{"o_custkey":' || o_custkey || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') ||
+'","o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus ||
+'","o_totalprice":' || o_totalprice || '}'), 16) AS fingerprint FROM orders"""
 
 for _name in list(ORACLES):
     QUERIES[_name] = globals()[_name]

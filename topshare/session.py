@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,15 +37,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def scratch_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may go without it; there a temporary folder is set.
-    On a cluster a machine-local folder would be lost with its executor, so
-    a missing setting is an error.
+    Only a local master (one process) may go without it; there a temporary
+    folder is set.  On a cluster a machine-local folder would be lost with its
+    executor, so a missing setting is an error, and a ``file:`` folder has to be
+    a mount that all machines share.  Tables stay there until they are released,
+    one by one or with :func:`release_session`.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root:
         return root
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="topshare-"))
     return sc.getCheckpointDir()

@@ -8,9 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_csv(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """A raw table: every column as text, so that the cleaning rules decide the types."""
-    settings = {"header": True, "inferSchema": False, "multiLine": False, "escape": '"', **options}
+def read_csv(spark: SparkSession, path: str | list[str], check_quotes: bool = True, **options) -> DataFrame:
+    """A raw table: every column as text, so that the cleaning rules decide the types.
+
+    A record with more or fewer fields than the header is an error when it is
+    read; pass ``mode="PERMISSIVE"`` to cut or fill such records instead.  A
+    line break inside quotes is an error too: pass ``multiLine=True`` to read
+    such files (each is then one split, as only its start is known to be outside
+    quotes).  Looking for one is a pass over the lines (this starts a job);
+    ``check_quotes=False`` leaves it out.  All fields are parsed, also those
+    that are not asked for.
+    """
+    settings = {"header": True, "inferSchema": False, "multiLine": False, "escape": '"'}
+    settings |= {"mode": "FAILFAST", "columnPruning": False, **options}
+    if check_quotes and not settings["multiLine"]:
+        odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+        if not spark.read.text(path).where(odd).isEmpty():
+            raise ValueError(f"a quoted field goes over several lines: read with multiLine=True ({path})")
     return spark.read.options(**settings).csv(path)
 
 
