@@ -1,13 +1,16 @@
 """Column profile: nulls, cardinality, outliers, negatives, roles.
 
-All passes run over unpivoted columns, so that the plan does not grow with
-the width of the table.  Exact distinct counts group by (column, value) with
-map-side combine: a value that holds a third of all rows is one row per task
-before the shuffle.
+Means, deviations and negatives come from one wide aggregate, outliers from a
+second with those as constants; wide tables are done some columns at a time, so
+plans stay small and every column is read once in each pass.  Distinct counts
+run over unpivoted columns: exact ones group by (column, value) with map-side
+combine, so a value that holds a third of all rows is one row per task before
+the shuffle; sketches need no shuffle of values.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +20,8 @@ from pyspark.sql import types as T
 from topshare.functions import fixed
 from topshare.functions.naming import may_be_negative
 
+#: Columns in one aggregate.
+_AT_ONCE = 40
 _TIME_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -24,12 +29,6 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def _long_numbers(df: DataFrame) -> DataFrame:
-    names = numeric_columns(df)
-    values = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in names]
-    return df.select(*values).unpivot([], names, "column_name", "x")
-
-
 def _key(df: DataFrame, name: str) -> Column:
     """A value as a short text that is equal exactly when the value is."""
     column, data_type = F.col(f"`{name}`"), df.schema[name].dataType
@@ -71,43 +70,65 @@ def null_and_distinct(df: DataFrame, columns: list[str] | None = None, exact: bo
     )
 
 
-def number_figures(df: DataFrame) -> DataFrame:
-    """column_name, n_values, mean, std (sample), negative_count per numeric column."""
-    return (
-        _long_numbers(df)
-        .groupBy("column_name")
-        .agg(
-            F.count("x").alias("n_values"),
-            F.avg("x").alias("mean"),
-            F.stddev_samp("x").alias("std"),
-            F.count(F.when(F.col("x") < 0, 1)).alias("negative_count"),
-        )
+def _wide(df: DataFrame, names: Sequence[str], figures: Callable[[str, Column], dict[str, Column]]) -> list[dict]:
+    """Figures of each column, ``_AT_ONCE`` columns in one aggregate; every column is read once (this starts jobs)."""
+    found = []
+    for start in range(0, len(names), _AT_ONCE):
+        batch = {c: figures(c, _number(df, c)) for c in names[start : start + _AT_ONCE]}
+        row = df.agg(*[x.alias(f"{i}|{f}") for i, own in enumerate(batch.values()) for f, x in own.items()]).first()
+        found += [{"column_name": c} | {f: row[f"{i}|{f}"] for f in own} for i, (c, own) in enumerate(batch.items())]
+    return found
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    return F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(None).cast("double"))
+
+
+def _figures(df: DataFrame) -> list[dict]:
+    return _wide(
+        df,
+        numeric_columns(df),
+        lambda _, x: {
+            "n_values": F.count(x),
+            "mean": F.avg(x),
+            "std": F.stddev_samp(x),
+            "negative_count": F.count_if(F.coalesce(x < 0, F.lit(False))),
+        },
     )
 
 
+def _frame(df: DataFrame, rows: list[dict], schema: str) -> DataFrame:
+    names = [part.split()[0] for part in schema.split(", ")]
+    return df.sparkSession.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+
+
+_FIGURES_SCHEMA = "column_name string, n_values bigint, mean double, std double, negative_count bigint"
+
+
+def number_figures(df: DataFrame) -> DataFrame:
+    """column_name, n_values, mean, std (sample), negative_count per numeric column (this starts jobs)."""
+    return _frame(df, _figures(df), _FIGURES_SCHEMA)
+
+
 def outliers(df: DataFrame) -> DataFrame:
-    """column_name, outlier_count, outlier_rate: farther than 3 sigma from the mean.
+    """column_name, n_values, outlier_count, outlier_rate: farther than 3 sigma from the mean (this starts jobs)."""
+    return _outliers(df, _figures(df))
 
-    The figures joined back are one row per numeric column, a size set by the
-    schema and not by the data; that is what is broadcast.
-    """
-    figures = number_figures(df)
-    far = F.abs(F.col("x") - F.col("mean")) > F.lit(fixed.OUTLIER_SIGMAS) * F.col("std")
-    counted = (
-        _long_numbers(df)
-        .where(F.col("x").isNotNull())
-        .join(F.broadcast(figures.select("column_name", "mean", "std").where(F.col("std") > 0)), "column_name")
-        .groupBy("column_name")
-        .agg(F.count(F.when(far, 1)).alias("far"))
-    )
-    return figures.join(counted, "column_name", "left").select(
-        "column_name",
-        "n_values",
-        F.coalesce("far", F.lit(0)).alias("outlier_count"),
-        F.coalesce(F.try_divide(F.col("far").cast("double"), F.col("n_values").cast("double")), F.lit(0.0)).alias(
-            "outlier_rate"
-        ),
-    )
+
+def _outliers(df: DataFrame, figures: list[dict]) -> DataFrame:
+    """A second pass with the mean and deviation of each column as constants."""
+    known = {r["column_name"]: r for r in figures if r["std"]}
+
+    def far(name: str, x: Column) -> dict[str, Column]:
+        limit = fixed.OUTLIER_SIGMAS * known[name]["std"]
+        return {"far": F.count_if(F.coalesce(F.abs(x - F.lit(known[name]["mean"])) > F.lit(limit), F.lit(False)))}
+
+    counts = {r["column_name"]: r["far"] for r in _wide(df, list(known), far)}
+    rows = [
+        r | {"outlier_count": (n := counts.get(r["column_name"], 0)), "outlier_rate": n / r["n_values"] if r["n_values"] else 0.0}
+        for r in figures
+    ]
+    return _frame(df, rows, "column_name string, n_values bigint, outlier_count bigint, outlier_rate double")
 
 
 def negative_policy(df: DataFrame, allowed: list[str] | None = None) -> DataFrame:
@@ -143,9 +164,10 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
         0, ["n_rows", "null_count", "cardinality"]
     )
     if numeric_columns(df):
-        figures = number_figures(df).select("column_name", "mean", "std", "negative_count")
+        rows = _figures(df)
+        figures = _frame(df, rows, _FIGURES_SCHEMA).select("column_name", "mean", "std", "negative_count")
         found = found.join(figures, "column_name", "left").join(
-            outliers(df).select("column_name", "outlier_count", "outlier_rate"), "column_name", "left"
+            _outliers(df, rows).select("column_name", "outlier_count", "outlier_rate"), "column_name", "left"
         )
     else:
         nothing = F.lit(None)

@@ -37,7 +37,7 @@ ORACLES["lineage_steps"] = f"SELECT dataset_id, step_no, {_ID} AS id, operation,
 
 def lineage_steps_ranges(spark, d):
     """The same numbers by range partitioning, the way for datasets of any size."""
-    steps = audit.numbered_steps(_lineage(spark, d).drop("params"), ["event_id"], max_window_rows=0)
+    steps = audit.numbered_steps(_lineage(spark, d), ["event_id"], max_window_rows=0)
     return steps.select("dataset_id", "step_no", "id", "operation", "event_id")
 
 

@@ -456,6 +456,7 @@ def _gappy_lines(spark, d):
     """Line items with a null discount in every seventh order and mostly null taxes."""
     return table(spark, d, "lineitem", spread=True).select(
         "l_orderkey",
+        "l_partkey",
         "l_suppkey",
         "l_linenumber",
         "l_quantity",
@@ -468,14 +469,14 @@ def _gappy_lines(spark, d):
     )
 
 
-_GAPPY = """(SELECT l_orderkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+_GAPPY = """(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
 CASE WHEN l_orderkey % 7 <> 0 THEN l_discount END AS l_discount, CASE WHEN l_orderkey % 7 = 0 THEN l_tax END AS l_tax,
 l_returnflag, l_linestatus, l_shipdate FROM lineitem)"""
 _CUSTOMER_COLUMNS = {
     "c_custkey": "number", "c_name": "text", "c_nationkey": "number", "c_acctbal": "number", "c_mktsegment": "text",
 }
 _LINE_COLUMNS = {
-    "l_orderkey": "number", "l_suppkey": "number", "l_linenumber": "number", "l_quantity": "number",
+    "l_orderkey": "number", "l_partkey": "number", "l_suppkey": "number", "l_linenumber": "number", "l_quantity": "number",
     "l_extendedprice": "number", "l_discount": "number", "l_tax": "number", "l_returnflag": "text", "l_linestatus": "text",
     "l_shipdate": "time",
 }
@@ -541,9 +542,7 @@ ORACLES["profile_text_columns"] = " UNION ALL ".join(
 
 
 def outlier_counts(spark, d):
-    lines = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    events = table(spark, d, "events").select("value")
-    found = outliers(lines).unionByName(outliers(events))
+    found = outliers(table(spark, d, "lineitem")).unionByName(outliers(table(spark, d, "events")))
     return found.select("column_name", "n_values", "outlier_count", F.round("outlier_rate", 9).alias("outlier_rate"))
 
 
@@ -552,11 +551,8 @@ ORACLES["outlier_counts"] = " UNION ALL ".join(
 round(CAST(count(*) FILTER (WHERE abs({c} - mean) > 3 * std) AS DOUBLE) / count({c}), 9) AS outlier_rate
 FROM {t}, (SELECT avg({c}) AS mean, stddev_samp({c}) AS std FROM {t}) f"""
     for t, c in [
-        ("lineitem", "l_quantity"),
-        ("lineitem", "l_extendedprice"),
-        ("lineitem", "l_discount"),
-        ("lineitem", "l_tax"),
-        ("events", "value"),
+        *[("lineitem", c) for c, kind in _LINE_COLUMNS.items() if kind == "number"],
+        *[("events", c) for c in ("event_id", "user_id", "value")],
     ]
 )
 
