@@ -126,8 +126,8 @@ def normalize_and_store(raw: DataFrame, dataset_id: str, path: str, source: str
     manifest = files.write_parquet(result.data, target)
     data = spark.read.schema(result.data.schema).parquet(target)
     files.append_records(schema_document(data, result, dataset_id), f"{path}/schema")
-    # The digest of the manifest stands for all files; one row per file is hashed before it is sorted.
-    digest = manifest.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256)).first()[0]
+    # One figure stands for all files.
+    digest = files.combined_digest(manifest).first()["files_digest"]
     steps = result.transformations()
     files.append_records(
         audit.lineage_step(

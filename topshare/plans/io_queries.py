@@ -58,6 +58,23 @@ ORACLES["parquet_round_trip"] = """SELECT l_returnflag, count(*) AS n, CAST(sum(
 FROM lineitem GROUP BY l_returnflag"""
 
 
+def parquet_checksum(spark, d):
+    """Checksums of orders as written to Parquet and read again, and of a part of the rows."""
+    path = scratch_path(spark, "checked")
+    files.write_parquet(table(spark, d, "orders").repartition(3), path, checksums=False, compression="zstd")
+    stored = files.read_parquet(spark, path)
+    whole = files.table_checksum(stored).withColumn("rows", F.lit("all"))
+    return whole.unionByName(files.table_checksum(stored.where("o_orderkey % 3 = 0")).withColumn("rows", F.lit("third")))
+
+
+_ROW_MD5 = """md5('{"o_custkey":' || o_custkey || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') ||
+'","o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus ||
+'","o_totalprice":' || o_totalprice || '}')"""
+ORACLES["parquet_checksum"] = f"""WITH r AS (SELECT o_orderkey, CAST('0x' || substr({_ROW_MD5}, 1, 12) AS BIGINT) AS part FROM orders)
+SELECT 'all' AS rows, count(*) AS n_rows, CAST(sum(part) AS VARCHAR) AS checksum FROM r
+UNION ALL SELECT 'third', count(*), CAST(sum(part) AS VARCHAR) FROM r WHERE o_orderkey % 3 = 0"""
+
+
 def json_round_trip(spark, d):
     """Nested result documents as JSON, read with a declared schema."""
     path = scratch_path(spark, "json")

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Smaller tables may be dealt out to all cores.
+SPREAD_BYTES = 64 << 20
+_MOMENT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+_ROW_JSON = {"ignoreNullFields": "false", "timestampFormat": _MOMENT, "timestampNTZFormat": _MOMENT}
+
 
 def read_csv(spark: SparkSession, path: str | list[str], check_quotes: bool = True, **options) -> DataFrame:
     """A raw table: every column as text, so that the cleaning rules decide the types.
@@ -40,11 +45,11 @@ def read_parquet(
 def spread_over_cores(table: DataFrame) -> DataFrame:
     """Deal the rows of a small table out to all cores, for work that is heavy per row.
 
-    For a table as read: one with at least as many splits as there are cores
-    stays as it is, so what is moved is at most one split per core.
+    For a table as read, of at most ``SPREAD_BYTES``: larger ones have splits
+    enough and stay as they are.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else table
 
 
 def write_parquet(
@@ -85,3 +90,27 @@ def file_manifest(spark: SparkSession, path: str | list[str], pattern: str | Non
     if pattern:
         files = files.option("pathGlobFilter", pattern)
     return files.load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def table_checksum(df: DataFrame) -> DataFrame:
+    """One row n_rows, checksum: the same for the same rows in any order and number of files.
+
+    The checksum adds 48 bits of the MD5 of each row, written as JSON with its
+    columns in order of their names, so nothing is gathered and repeated rows
+    count.
+    """
+    row = F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in sorted(df.columns)]), _ROW_JSON)
+    return df.select(_part(F.md5(row)).alias("part")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("part"), F.lit(0)).cast("string").alias("checksum")
+    )
+
+
+def combined_digest(manifest: DataFrame) -> DataFrame:
+    """One row n_files, files_digest over the files of a manifest, in any order."""
+    return manifest.select(_part(F.col("sha256")).alias("part")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("part"), F.lit(0)).cast("string").alias("files_digest")
+    )
+
+
+def _part(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(20,0)")

@@ -24,7 +24,8 @@ def write_samples(
 ) -> DataFrame:
     """Write each sample under ``path`` (this starts jobs) and return the manifest.
 
-    Manifest: name, description, n_rows, n_columns, files (path, length, sha256).
+    Manifest: name, description, n_rows, checksum (of the rows), n_columns,
+    n_files, files_digest.  ``files.file_manifest`` lists the files.
     """
     spark = df.sparkSession
     columns = len(df.columns)
@@ -58,17 +59,17 @@ def write_samples(
     for name, (text, sample) in samples.items():
         target = f"{path}/{name}"
         sample.write.parquet(target)
-        hashed = files.file_manifest(spark, target, "*.parquet")
-        listed = hashed.agg(F.array_sort(F.collect_list(F.struct("path", "length", "sha256"))).alias("files"))
-        stored = spark.read.schema(sample.schema).parquet(target)
-        counted = stored.agg(F.count(F.lit(1)).alias("n_rows"))
+        listed = files.combined_digest(files.file_manifest(spark, target, "*.parquet"))
+        counted = files.table_checksum(spark.read.schema(sample.schema).parquet(target))
         lines.append(
             one_row(counted, listed).select(
                 F.lit(name).alias("name"),
                 F.lit(text).alias("description"),
                 "n_rows",
+                "checksum",
                 F.lit(columns).cast("bigint").alias("n_columns"),
-                "files",
+                "n_files",
+                "files_digest",
             )
         )
     return reduce(DataFrame.unionByName, lines)
