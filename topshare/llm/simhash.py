@@ -237,5 +237,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     found = written(near_duplicates(docs), "near-duplicates")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
     kept = written(kept.select(F.col("doc_id").alias("__kept"), (F.col("count") > 1).alias("__repeats")), "kept")
-    left = docs.join(kept.select("__kept"), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    # The kept ids grow with the documents: the same plan at every size, never a broadcast of them.
+    ids = kept.select("__kept").hint("merge")
+    left = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
     return left if kept.where("__repeats").isEmpty() else left.dropDuplicates(["doc_id"])
