@@ -97,7 +97,10 @@ def column_counters(df: DataFrame) -> DataFrame:
     # Text after the null tokens: null where there is no value to judge.
     parsed = parse_numbers(long, ["value"]).withColumn("text", F.when(F.col("raw").isNotNull(), value["text"]))
     text = F.col("text")
-    whole = text.rlike(WHOLE_NUMBER)
+    # Whole numbers: 1 fits BIGINT, 2 DECIMAL, 3 neither; null for all other text.
+    fits = F.when(text.try_cast("bigint").isNotNull(), 1).when(text.try_cast("decimal(38,0)").isNotNull(), 2).otherwise(3)
+    parsed = parsed.withColumn("whole", F.when(value["plain"] & text.rlike(WHOLE_NUMBER), fits))
+    whole = F.col("whole")
     large = value["plain"] & (value["number"] > 1) & (value["number"] <= 100)
     # A null token is no value: nothing in it counts.
     count = lambda cond: F.count(F.when((text != "") & cond, 1))
@@ -105,9 +108,9 @@ def column_counters(df: DataFrame) -> DataFrame:
         F.count("raw").alias("n_present"),
         count(F.lit(True)).alias("n_filled"),
         count(value["plain"]).alias("n_plain"),
-        count(whole).alias("n_whole"),
-        count(whole & text.try_cast("bigint").isNotNull()).alias("n_integer"),
-        count(whole & text.try_cast("decimal(38,0)").isNotNull()).alias("n_decimal"),
+        count(whole <= 3).alias("n_whole"),
+        count(whole == 1).alias("n_integer"),
+        count(whole <= 2).alias("n_decimal"),
         count(text.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias("n_true_false"),
         count(value["coerced"]).alias("successful_coercions"),
         count(value["failed"]).alias("failed_numeric_coercions"),
