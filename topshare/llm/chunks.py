@@ -35,13 +35,15 @@ class WordMemory:
         self._encode_text = encode_text
         self._line_break = encode_text("\n")
         self._remembered = remembered
+        # Words after a space and words at the start of a line, each with the generation before.
         self._spaced: dict[str, bytes] = {}
         self._first: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._older_spaced: dict[str, bytes] = {}
+        self._older_first: dict[str, bytes] = {}
 
     def ids(self, texts: Sequence[str]) -> list[bytes]:
         if len(self._spaced) + len(self._first) > self._remembered:
-            self._older = {w: i for w, i in self._first.items()} | {" " + w: i for w, i in self._spaced.items()}
+            self._older_spaced, self._older_first = self._spaced, self._first
             self._spaced, self._first = {}, {}
         cut: list[list[list[str]] | None] = []
         spaced: set[str] = set()
@@ -53,34 +55,31 @@ class WordMemory:
                 new_spaced.update(words[1:])
             new_spaced = new_spaced.difference(self._spaced)
             new_first = {words[0] for words in lines}.difference(self._first)
-            if _plain(new_spaced) and _plain(w for w in new_first if w) and _single_breaks(lines):
+            if _plain(new_spaced) and _plain(new_first - {""}) and _single_breaks(lines):
                 cut.append(lines)
                 spaced |= new_spaced
                 first |= new_first
             else:
                 cut.append(None)
-        self._learn(spaced, first)
+        self._learn(spaced, self._spaced, self._older_spaced, " ")
+        self._learn(first, self._first, self._older_first, "")
         return [self._encode_text(t) if lines is None else self._joined(lines) for t, lines in zip(texts, cut)]
 
     def _joined(self, lines: list[list[str]]) -> bytes:
         spaced, first = self._spaced.__getitem__, self._first
         return self._line_break.join([first[words[0]] + b"".join(map(spaced, words[1:])) for words in lines])
 
-    def _learn(self, spaced: set[str], first: set[str]) -> None:
-        unknown = []
-        for words, known, lead in ((spaced, self._spaced, " "), (first, self._first, "")):
-            for word in words:
-                ids = self._older.get(lead + word)
-                if ids is None:
-                    unknown.append((known, word, lead + word))
-                else:
-                    known[word] = ids
-        for (known, word, _), ids in zip(unknown, self._encode_words([u[2] for u in unknown])):
-            known[word] = ids
+    def _learn(self, words: set[str], known: dict[str, bytes], older: dict[str, bytes], lead: str) -> None:
+        unknown = list(words.difference(older))
+        for word in words.difference(unknown):
+            known[word] = older[word]
+        known.update(zip(unknown, self._encode_words([lead + w for w in unknown])))
 
 
-def _plain(words) -> bool:
-    return all(w and not w[0].isspace() and not w[-1].isspace() and len(w) <= _LONGEST for w in words)
+def _plain(words: set[str]) -> bool:
+    """Whether there is no white space in the words, and none is empty or very long."""
+    found = list(words)
+    return not found or ("\n".join(found).split() == found and max(map(len, found)) <= _LONGEST)
 
 
 def _single_breaks(lines: list[list[str]]) -> bool:

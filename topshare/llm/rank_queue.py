@@ -64,18 +64,22 @@ class RankQueueBPE:
 
     def _cut(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text; a pre-token that is a token needs no merges, the others are merged together."""
+        one, split = self._one, self._split
         cut = []
         unknown: dict[bytes, bytes] = {}
         for text in texts:
-            # A space and letters are one pre-token.
-            pieces = [text] if text[1:].isalpha() and text[0] == " " else self._split(text)
-            pieces = [p.encode() for p in pieces]
-            cut.append(pieces)
-            for piece in pieces:
-                if piece not in self._one:
+            if text[1:].isalpha() and text[0] == " ":  # a space and letters are one pre-token
+                piece = text.encode()
+                cut.append(piece)
+                if piece not in one:
                     unknown[piece] = b""
-        unknown = dict(zip(unknown, self.merge(list(unknown))))
-        return [b"".join([self._one.get(p) or unknown[p] for p in pieces]) for pieces in cut]
+            else:
+                pieces = [p.encode() for p in split(text)]
+                cut.append(pieces)
+                unknown.update((p, b"") for p in pieces if p not in one)
+        found = dict(zip(unknown, self.merge(list(unknown))))
+        ids = lambda piece: one.get(piece) or found[piece]
+        return [ids(x) if isinstance(x, bytes) else b"".join(map(ids, x)) for x in cut]
 
     def merge(self, pieces: Sequence[bytes]) -> list[bytes]:
         """The ids of each pre-token: always the lowest rank, the leftmost first.
