@@ -22,7 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the least doc_id."""
+    """One document of each group of ``op6_simhash`` stays, the one with the least doc_id.
+
+    Near copies that differ in more than two bits stay too; README has their share.
+    """
     return simhash.keep_one_of_each(docs)
 
 
