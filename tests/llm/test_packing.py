@@ -95,3 +95,11 @@ def test_ids_are_those_of_the_tokenizer(tokenizer):
     texts += [f"a{chr(c)} {chr(c)}b 1{chr(c)}" for c in range(0, 0x3100, 7)]
     for text in texts:
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("space", [" ", " \n", "\u3000"])
+def test_very_long_runs_of_white_space(tokenizer, space):
+    encoder = packing.ByteLevelEncoder(PATH)
+    run = (space * 1_000_000)[:1_000_000]
+    for text in (run, f"some words{run}end"):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids

@@ -29,6 +29,8 @@ from topshare.llm.common import prepare_workers, texts_of, written
 OPEN_WINDOWS = 64
 #: Partitions whose leftovers one task of the next round packs.
 MERGED = 32
+#: Texts with a block of so many white-space characters go through ``tokenizers``: ``tiktoken`` panics at runs of a million.
+LONG_SPACE = 100_000
 _ID_BYTES = 4
 _END_OF_DOCUMENT = bytes(_ID_BYTES)  # id 0
 
@@ -123,7 +125,8 @@ class ByteLevelEncoder:
     The merges are run by ``tiktoken``, several times as fast, with the file's
     own vocabulary: ids of byte-level files are in order of merges, so they are
     the ranks.  Texts in which a special token is spelled out go through
-    ``tokenizers``, which alone cuts these first.
+    ``tokenizers``, which alone cuts these first, and so do texts with a very
+    long run of white space, on which ``tiktoken`` panics.
     """
 
     def __init__(self, path: str):
@@ -140,13 +143,18 @@ class ByteLevelEncoder:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
-        if any(s in text for s in self._special):
+        if any(s in text for s in self._special) or _has_long_space(text):
             ids = self._tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self._merger.encode_ordinary(text)
         return np.array(ids, "<u4").tobytes()
 
 
+def _has_long_space(text: str) -> bool:
+    """Whether an aligned block of ``LONG_SPACE`` characters is white space, as in every run of twice that length."""
+    return any(text[i : i + LONG_SPACE].isspace() for i in range(0, len(text) - LONG_SPACE + 1, LONG_SPACE))
+
+
 def _byte_values() -> dict[str, int]:
     """The byte behind each character of a byte-level vocabulary: visible Latin-1 stands for itself, the rest from 256 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
