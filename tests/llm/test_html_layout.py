@@ -51,6 +51,34 @@ CASES = {
 }
 
 
+FOREIGN = {
+    "text in a row group": ("<table><tbody>Note<tr><td>a<td>b</table>", "Note\na  b"),
+    "text in row groups and table": ("<table>x<thead> y <tr><td>a</thead><tbody><tr><td>b</tr>z</table>", "x y z\na\nb"),
+    "chart labels": (
+        "a<svg viewBox='0 0 1 1'><title>no</title><desc>no</desc><defs><text>no</text></defs><rect x=1 /><text>Q1 <tspan>sales</tspan></text>"
+        "<g><text x=1>10</text><text x=2>20</text></g><text display=none>no</text>no</svg>b",
+        "a Q1 sales 10 20 b",
+    ),
+    "lines of a label": ("<svg><text><tspan x=0>one</tspan><tspan x=0 dy=1em>two</tspan></text></svg>", "one two"),
+    "HTML in a drawing": ("<p>a<svg><foreignObject><div>box</div></foreignObject><text>t</text></svg>b", "a\nbox\nt b"),
+    "empty parts of a drawing": ("<svg><defs/>" + "<path d='M0'/>" * 600 + "<text>after</text></svg>", "after"),
+    "drawing that is not closed": ("<svg><path d='M0'/><g><p>para</p>", "para"),
+    "hidden drawing": ("<svg hidden><text>no</text></svg><svg style='display:none'><text>no</text></svg><svg><text visibility=hidden>no</text></svg>y", "y"),
+    "formula": (
+        "so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>no</annotation></semantics></math>, fine",
+        "so x=1, fine",
+    ),
+    "fraction": ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac><mphantom><mn>no</mn></mphantom></math>", "1 2"),
+    "text of elements that only drawings leave out": ("<desc>a</desc> <filter>b</filter>", "a b"),
+}
+
+
+@pytest.mark.parametrize("name", FOREIGN)
+def test_row_groups_drawings_and_formulas(name):
+    page, text = FOREIGN[name]
+    assert H.visible_text(page) == text
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_layout(name):
     page, text = CASES[name]

@@ -59,12 +59,27 @@ _ENDS = {
     "button": (frozenset(["button"]), frozenset(["table"])),
 }
 #: An end tag does not reach out of these.
-_SCOPE = frozenset(["table", "td", "th", "caption", "html", "template"])
+_SCOPE = frozenset("table td th caption html template foreignobject annotation-xml".split())
 _TABLE_PARTS = _CELLS | _ROW_GROUPS | {"tr", "caption", "colgroup", "table"}
 
 _NEVER_SHOWN = frozenset(
-    "head script style template noscript title iframe noembed noframes object audio video canvas datalist svg math".split()
+    "head script style template noscript title iframe noembed noframes object audio video canvas datalist".split()
 )
+_FOREIGN = frozenset(["svg", "math"])
+#: HTML goes on inside these elements of SVG and MathML.
+_HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: These start tags end SVG and MathML.
+_ENDS_FOREIGN = _HEADINGS | frozenset(
+    "b big blockquote body br center code dd div dl dt em embed head hr i img li listing menu meta nobr ol p pre ruby s"
+    " small span strong strike sub sup table tt u ul var".split()
+)
+_NOT_DRAWN = frozenset(
+    "defs symbol desc metadata clippath mask marker pattern lineargradient radialgradient filter".split()
+)
+_ANNOTATIONS = frozenset(["annotation", "annotation-xml"])
+#: Parts of a formula that stand apart.
+_APART_IN_MATH = frozenset("mfrac mtd munder mover munderover".split())
+_BARE_SLASH = re.compile(r"=\s*[^\s\"'=]*/\Z")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)", re.I)
 
@@ -97,6 +112,7 @@ class _Builder:
         self.body = Node("body")
         self.root.children = [self.head, self.body]
         self.open = [self.root, self.head]
+        self._foreign = False  # whether the page has SVG or MathML so far
 
     def build(self, page: str) -> Node:
         # Behind the last ">" there is no whole tag, so no search runs in vain to the end of the page.
@@ -118,6 +134,10 @@ class _Builder:
                 continue
             attrs = match["attrs"] or match["attrs2"] or ""
             self.start(name, _attributes(attrs) if attrs.strip(" /") else {})
+            if self._foreign and attrs[-1:] == "/" and self.open[-1].tag == name and not _BARE_SLASH.search(attrs):
+                if name in _FOREIGN or self.foreign():
+                    self.open.pop()
+                    continue
             if name in _RAW:
                 stop = _RAW_END[name].search(page, at)
                 raw = page[at : stop.start() if stop else len(page)]
@@ -152,6 +172,11 @@ class _Builder:
             return
         if self.head in self.open and name not in _HEAD and self.open[-1] is self.head:
             self.open = [self.root, self.body]
+        if name in _FOREIGN:
+            self._foreign = True
+        elif self._foreign and name in _ENDS_FOREIGN:
+            while at := self.foreign():
+                del self.open[at:]
         if name in _ENDS_PARAGRAPH:
             self.pop({"p"}, _SCOPE | {"button"})
         if name in _HEADINGS and self.open[-1].tag in _HEADINGS:
@@ -168,6 +193,16 @@ class _Builder:
         else:
             self.push(node)
 
+    def foreign(self) -> int:
+        """The place of the SVG or MathML element whose rules hold now, or 0."""
+        for i in range(len(self.open) - 1, 0, -1):
+            tag = self.open[i].tag
+            if tag in _FOREIGN:
+                return i
+            if tag in _HTML_INSIDE:
+                return 0
+        return 0
+
     def push(self, node: Node) -> None:
         self.open[-1].children.append(node)
         if len(self.open) < _DEEPEST:  # as browsers do; what is inside then stands beside
@@ -282,18 +317,26 @@ def render(node: Node, depth: int = 0) -> list[str]:
     """The lines of the visible text of an element."""
     lines = _Lines()
     # What is still to do, the next on top: nodes, texts and ends of elements.
-    todo: list[tuple] = [("node", node, True, False)]  # node, shown, in pre
+    # With each goes whether it is shown, whether in pre, and where in SVG ("svg", "text") or MathML ("math") it is.
+    todo: list[tuple] = [("node", node, True, False, "")]
     lists: list[list] = []
     while todo:
-        kind, item, shown, pre = todo.pop()
+        kind, item, shown, pre, inside = todo.pop()
         if kind == "end":
             item()
             continue
         if isinstance(item, str):
-            if shown:
+            if shown and inside != "svg":
                 (lines.preformatted if pre else lines.text)(item)
             continue
         tag = item.tag
+        if inside or tag in _FOREIGN:
+            if _not_drawn(item, inside):
+                continue
+            if seen := item.attrs.get("visibility") if inside != "math" else None:
+                shown = seen.strip().lower() == "visible"
+            if tag == "mphantom":
+                shown = False
         if style := item.attrs.get("style"):
             if seen := _VISIBILITY.search(style):
                 shown = seen[1].lower() == "visible"
@@ -319,6 +362,11 @@ def render(node: Node, depth: int = 0) -> list[str]:
             ends.append(lambda a=apart: lines.block(a))
         elif tag in _CELLS:
             lines.text(" ")
+        elif inside or tag in _FOREIGN:
+            inside, sides = _foreign_inside(item, inside)
+            if sides:
+                lines.text(" ")
+                ends.append(lambda: lines.text(" "))
         if tag in ("ul", "ol", "menu", "dir"):
             lists.append([tag, _number(item.attrs.get("start"), 1)])
             ends.append(lists.pop)
@@ -331,20 +379,43 @@ def render(node: Node, depth: int = 0) -> list[str]:
             ends += [lambda: lines.block(), lines.dedent]
         pre = pre or tag in ("pre", "textarea", "xmp")
         for end in ends[::-1] if tag not in ("li", "blockquote", "dd") else (ends[0], *ends[:0:-1]):
-            todo.append(("end", end, shown, pre))
+            todo.append(("end", end, shown, pre, inside))
         closed = tag == "details" and "open" not in item.attrs
         for child in reversed(item.children):
             if isinstance(child, str):
                 if not closed:
-                    todo.append(("text", child, shown, pre))
+                    todo.append(("text", child, shown, pre, inside))
             elif not _hidden(child, closed):
-                todo.append(("node", child, shown, pre))
+                if inside == "math" and tag in _APART_IN_MATH:
+                    todo.append(("text", " ", shown, pre, inside))
+                todo.append(("node", child, shown, pre, inside))
     lines.block()
     while lines.done and not lines.done[-1]:
         lines.done.pop()
     return lines.done
 
 
+def _not_drawn(node: Node, inside: str) -> bool:
+    """Whether an element of SVG or MathML is left out of the drawing or formula."""
+    if inside == "math":
+        return node.tag in _ANNOTATIONS
+    return node.tag in _NOT_DRAWN and bool(inside) or node.attrs.get("display", "").strip().lower() == "none"
+
+
+def _foreign_inside(node: Node, inside: str) -> tuple[str, bool]:
+    """Where the content of an element of SVG or MathML is, and whether it stands apart from its neighbours."""
+    tag, attrs = node.tag, node.attrs
+    if tag in _FOREIGN:
+        return tag, tag == "svg" or attrs.get("display", "").lower() == "block"
+    if tag == "foreignobject" and inside != "math":
+        return "", True
+    if tag == "text" and inside == "svg":
+        return "text", True
+    if inside == "text":  # a part with a place of its own
+        return inside, "x" in attrs or "y" in attrs or "dy" in attrs
+    return inside, inside == "math" and tag in _APART_IN_MATH
+
+
 def _number(text: str | None, default: int) -> int:
     try:
         return int(text) if text is not None and len(text) < 10 else default
@@ -375,7 +446,11 @@ def _table(table: Node, shown: bool, depth: int) -> list[str]:
     """Rows with the columns under each other; a cell may have several lines."""
     grid: list[list[list[str]] | list[str]] = []
     spans: dict[int, int] = {}  # column: rows that a cell above still covers
-    loose = [c for c in table.children if isinstance(c, str) and c.strip()]
+    # Text that is in no row stands before the table, wherever it was.
+    loose = []
+    for part in table.children:
+        within = part.children if isinstance(part, Node) and part.tag in _ROW_GROUPS else [part]
+        loose += [c for c in within if isinstance(c, str) and c.strip()]
     before = render(_wrapped(loose, shown), depth) if loose else []
     for row in _rows(table):
         if row.tag != "tr":
