@@ -83,6 +83,48 @@ def test_long_bodies_say_that_they_were_cut(monkeypatch):
     assert dict(W.fields_of(record[3]))["WARC-Truncated"] == "length" and len(record[4]) < 1000
 
 
+def test_all_members_and_stacked_codings_are_unpacked():
+    body = PAGE.encode()
+    members = gzip.compress(body[:20]) + gzip.compress(b"") + gzip.compress(body[20:]) + b"\0\0"
+    stacked = gzip.compress(zlib.compress(body))
+    for packed, *fields in (
+        (members, "Content-Encoding: gzip"),
+        (stacked, "Content-Encoding: deflate, gzip"),
+        (stacked, "Content-Encoding: deflate", "Content-Encoding: x-gzip"),
+        (body, "Content-Encoding: identity"),
+        (b"", "Content-Encoding: gzip"),
+    ):
+        found = derived(http(packed, *fields))
+        assert found["conversion"][4].decode() == ("Hi éxy" if packed else "")
+        assert "WARC-Truncated" not in dict(W.fields_of(found["conversion"][3]))
+        assert ("payload-digest", W.sha1_label(body if packed else b"")) in told(found["metadata"])
+
+
+def test_bodies_that_end_early_say_so():
+    body = b"".join(b"%d word\n" % i for i in range(20_000))
+    packed = gzip.compress(body)
+    raw = zlib.compress(body)
+    for cut, coding in ((packed[:-9], "gzip"), (packed + packed[:30], "gzip"), (packed + b"rest", "gzip"), (raw[:-20], "deflate"), (raw + b"rest", "deflate")):
+        record = derived(http(cut, f"Content-Encoding: {coding}", kind="text/plain"))["conversion"]
+        assert dict(W.fields_of(record[3]))["WARC-Truncated"] == "length" and record[4][:100_000] == body[:100_000]
+
+
+def test_digests_are_of_the_whole_body(monkeypatch):
+    monkeypatch.setattr(W, "MOST_UNPACKED", 1000)
+    body = b"word " * 700_000
+    lines = head(WARC_Payload_Digest="sha256:" + hashlib.sha256(body).hexdigest())
+    metadata = told(derived(http(gzip.compress(body), "Content-Encoding: gzip"), lines)["metadata"])
+    assert ("source-payload-digest-agrees", "true") in metadata and ("payload-digest", W.sha1_label(body)) in metadata
+
+
+def test_unknown_codings_have_metadata_only():
+    for coding in ("br", "gzip, br", "zstd"):
+        found = derived(http(b"\x0b\x02\x80<a href=x>", f"Content-Encoding: {coding}"), head(WARC_Payload_Digest="sha1:" + "A" * 32))
+        assert set(found) == {"metadata"} and ("payload-still-packed", coding) in told(found["metadata"])
+        assert ("source-payload-digest-agrees", "unknown") in told(found["metadata"])
+        assert not [v for n, v in told(found["metadata"]) if n in ("outlink", "conversion")]
+
+
 def test_files_round_trip():
     records = [(r[3], r[4]) for r in W.derive(head(), http())]
     for compressed in (True, False):

@@ -17,7 +17,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 from urllib.parse import urljoin
 
@@ -34,8 +34,11 @@ _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _META_CHARSET = re.compile(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _BREAK = re.compile(rb"\r?\n\r?\n")
 _ONE_LINE = re.compile(r"[\r\n]+\s*")
-#: A compressed body is unpacked up to so many bytes; the records of a longer one say so.
+#: Text and links of a compressed body come from so many unpacked bytes at most, and the records of a longer one say so;
+#: its digests are those of the whole body.
 MOST_UNPACKED = 64 << 20
+_UNPACKED = frozenset(["gzip", "x-gzip", "deflate"])
+_READ, _WRITTEN = 1 << 14, 1 << 20  # bytes that go into and come out of a decompressor at once
 
 
 class Response(NamedTuple):
@@ -43,6 +46,17 @@ class Response(NamedTuple):
     headers: list[tuple[str, str]]
     body: bytes
     truncated: bool
+    packed: bytes | None = None  # the body as it came, if only a part of it was unpacked
+    unknown_coding: str = ""  # the body is packed in a way that is not known here
+
+    def codings(self) -> list[str]:
+        """Content codings in the order in which they were applied."""
+        named = [c.strip() for n, v in self.headers if n.lower() == "content-encoding" for c in v.lower().split(",")]
+        return [c for c in named if c not in ("", "identity")]
+
+    def payload(self) -> Iterable[bytes]:
+        """All of the body in parts, also of one that is too long to hold."""
+        return [self.body] if self.packed is None else _unpacked(self.packed, self.codings(), [])
 
     def header(self, name: str) -> str:
         return next((v for n, v in self.headers if n.lower() == name), "")
@@ -70,11 +84,18 @@ def parse_response(block: bytes) -> Response | None:
     response = Response(status.strip(), fields_of(lines), body, False)
     if "chunked" in response.header("transfer-encoding").lower():
         body = _unchunked(body)
-    coding = response.header("content-encoding").lower().strip()
-    truncated = False
-    if coding in ("gzip", "x-gzip", "deflate"):
-        body, truncated = _unpacked(body, coding)
-    return response._replace(body=body, truncated=truncated)
+    codings = response.codings()
+    if not codings:
+        return response._replace(body=body)
+    if not _UNPACKED.issuperset(codings):
+        return response._replace(body=body, unknown_coding=", ".join(codings))
+    faults: list[str] = []
+    plain = bytearray()
+    for part in _unpacked(body, codings, faults):
+        plain += part
+        if len(plain) > MOST_UNPACKED:
+            return response._replace(body=bytes(plain[:MOST_UNPACKED]), truncated=True, packed=body)
+    return response._replace(body=bytes(plain), truncated=bool(faults))
 
 
 def _unchunked(body: bytes) -> bytes:
@@ -92,16 +113,43 @@ def _unchunked(body: bytes) -> bytes:
     return b"".join(parts)
 
 
-def _unpacked(body: bytes, coding: str) -> tuple[bytes, bool]:
-    """The unpacked body, as far as it can be read, and whether it was cut."""
-    for bits in (31,) if "gzip" in coding else (15, -15):
-        reader = zlib.decompressobj(bits)
-        try:
-            plain = reader.decompress(body, MOST_UNPACKED)
-        except zlib.error:
-            continue
-        return plain, bool(reader.unconsumed_tail)
-    return b"", True
+def _unpacked(body: bytes, codings: list[str], faults: list[str]) -> Iterator[bytes]:
+    """The unpacked body in parts, as far as it can be read; ``faults`` gets an entry if that is not to its end."""
+    parts: Iterator[bytes] = (body[i : i + _READ] for i in range(0, len(body), _READ))
+    for coding in reversed(codings):
+        parts = _unpacked_once(parts, coding, faults)
+    return parts
+
+
+def _unpacked_once(parts: Iterator[bytes], coding: str, faults: list[str]) -> Iterator[bytes]:
+    """One coding taken off: all members of gzip, or deflate with or without its header."""
+    reader, members, held = None, 0, b""
+    for part in parts:
+        part, held = held + part, b""
+        more = False  # the reader may hold more than it could put out
+        while part or more:
+            if reader is None:
+                part = part.lstrip(b"\0") if members else part  # padding
+                if len(part) < 2:
+                    held = part
+                    break
+                if members and ("gzip" not in coding or part[:2] != b"\x1f\x8b"):
+                    faults.append("more than the members")
+                    return
+                headed = part[0] & 15 == 8 and int.from_bytes(part[:2]) % 31 == 0
+                reader = zlib.decompressobj(31 if "gzip" in coding else 15 if headed else -15)
+            try:
+                plain = reader.decompress(part, _WRITTEN)
+            except zlib.error:
+                faults.append("broken")
+                return
+            if plain:
+                yield plain
+            part, more = reader.unconsumed_tail, len(plain) == _WRITTEN
+            if reader.eof:
+                part, more, reader, members = reader.unused_data, False, None, members + 1
+    if reader is not None or held:
+        faults.append("ends early")
 
 
 def _charset_text(response: Response) -> str:
@@ -116,13 +164,15 @@ def _charset_text(response: Response) -> str:
     return ""
 
 
-def digest_agrees(label: str, data: bytes) -> bool | None:
-    """Whether ``algorithm:value`` (base 32 or hex) is the digest of the data; None if it can't be told."""
+def digest_agrees(label: str, data: bytes | Iterable[bytes]) -> bool | None:
+    """Whether ``algorithm:value`` (base 32 or hex) is the digest of the data or its parts; None if it can't be told."""
     name, _, value = label.partition(":")
     try:
-        found = hashlib.new(name.lower(), data)
+        found = hashlib.new(name.lower())
     except ValueError:
         return None
+    for part in [data] if isinstance(data, bytes) else data:
+        found.update(part)
     return value.lower() == found.hexdigest() or value.upper().rstrip("=") == _base32(found.digest())
 
 
@@ -130,8 +180,11 @@ def _base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode().rstrip("=")
 
 
-def sha1_label(data: bytes) -> str:
-    return "sha1:" + _base32(hashlib.sha1(data).digest())
+def sha1_label(data: bytes | Iterable[bytes]) -> str:
+    found = hashlib.sha1()
+    for part in [data] if isinstance(data, bytes) else data:
+        found.update(part)
+    return "sha1:" + _base32(found.digest())
 
 
 def links_of(tree: Node, base: str) -> list[str]:
@@ -176,7 +229,9 @@ def derive(head: str, block: bytes) -> list[tuple[str, str, str, str, bytes]]:
     kind = response.header("content-type").partition(";")[0].strip().lower() if response else ""
     links: list[str] = []
     text: bytes | None = None
-    if response and kind in ("text/html", "application/xhtml+xml"):
+    if response and response.unknown_coding:
+        pass  # no text to be read
+    elif response and kind in ("text/html", "application/xhtml+xml"):
         tree = parse(_charset_text(response))
         links = links_of(tree, uri)
         text = "\n".join(render(tree)).encode("utf-8", "replace")
@@ -199,14 +254,18 @@ def derive(head: str, block: bytes) -> list[tuple[str, str, str, str, bytes]]:
         ]
 
     told = [("source-content-length", str(len(block)))]
-    for name, data in (("block", block), ("payload", response.body if response else b"")):
+    for name, data in (("block", block), ("payload", response.payload() if response else b"")):
         if label := fields.get(f"warc-{name}-digest"):
             agrees = digest_agrees(label, data)
+            if name == "payload" and response and response.unknown_coding:
+                agrees = agrees or None  # it may be that of the unpacked body
             told += [(f"source-{name}-digest", label)]
             told += [(f"source-{name}-digest-agrees", "unknown" if agrees is None else str(agrees).lower())]
     if response:
         told += [("http-status", response.status)] + [(f"http-header-{n.lower()}", v) for n, v in response.headers]
-        told += [("payload-digest", sha1_label(response.body))]
+        told += [("payload-digest", sha1_label(response.payload()))]
+        if response.unknown_coding:
+            told += [("payload-still-packed", response.unknown_coding)]
     else:
         told += [("parse-error", "no HTTP response")]
     if text is not None:
