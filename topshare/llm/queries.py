@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from topshare.llm import (
     chat_format,
+    fill_in_middle,
     html_layout,
     language_id,
     line_frequency,
@@ -211,6 +212,46 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return formed.select(
+        "doc_id",
+        "n",
+        "form",
+        F.char_length("prefix").cast("long").alias("prefix_chars"),
+        F.char_length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents
+),
+u AS (
+  SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         [CAST('0x' || substr(digest, 8 * i + 1, 8) AS BIGINT) for i in range(4)] AS h
+  FROM d
+),
+c AS (SELECT *, CAST(len(units) AS BIGINT) AS n, h[1] % (len(units) + 1) AS x, h[2] % (len(units) + 1) AS y FROM u),
+p AS (
+  SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50
+                 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         coalesce(array_to_string(units[1:least(x, y)], ''), '') AS prefix,
+         coalesce(array_to_string(units[least(x, y) + 1:greatest(x, y)], ''), '') AS middle,
+         coalesce(array_to_string(units[greatest(x, y) + 1:len(units)], ''), '') AS suffix
+  FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -222,8 +263,10 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_merkle": op10_merkle,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 ORACLES = {
     "op1_line_frequency": OP1_SQL,
     "op9_chat_format": OP9_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
