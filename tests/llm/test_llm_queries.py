@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 12)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     import __spark_entry__ as entry
 
     assert queries.QUERIES.items() <= entry.queries().items() and "pipeline" in entry.queries()
