@@ -9,7 +9,7 @@ from topshare.operators.concentration import concentrate
 from topshare.operators.normalize import apply_plans, plan_normalization
 from topshare.plans.common import METRICS_SQL, concentration_sql, metrics, table
 from topshare.session import scratch_path
-from topshare.sources import files
+from topshare.sources import digests, files
 
 QUERIES, ORACLES = {}, {}
 _PRIORITY_SOURCE = "SELECT o_custkey AS entity, o_orderpriority AS period, o_totalprice AS value FROM orders"
@@ -170,6 +170,78 @@ def file_manifest(spark, d):
     return manifest.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "sha256").orderBy("name")
 
 
+_BLOCK, _FAN = 4096, 8
+
+
+def _order_lines(spark, d) -> str:
+    """The orders as text, one file for each priority, in order of their keys; returns the folder."""
+    path = scratch_path(spark, "lines")
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    lines = table(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), "o_orderkey", line.alias("line"))
+    ordered = lines.repartition("p").sortWithinPartitions("p", "o_orderkey")
+    ordered.select("p", "line").write.partitionBy("p").text(path)
+    return path
+
+
+def _priority():
+    """The priority of a file, from the folder it lies in."""
+    return F.regexp_extract(F.col("path"), "/p=([^/]*)/", 1).alias("priority")
+
+
+_LINES_SQL = """WITH f AS (SELECT o_orderpriority AS priority, string_agg(o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',' ||
+strftime(o_orderdate, '%Y-%m-%d') || chr(10), '' ORDER BY o_orderkey) AS content FROM orders GROUP BY o_orderpriority)"""
+
+
+def file_digests(spark, d):
+    """Size and SHA-256 of the files with the orders of each priority."""
+    return files.file_manifest(spark, _order_lines(spark, d), "*.txt").select(_priority(), "length", "sha256")
+
+
+ORACLES["file_digests"] = _LINES_SQL + " SELECT priority, length(content) AS length, sha256(content) AS sha256 FROM f"
+
+
+def file_blocks(spark, d):
+    """Digests of the blocks of these files."""
+    blocks = digests.block_digests(spark, _order_lines(spark, d), "*.txt", _BLOCK)
+    return blocks.select(_priority(), "block", "start", "length", "sha256")
+
+
+_BLOCKS_SQL = _LINES_SQL + f""", b AS (SELECT priority, block, block * {_BLOCK} AS start, substr(content, block * {_BLOCK} + 1, {_BLOCK}) AS bytes
+FROM (SELECT *, unnest(range(CAST(ceil(length(content) / {_BLOCK}) AS BIGINT))) AS block FROM f))"""
+ORACLES["file_blocks"] = _BLOCKS_SQL + " SELECT priority, block, start, length(bytes) AS length, sha256(bytes) AS sha256 FROM b"
+
+
+def file_trees(spark, d):
+    """The tree of digests over the blocks of these files, down from its roots to level 1."""
+    path = _order_lines(spark, d)
+    longest = digests.list_files(spark, path, "*.txt").agg(F.max("length")).first()[0] or 0
+    blocks = digests.block_digests(spark, path, "*.txt", _BLOCK)
+    tree = digests.digest_trees(blocks, -(-longest // _BLOCK), _FAN)
+    top = digests.roots(tree)
+    return tree.where("level > 0").join(top, "path").select(
+        _priority(), "level", "node", "sha256", (F.col("sha256") == F.col("root")).alias("is_root")
+    )
+
+
+def _level_sql(level: int) -> str:
+    return f"""l{level} AS (SELECT priority, node // {_FAN} AS node, sha256(string_agg(sha256, '' ORDER BY node)) AS sha256
+FROM l{level - 1} GROUP BY priority, node // {_FAN})"""
+
+
+_LEVELS = 10  # 8 ** 10 blocks: more than any table here has
+ORACLES["file_trees"] = (
+    _BLOCKS_SQL
+    + ", l0 AS (SELECT priority, block AS node, sha256(bytes) AS sha256 FROM b), "
+    + ", ".join(_level_sql(n) for n in range(1, _LEVELS + 1))
+    + ", longest AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM l0 GROUP BY priority)), "
+    + "levels AS ("
+    + " UNION ALL ".join(f"SELECT {n} AS level, * FROM l{n}" for n in range(1, _LEVELS + 1))
+    + f""") SELECT priority, level, node, sha256,
+level = greatest(1, (SELECT CAST(ceil(round(ln(n) / ln({_FAN}), 9)) AS INTEGER) FROM longest)) AS is_root
+FROM levels WHERE level <= greatest(1, (SELECT CAST(ceil(round(ln(n) / ln({_FAN}), 9)) AS INTEGER) FROM longest))"""
+)
+
+
 def fixture_manifest(spark, d):
     """Three samples written as Parquet, with rows, columns and checksums."""
     from topshare.sources.fixtures import write_samples

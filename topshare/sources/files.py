@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topshare.sources.digests import file_manifest
+
 #: Smaller tables may be dealt out to all cores.
 SPREAD_BYTES = 64 << 20
 _MOMENT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -80,18 +82,6 @@ def append_records(df: DataFrame, path: str, by: str = "dataset_id") -> None:
     df.write.mode("append").partitionBy(by).json(path)
 
 
-def file_manifest(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
-    """path, length, sha256 of every file.
-
-    Each file is hashed whole by one task, so keep files under 2 GB (Spark's
-    ``maxRecordsPerFile`` or more partitions).
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if pattern:
-        files = files.option("pathGlobFilter", pattern)
-    return files.load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
 def table_checksum(df: DataFrame) -> DataFrame:
     """One row n_rows, checksum: the same for the same rows in any order and number of files.
 
