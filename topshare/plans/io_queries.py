@@ -10,6 +10,7 @@ from topshare.operators.normalize import apply_plans, plan_normalization
 from topshare.plans.common import METRICS_SQL, concentration_sql, metrics, table
 from topshare.session import scratch_path
 from topshare.sources import digests, files
+from topshare.sources.csv_records import read_csv_records
 
 QUERIES, ORACLES = {}, {}
 _PRIORITY_SOURCE = "SELECT o_custkey AS entity, o_orderpriority AS period, o_totalprice AS value FROM orders"
@@ -41,7 +42,23 @@ def csv_quoted_text(spark, d):
 
 
 ORACLES["csv_quoted_text"] = """SELECT doc_id, CAST(length('"a", ' || text) AS INTEGER) AS n, md5('"a", ' || text) AS text_md5,
-1234567890123450000 + doc_id AS long_id FROM documents WHERE text IS NOT NULL"""
+1234567890123450000 + doc_id AS long_id FROM documents"""
+
+
+def csv_quoted_records(spark, d):
+    """Whole texts with quotes, commas and line breaks, read back by every task that the files have splits for."""
+    path = scratch_path(spark, "csv-records-text")
+    texts = table(spark, d, "documents").select("doc_id", F.concat(F.lit('"a",\r\n ""'), "text").alias("the text"), "lang")
+    files.write_csv(texts.repartition(2), path)
+    raw = read_csv_records(spark, path)
+    return raw.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.char_length("the text").alias("n"), F.md5("the text").alias("text_md5"), "lang"
+    )
+
+
+ORACLES["csv_quoted_records"] = """SELECT doc_id, CAST(length(t) AS INTEGER) AS n, md5(t) AS text_md5, lang
+FROM (SELECT doc_id, lang, '"a",' || chr(13) || chr(10) || ' ""' || text AS t FROM documents)"""
+
 
 
 def parquet_round_trip(spark, d):

@@ -22,7 +22,7 @@ def read_csv(spark: SparkSession, path: str | list[str], check_quotes: bool = Tr
     read; pass ``mode="PERMISSIVE"`` to cut or fill such records instead.  A
     line break inside quotes is an error too: pass ``multiLine=True`` to read
     such files (each is then one split, as only its start is known to be outside
-    quotes).  Looking for one is a pass over the lines (this starts a job);
+    quotes), or read them with :func:`csv_records.read_csv_records`.  Looking for one is a pass over the lines (this starts a job);
     ``check_quotes=False`` leaves it out.  All fields are parsed, also those
     that are not asked for.
     """
@@ -31,7 +31,7 @@ def read_csv(spark: SparkSession, path: str | list[str], check_quotes: bool = Tr
     if check_quotes and not settings["multiLine"]:
         odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
         if not spark.read.text(path).where(odd).isEmpty():
-            raise ValueError(f"a quoted field goes over several lines: read with multiLine=True ({path})")
+            raise ValueError(f"a quoted field goes over several lines: use multiLine=True or read_csv_records ({path})")
     return spark.read.options(**settings).csv(path)
 
 
