@@ -355,3 +355,47 @@ def test_decimal_and_whole_number_measures(spark):
     assert [r["entity"] for r in result.head().orderBy("rnk").collect()] == ["B", "A"]
     result = concentrate(frame_, "entity", "n")
     assert result.totals.where("entity = 'A'").first()["amount"] == 9007199254740993
+
+
+@pytest.mark.parametrize("max_window_rows", [500_000, 0])
+def test_groups_of_very_different_size_keep_all_decimals(spark, max_window_rows):
+    rows = [("p1", "A", 5e23), ("p2", "A", 3e-13), ("p2", "B", 1e-13), ("p3", "A", 5e23), ("p3", "B", 2e-13), ("p3", "C", 1e-13)]
+    options = {"max_window_rows": max_window_rows, "rows_per_range": 2}
+    result = concentrate(frame(spark, rows, True), "entity", "revenue", "period", [50, 80, 100], **options)
+    assert {r["status"] for r in result.groups.collect()} == {"ok"}
+    found = {(r["period"], r["threshold"]): (r["entity_count"], r["value"], r["entities"]) for r in result.metrics().collect()}
+    assert len(found) == 12
+    assert found["p2", 50] == (1, 3e-13, ["A"]) and found["p2", 80] == (1, 3e-13, ["A"]) and found["p2", 100][0] == 2
+    # The last share is 100 percent only with the last of three, 36 digits below the first.
+    assert found["p3", 100] == (3, 5e23, ["A", "B", "C"]) and found["p3", 80][0] == 1
+    head = result.head().where("period = 'p3'").orderBy("rnk").collect()
+    assert [(r["entity"], r["value"]) for r in head] == [("A", 5e23), ("B", 2e-13), ("C", 1e-13)]
+
+
+@pytest.mark.parametrize("max_window_rows", [500_000, 0])
+def test_the_fifteenth_decimal_beside_large_sums_decides(spark, max_window_rows):
+    """Cuts at exactly the threshold, and one unit below it."""
+    rows = [("A", 4e23), ("B", 3e23), ("C", 3e23), ("D", 1e-14), ("E", -1e-14), ("F", -1e-14)]
+    texts = [(e, f"{v:.14f}" if abs(v) < 1 else f"{v:.0e}") for e, v in rows]
+    exact = spark.createDataFrame(texts, "entity string, revenue string")
+    exact = exact.withColumn("revenue", F.col("revenue").cast("decimal(38,14)"))
+    result = concentrate(exact, "entity", "revenue", None, [40, 70, 100], max_window_rows=max_window_rows, rows_per_range=2)
+    found = {r["threshold"]: (r["entity_count"], r["entities"]) for r in result.metrics().collect()}
+    # The total is 1e24 - 1e-14: A has a little more than 40 percent and stands in, A and B a little more than 70;
+    # A, B and C and, with D, more than all; with E just 1e24, with F the total itself.
+    assert found == {40: (1, ["A"]), 70: (1, ["A"]), 100: (3, ["A", "B", "F"])}
+
+
+def test_groups_beyond_the_types_get_a_status(spark):
+    rows = [("P", f"e{i}", 9e23) for i in range(3)] + [("Q", "A", 1e-13), ("Q", "B", 3.0)]
+    many = frame(spark, rows, True)
+    from topshare.operators import concentration
+
+    before = concentration._MOST
+    concentration._MOST = 1e24
+    try:
+        result = concentrate(many, "entity", "revenue", "period")
+        assert {(r["period"], r["status"] == "ok") for r in result.groups.collect()} == {("P", False), ("Q", True), ("TOTAL", False)}
+        assert {r["period"] for r in result.metrics().collect()} == {"Q"} == {r["period"] for r in result.head().collect()}
+    finally:
+        concentration._MOST = before

@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,10 @@ _FIGURES = ["amount", "fine", "beyond", "n_rows"]
 _PLACES = 6
 _AMOUNT = T.DecimalType(38, _PLACES)
 _BEYOND = 1e24
+#: A group whose absolute sum reaches this is out of range: a hundred times it still fits ``_AMOUNT``.
+_MOST = 1e29
+#: The parts of an amount that are ranked and summed, and the names of their running sums and totals.
+_LIMBS = {"amount": ("cumsum", "total"), "fine": ("cumsum_fine", "total_fine")}
 
 
 def check_thresholds(thresholds: Iterable[int] | None) -> list[int]:
@@ -121,9 +125,12 @@ def _exact_sums(df: DataFrame, value: str, scale: int | None) -> tuple[list[Colu
     beyond = F.abs(column.cast("double")) >= F.lit(_BEYOND)
     none = F.lit(None).cast("bigint")
     if isinstance(kind, T.DecimalType):
-        coarse = F.when(~beyond, F.round(column, kept).cast(wide))
-        rest = ((column - coarse) * F.lit(10**15).cast("decimal(16,0)")).cast("bigint")
-        high, low, large, fine = none, none, coarse, rest if scale is None and kind.scale > _PLACES else none
+        split = scale is None and kind.scale > _PLACES
+        # A remainder keeps all its decimals, a difference of wide decimals would not.
+        below = column % F.lit("0.000001").cast("decimal(6,6)")
+        coarse = F.when(~beyond, (column - below if split else F.round(column, kept)).cast(wide))
+        rest = (below * F.lit(10**15).cast("decimal(16,0)")).cast("bigint")
+        high, low, large, fine = none, none, coarse, rest if split else none
     else:
         number = column.cast("double")
         small = F.abs(number) < float(2**52 // 10**_PLACES)
@@ -145,11 +152,15 @@ def _exact_sums(df: DataFrame, value: str, scale: int | None) -> tuple[list[Colu
     ]
 
 
-def _carried(sums: DataFrame) -> DataFrame:
-    """Move whole millionths out of ``fine``, which is then 0 to ``10**9 - 1``."""
-    rest = F.pmod("fine", F.lit(10**9))
-    carry = ((F.col("fine") - rest).cast("decimal(20,0)") / F.lit(10**15).cast("decimal(16,0)")).cast("decimal(20,6)")
-    return sums.withColumns({"amount": (F.col("amount") + carry).cast(_AMOUNT), "fine": rest})
+def _carry(amount: Column, fine: Column) -> tuple[Column, Column]:
+    """Both with the whole millionths of ``fine`` moved to ``amount``; what is left is 0 to ``10**9 - 1``."""
+    rest = F.pmod(fine, F.lit(10**9))
+    whole = ((fine - rest).cast("decimal(20,0)") / F.lit(10**15).cast("decimal(16,0)")).cast("decimal(20,6)")
+    return (amount + whole).cast(_AMOUNT), rest
+
+
+def _carried(sums: DataFrame, amount: str = "amount", fine: str = "fine") -> DataFrame:
+    return sums.withColumns(dict(zip((amount, fine), _carry(F.col(amount), F.col(fine)))))
 
 
 def _group_figures(totals: DataFrame) -> DataFrame:
@@ -160,6 +171,7 @@ def _group_figures(totals: DataFrame) -> DataFrame:
         F.sum(F.when(held, F.col("amount"))).alias("amount"),
         F.sum(F.when(held, F.col("fine"))).alias("fine"),
         F.sum(F.when(held, F.col("beyond"))).alias("beyond"),
+        F.sum(F.when(held, F.abs("amount").cast("double"))).alias("mass"),
         F.coalesce(F.sum("n_rows"), F.lit(0)).alias("input_rows"),
     ]
     per_period = totals.where(~F.col("is_total")).groupBy(*GROUP).agg(*figures)
@@ -168,7 +180,7 @@ def _group_figures(totals: DataFrame) -> DataFrame:
     groups = _carried(per_period.unionByName(overall))
     status = (
         F.when(F.col("total_entities") == 0, F.lit(EMPTY_GROUP))
-        .when(F.col("beyond") > 0, F.lit(OUT_OF_RANGE))
+        .when((F.col("beyond") > 0) | (F.col("mass") >= _MOST), F.lit(OUT_OF_RANGE))
         .when((F.col("amount") < 0) | ((F.col("amount") == 0) & (F.col("fine") == 0)), F.lit(NON_POSITIVE))
         .otherwise(F.lit(OK))
     )
@@ -196,23 +208,46 @@ def in_units(held: DataFrame, places: int, mass) -> DataFrame:
     return held.select(*GROUP, "entity", exact.cast(unit_type).alias("amount"), "beyond")
 
 
+def in_limbs(held: DataFrame) -> DataFrame:
+    """Amounts as millionths (``amount``) and units of ``10**-15`` below (``fine``), for sums that no single type holds."""
+    return held.select(*GROUP, "entity", "amount", "fine", "beyond")
+
+
+def _limbs(df: DataFrame) -> list[str]:
+    return [c for c in _LIMBS if c in df.columns]
+
+
+def _ranking(df: DataFrame) -> list[Column]:
+    """Value descending, then name."""
+    return [*[F.col(c).desc() for c in _limbs(df)], F.col("entity").asc()]
+
+
+def _positive(ranked: DataFrame) -> DataFrame:
+    """Sums of two limbs in their normal form, and the groups that have metrics."""
+    whole = F.col("total") > 0
+    if "fine" in ranked.columns:
+        for amount, fine in zip(_LIMBS["amount"], _LIMBS["fine"]):
+            ranked = _carried(ranked, amount, fine)
+        whole = whole | ((F.col("total") == 0) & (F.col("total_fine") > 0))
+    return ranked.where(whole & (F.col("beyond") == 0)).drop("beyond")
+
+
 def rank_by_window(totals: DataFrame) -> DataFrame:
     """Rank and running sum with one window per group; for groups of a checked size."""
-    order = Window.partitionBy(*GROUP).orderBy(F.col("amount").desc(), F.col("entity").asc())
+    order = Window.partitionBy(*GROUP).orderBy(*_ranking(totals))
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        totals.select(
-            *GROUP,
-            "entity",
-            "amount",
-            F.row_number().over(order).cast("bigint").alias("rnk"),
-            F.sum("amount").over(running).alias("cumsum"),
-            F.sum("amount").over(Window.partitionBy(*GROUP)).alias("total"),
-            F.sum("beyond").over(Window.partitionBy(*GROUP)).alias("beyond"),
-        )
-        .where((F.col("total") > 0) & (F.col("beyond") == 0))
-        .drop("beyond")
+    whole = Window.partitionBy(*GROUP)
+    limbs = _limbs(totals)
+    ranked = totals.select(
+        *GROUP,
+        "entity",
+        *limbs,
+        F.row_number().over(order).cast("bigint").alias("rnk"),
+        *[F.sum(c).over(running).alias(_LIMBS[c][0]) for c in limbs],
+        *[F.sum(c).over(whole).alias(_LIMBS[c][1]) for c in limbs],
+        F.sum("beyond").over(whole).alias("beyond"),
     )
+    return _positive(ranked)
 
 
 def rank_by_ranges(totals: DataFrame, ranges: int) -> tuple[DataFrame, str]:
@@ -221,55 +256,56 @@ def rank_by_ranges(totals: DataFrame, ranges: int) -> tuple[DataFrame, str]:
     The range number is written out with the rows: sampling other bounds in a
     second run would otherwise mix two numberings.
     """
-    cut = totals.repartitionByRange(
-        ranges, F.col("is_total"), F.col("period"), F.col("amount").desc(), F.col("entity").asc()
-    ).withColumn("slice", F.spark_partition_id())
+    cut = totals.repartitionByRange(ranges, F.col("is_total"), F.col("period"), *_ranking(totals)).withColumn(
+        "slice", F.spark_partition_id()
+    )
     rows, path = materialize(cut, "ranges")
-    keys = ["slice", *GROUP]
+    keys, limbs = ["slice", *GROUP], _limbs(totals)
 
     # At most one row per range and group: small, and spread over the groups.
     before = Window.partitionBy(*GROUP).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*GROUP)
     offsets = (
         rows.groupBy(*keys)
-        .agg(F.sum("amount").alias("part"), F.sum("beyond").alias("beyond"), F.count(F.lit(1)).alias("part_rows"))
+        .agg(*[F.sum(c).alias(c) for c in limbs], F.sum("beyond").alias("beyond"), F.count(F.lit(1)).alias("part_rows"))
         .select(
             *keys,
-            F.coalesce(F.sum("part").over(before), F.lit(0)).alias("sum_before"),
+            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in limbs],
             F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"),
-            F.sum("part").over(whole).alias("total"),
+            *[F.sum(c).over(whole).alias(_LIMBS[c][1]) for c in limbs],
             F.sum("beyond").over(whole).alias("beyond"),
         )
-        .where((F.col("total") > 0) & (F.col("beyond") == 0))
-        .drop("beyond")
     )
-    order = Window.partitionBy(*keys).orderBy(F.col("amount").desc(), F.col("entity").asc())
+    order = Window.partitionBy(*keys).orderBy(*_ranking(totals))
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.select(
         *keys,
         "entity",
-        "amount",
+        *limbs,
         F.row_number().over(order).cast("bigint").alias("local_rnk"),
-        F.sum("amount").over(running).alias("local_sum"),
+        *[F.sum(c).over(running).alias(f"{c}_local") for c in limbs],
     )
-    decimal = rows.schema["amount"].dataType
+    kinds = {c: rows.schema[c].dataType for c in limbs}
     ranked = local.join(offsets, keys).select(
         *GROUP,
         "slice",
         "entity",
-        "amount",
+        *limbs,
         (F.col("local_rnk") + F.col("rows_before")).alias("rnk"),
-        (F.col("local_sum") + F.col("sum_before")).cast(decimal).alias("cumsum"),
-        F.col("total").cast(decimal).alias("total"),
+        *[(F.col(f"{c}_local") + F.col(f"{c}_before")).cast(kinds[c]).alias(_LIMBS[c][0]) for c in limbs],
+        *[F.col(_LIMBS[c][1]).cast(kinds[c]).alias(_LIMBS[c][1]) for c in limbs],
+        "beyond",
     )
-    return ranked, path
+    return _positive(ranked), path
 
 
 @dataclass(frozen=True)
 class Concentration:
     """The views of one analysis.  All are lazy reads of the scratch tables.
 
-    ``units`` and ``ranked`` hold amounts in units of ``10**-places``.
+    ``units`` and ``ranked`` hold amounts in units of ``10**-places``, or, where no
+    type holds the sums of all groups in units of one size, as millionths and
+    what is below them (``fine``, in units of ``10**-15``).
     """
 
     totals: DataFrame
@@ -287,8 +323,19 @@ class Concentration:
         for path in self.paths:
             release(self.totals.sparkSession, path)
 
-    def _plain(self, units: Column) -> Column:
-        return units.cast("double") / F.lit(float(10**self.places))
+    def _plain(self, name: str, fine: str | None = None) -> Column:
+        """An amount as a number; ``fine`` names what is below it, where there is such a column."""
+        if "fine" not in self.units.columns:
+            return F.col(name).cast("double") / F.lit(float(10**self.places))
+        return F.col(name).cast("double") + F.col(fine).cast("double") / F.lit(1e15)
+
+    def _within(self, percent: int) -> Column:
+        """Whether the running share is at most ``percent``, exactly."""
+        if "fine" not in self.units.columns:
+            return F.col("cumsum") * F.lit(100) <= F.col("total") * F.lit(percent)
+        held, held_fine = _carry(F.col("cumsum") * F.lit(100), F.col("cumsum_fine") * F.lit(100))
+        most, most_fine = _carry(F.col("total") * F.lit(percent), F.col("total_fine") * F.lit(percent))
+        return (held < most) | ((held == most) & (held_fine <= most_fine))
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -309,9 +356,10 @@ class Concentration:
         """
         # Same partitioning and order as the ranking, so its sort is reused.
         keys = [k for k in ("slice", *GROUP) if k in self.ranked.columns]
-        order = Window.partitionBy(*keys).orderBy(F.col("amount").desc(), F.col("entity").asc())
+        order = Window.partitionBy(*keys).orderBy(*_ranking(self.ranked))
         running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        kept = {x: F.col("cumsum") * F.lit(100) <= F.col("total") * F.lit(x) for x in self.thresholds}
+        limbs = _limbs(self.ranked)
+        kept = {x: self._within(x) for x in self.thresholds}
         flagged = self.ranked.select("*", *[cond.alias(f"ok_{x}") for x, cond in kept.items()])
         numbered = flagged.select(
             "*", *[F.count(F.when(F.col(f"ok_{x}"), 1)).over(running).alias(f"seen_{x}") for x in self.thresholds]
@@ -319,8 +367,8 @@ class Concentration:
 
         first = F.col("rnk") == 1
         figures = [
-            F.max("total").alias("total"),
-            F.max(F.when(first, F.col("amount"))).alias("first_amount"),
+            *[F.max(_LIMBS[c][1]).alias(_LIMBS[c][1]) for c in limbs],
+            *[F.max(F.when(first, F.col(c))).alias(f"first_{c}") for c in limbs],
             F.max(F.when(first, F.col("entity"))).alias("first_entity"),
         ]
         for x in self.thresholds:
@@ -329,7 +377,7 @@ class Concentration:
             listed = F.when(ok & (F.col(f"seen_{x}") <= LISTED_ENTITIES), F.struct("rnk", "entity"))
             figures += [
                 F.count(F.when(ok, 1)).alias(f"n_{x}"),
-                F.sum(F.when(ok, F.col("amount"))).alias(f"v_{x}"),
+                *[F.sum(F.when(ok, F.col(c))).alias(f"{c}_{x}") for c in limbs],
                 F.collect_list(listed).alias(f"e_{x}"),
             ]
         wide = numbered.groupBy(*GROUP).agg(*figures)
@@ -337,12 +385,12 @@ class Concentration:
         def one(x: int) -> Column:
             none = F.col(f"n_{x}") == 0
             names = F.transform(F.slice(F.array_sort(f"e_{x}"), 1, LISTED_ENTITIES), lambda s: s["entity"])
-            value = self._plain(F.coalesce(F.col(f"v_{x}"), F.col("first_amount")))
+            value = F.when(none, self._plain("first_amount", "first_fine")).otherwise(self._plain(f"amount_{x}", f"fine_{x}"))
             return F.struct(
                 F.lit(x).alias("threshold"),
                 F.greatest(F.col(f"n_{x}"), F.lit(1)).alias("entity_count"),
                 value.alias("value"),
-                (value / self._plain(F.col("total")) * 100).alias("pct"),
+                (value / self._plain("total", "total_fine") * 100).alias("pct"),
                 F.when(none, F.array("first_entity")).otherwise(names).alias("entities"),
             )
 
@@ -354,18 +402,18 @@ class Concentration:
         A top-k of its own: a task sends at most ``rows`` entities per group
         (window group limit), whatever the size of the group.
         """
-        order = Window.partitionBy(*GROUP).orderBy(F.col("amount").desc(), F.col("entity").asc())
+        order = Window.partitionBy(*GROUP).orderBy(*_ranking(self.units))
         first = self.units.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= rows)
         running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        summed = first.withColumn("cumsum", F.sum("amount").over(running))
+        summed = first.withColumns({_LIMBS[c][0]: F.sum(c).over(running) for c in _limbs(first)})
         fine = self.groups.where(F.col("status") == OK).select(*GROUP, "total_value")
         return summed.join(fine, GROUP).select(
             *GROUP,
             F.col("rnk").cast("bigint").alias("rnk"),
             "entity",
-            self._plain(F.col("amount")).alias("value"),
-            self._plain(F.col("cumsum")).alias("cumsum"),
-            (self._plain(F.col("cumsum")) / F.col("total_value") * 100).alias("cumulative_pct"),
+            self._plain("amount", "fine").alias("value"),
+            self._plain("cumsum", "cumsum_fine").alias("cumsum"),
+            (self._plain("cumsum", "cumsum_fine") / F.col("total_value") * 100).alias("cumulative_pct"),
         )
 
     def summary(self) -> DataFrame:
@@ -483,10 +531,11 @@ def concentrate(
     """Run the aggregation (this starts jobs) and return the analysis views.
 
     Values are summed exactly: 15 decimals, or ``scale`` (0 to 6) if that is
-    given, for values below 10**24.  Larger ones and infinities give their group
-    a status and no metrics.  So the threshold cuts are independent of row order
-    and partitioning.  Ranking keeps the decimals that occur, as far as running
-    sums fit 38 digits.  A group with more than ``max_window_rows`` entities is
+    given, for values below 10**24.  Larger ones and infinities, and absolute
+    sums of 10**29 and more, give their group a status and no metrics.  So the
+    threshold cuts are independent of row order and partitioning.  Ranking keeps
+    all decimals that occur, whatever the sizes in other groups: where no type
+    holds sums of all groups in one unit, amounts are ranked in two parts.  A group with more than ``max_window_rows`` entities is
     ranked by ranges.
     """
     cuts = check_thresholds(thresholds)
@@ -498,8 +547,27 @@ def concentrate(
         totals = _per_period(summed).unionByName(totals)
         paths.append(path)
     held = totals.where(F.col("entity").isNotNull())
+    sizes = _sizes(held)
+    if (sizes["mass"] or 0) >= _MOST:
+        fine = _group_figures(totals).where(F.col("status") == OK).select(*GROUP)
+        held = held.join(fine, GROUP, "left_semi")
+        sizes = _sizes(held)
+    finest = 15 if sizes["finest"] else _PLACES if sizes["finer"] else 2
+    mass = sizes["mass"] or 0
+    units = in_units(held, finest, mass) if places_for(finest, mass) == finest else in_limbs(held)
+    if (sizes["rows"] or 0) <= max_window_rows:
+        ranked = rank_by_window(units)
+    else:
+        shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranked, cut = rank_by_ranges(units, max(shuffles, math.ceil(sizes["all"] / rows_per_range)))
+        paths.append(cut)
+    return Concentration(totals, units, ranked, finest, group_by, value, period, cuts, paths)
+
+
+def _sizes(held: DataFrame) -> Row:
+    """rows and mass of the largest group, whether there are cents' parts or less, and all rows (this starts a job)."""
     cents = F.lit("0.01").cast("decimal(3,2)")
-    sizes = (
+    return (
         held.groupBy(*GROUP)
         .agg(
             F.count(F.lit(1)).alias("rows"),
@@ -510,14 +578,3 @@ def concentrate(
         .agg(*[F.max(c).alias(c) for c in ("rows", "mass", "finer", "finest")], F.sum("rows").alias("all"))
         .first()
     )
-    finest = 15 if sizes["finest"] else _PLACES if sizes["finer"] else 2
-    mass = sizes["mass"] or 0
-    places = places_for(finest, mass)
-    units = in_units(held, places, mass)
-    if (sizes["rows"] or 0) <= max_window_rows:
-        ranked = rank_by_window(units)
-    else:
-        shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranked, cut = rank_by_ranges(units, max(shuffles, math.ceil(sizes["all"] / rows_per_range)))
-        paths.append(cut)
-    return Concentration(totals, units, ranked, places, group_by, value, period, cuts, paths)

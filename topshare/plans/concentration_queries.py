@@ -164,6 +164,84 @@ FROM m
 ORACLES["concentration_fine_amounts"] = _FINE_SQL
 ORACLES["concentration_fine_amounts_ranges"] = _FINE_SQL
 
+
+def _mixed_sizes(spark, d, **options):
+    """Periods of very large, very small, ordinary and mixed amounts, some 36 digits apart; all have all their decimals."""
+    orders = table(spark, d, "orders")
+    digit = (F.col("o_custkey") % 9 + 1).cast("string")
+    large, small = (F.concat(digit, F.lit(e)).cast("double") for e in ("e20", "e-13"))
+    mixed = F.when(F.col("o_custkey") % 3 == 0, large).otherwise(small)
+    amount = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", large)
+        .when(F.col("o_orderpriority") == "2-HIGH", small)
+        .when(F.col("o_orderpriority") == "5-LOW", mixed)
+        .otherwise(F.col("o_totalprice"))
+    )
+    result = concentrate(orders.withColumn("amount", amount), "o_custkey", "amount", "o_orderpriority", [5, 20, 50, 99, 100], **options)
+    return result.metrics().select(
+        "is_total",
+        "period",
+        "threshold",
+        "entity_count",
+        F.round("pct", 6).alias("pct"),
+        F.array_join(F.col("entities").cast("array<string>"), "|").alias("entities"),
+    )
+
+
+def concentration_mixed_sizes(spark, d):
+    return _mixed_sizes(spark, d)
+
+
+def concentration_mixed_sizes_ranges(spark, d):
+    """The same result through range partitioning."""
+    return _mixed_sizes(spark, d, max_window_rows=0)
+
+
+# Amounts in whole numbers (w) and units of 10 ** -15 below (b), with whole ones carried from b to w.
+_UNIT = "1000000000000000"
+_MIXED_SQL = f"""
+WITH digits AS (SELECT *, CAST(o_custkey % 9 + 1 AS HUGEINT) AS digit, CAST(round(o_totalprice * 100) AS HUGEINT) AS cents,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'large' WHEN '2-HIGH' THEN 'small'
+       WHEN '5-LOW' THEN CASE WHEN o_custkey % 3 = 0 THEN 'large' ELSE 'small' END ELSE 'plain' END AS kind FROM orders),
+src AS (
+  SELECT o_custkey AS entity, o_orderpriority AS period,
+         CASE kind WHEN 'large' THEN digit * 100000000000000000000 WHEN 'small' THEN 0 ELSE cents // 100 END AS w,
+         CASE kind WHEN 'large' THEN 0 WHEN 'small' THEN digit * 100 ELSE cents % 100 * 10000000000000 END AS b
+  FROM digits
+),
+sums AS (
+  SELECT false AS is_total, period, entity, sum(w) AS w, sum(b) AS b FROM src GROUP BY period, entity
+  UNION ALL SELECT true, 'TOTAL', entity, sum(w), sum(b) FROM src GROUP BY entity
+),
+e AS (SELECT is_total, period, entity, w + b // {_UNIT} AS w, b % {_UNIT} AS b FROM sums),
+r AS (
+  SELECT *, row_number() OVER o AS rnk, sum(w) OVER (o ROWS UNBOUNDED PRECEDING) AS rw, sum(b) OVER (o ROWS UNBOUNDED PRECEDING) AS rb,
+         sum(w) OVER g AS tw, sum(b) OVER g AS tb
+  FROM e WINDOW o AS (PARTITION BY is_total, period ORDER BY w DESC, b DESC, entity), g AS (PARTITION BY is_total, period)
+),
+f AS (
+  SELECT *, (rw + rb // {_UNIT}) * 100 + (rb % {_UNIT} * 100) // {_UNIT} AS hw, (rb % {_UNIT} * 100) % {_UNIT} AS hb,
+         (tw + tb // {_UNIT}) * x + (tb % {_UNIT} * x) // {_UNIT} AS mw, (tb % {_UNIT} * x) % {_UNIT} AS mb
+  FROM r CROSS JOIN (SELECT unnest([5, 20, 50, 99, 100]) AS x) t
+),
+k AS (SELECT *, hw < mw OR (hw = mw AND hb <= mb) AS ok FROM f),
+s AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY is_total, period, x ORDER BY rnk) AS seen FROM k),
+m AS (
+  SELECT is_total, period, x AS threshold, count(*) FILTER (WHERE ok) AS n,
+         CAST(coalesce(sum(w) FILTER (WHERE ok), max(w) FILTER (WHERE rnk = 1)) AS DOUBLE)
+         + CAST(coalesce(sum(b) FILTER (WHERE ok), max(b) FILTER (WHERE rnk = 1)) AS DOUBLE) / 1e15 AS v,
+         CAST(max(tw) AS DOUBLE) + CAST(max(tb) AS DOUBLE) / 1e15 AS total,
+         string_agg(CAST(entity AS VARCHAR), '|' ORDER BY rnk) FILTER (WHERE ok AND seen <= 10) AS names,
+         max(CAST(entity AS VARCHAR)) FILTER (WHERE rnk = 1) AS first_name
+  FROM s GROUP BY is_total, period, x
+)
+SELECT is_total, period, threshold, greatest(n, 1) AS entity_count, round(v / total * 100, 6) AS pct,
+       CASE WHEN n = 0 THEN first_name ELSE names END AS entities
+FROM m
+"""
+ORACLES["concentration_mixed_sizes"] = _MIXED_SQL
+ORACLES["concentration_mixed_sizes_ranges"] = _MIXED_SQL
+
 # -- special cases -----------------------------------------------------------
 
 
