@@ -2,22 +2,25 @@
 
 Which rule a column gets depends on counts over the whole column, so the work
 has two steps: one aggregate over all text values (``cascade``), then one lazy
-projection (``apply_plans``).  The aggregate runs over unpivoted columns: its
-plan has the same size for ten columns and for a thousand, and the rows are
-pre-aggregated per column before the shuffle.
+projection (``apply_plans``).  The aggregate runs over the different values of
+each batch of rows, column below column: its plan has the same size for ten
+columns and for a thousand, and the rows are pre-aggregated per column before
+the shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topshare.functions import fixed
-from topshare.functions.dates import parse_timestamp
-from topshare.functions.naming import says_date_text, says_percent, standard_names
+from topshare.functions.dates import MONTH_WORD, month_like, parse_timestamp, quarter_number
+from topshare.functions.naming import says_date_text, says_percent, standard_names, time_kind
 from topshare.functions.text_numbers import (
     WHOLE_NUMBER,
     as_boolean,
@@ -27,7 +30,7 @@ from topshare.functions.text_numbers import (
     rescaled,
     stripped,
 )
-from topshare.operators.timekey import TimeSpec, detect_time, with_period_key
+from topshare.operators.timekey import TimeCounts, TimeSpec, time_spec, with_period_key
 
 COUNTERS = [
     "n_present",
@@ -46,6 +49,11 @@ COUNTERS = [
     "boolean_coerced",
 ]
 
+TIME_COUNTERS = [
+    *[f"{kind}_{reading}" for kind in ("n", "year", "month", "quarter") for reading in ("text", "number", "share")],
+    "hint_text",
+]
+
 # Branches that change a column or its description, in the order they are tried.
 NUMERIC = "numeric_coercion"
 PERCENT = "percent_normalization"
@@ -77,19 +85,50 @@ def without_null_tokens(text: Column) -> Column:
     return F.when(~text.isin(fixed.NULL_TOKENS), text)
 
 
+def value_counts(df: DataFrame) -> DataFrame:
+    """column_name, raw, n: the different values of every column of a table of texts, each batch of rows for itself.
+
+    One value may come in several rows, once for each batch that has it.  So a
+    task holds no more than a batch, whatever the number of different values;
+    columns of few values come out as few rows and those of many as they are, and
+    nothing is shuffled.  (The JVM side can merge values only by a shuffle.)
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, column in zip(names, batch.columns):
+                found = column.value_counts()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(name, len(found)), found.field("values").cast(pa.string()), found.field("counts")],
+                    names=["column_name", "raw", "n"],
+                )
+
+    return df.mapInArrow(run, "column_name string, raw string, n bigint")
+
+
 def column_counters(df: DataFrame) -> DataFrame:
-    """One row per column that has values to judge, with every counter of the cascade."""
+    """One row per column that has values to judge, with every counter of the cascade and of the time checks.
+
+    Each different value of a batch is parsed once, as number, percent, date and
+    time word, and counts as often as it occurs: one pass over the table.
+    """
+    fields = df.schema.fields
     judged = [
         f.name
-        for f in df.schema.fields
+        for f in fields
         if _kind(f.dataType) in ("text", "boolean") or (_kind(f.dataType) == "number" and says_percent(f.name))
     ]
-    dated = [f.name for f in df.schema.fields if _kind(f.dataType) in ("text", "time") and says_date_text(f.name)]
-    chosen = list(dict.fromkeys(judged + dated))
+    dated = [f.name for f in fields if _kind(f.dataType) in ("text", "time") and (says_date_text(f.name) or time_kind(f.name) == "date")]
+    timed = [f.name for f in fields if time_kind(f.name) in ("year", "month", "quarter")]
+    worded = [f.name for f in fields if _kind(f.dataType) == "text" and time_kind(f.name) in (None, "month", "quarter")]
+    chosen = list(dict.fromkeys(judged + dated + timed))
     names = chosen or df.columns[:1]
-    texts = [F.col(f"`{c}`").cast("string").alias(c) for c in names]
-    long = df.select(*texts).unpivot([], names, "column_name", "raw")
-    long = long.select("column_name", without_null_tokens(F.col("raw")).alias("raw"), F.col("raw").alias("value"))
+    long = value_counts(df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names]))
+    long = long.select("column_name", "n", without_null_tokens(F.col("raw")).alias("raw"), F.col("raw").alias("value"))
+
+    def among(columns: list[str], check: Column) -> Column:
+        return F.when(F.col("column_name").isin(columns), check) if columns else F.lit(None).cast("boolean")
 
     percent_names = [c for c in names if says_percent(c)]
     under_percent = F.col("column_name").isin(percent_names) if percent_names else F.lit(False)
@@ -99,13 +138,24 @@ def column_counters(df: DataFrame) -> DataFrame:
     text = F.col("text")
     # Whole numbers: 1 fits BIGINT, 2 DECIMAL, 3 neither; null for all other text.
     fits = F.when(text.try_cast("bigint").isNotNull(), 1).when(text.try_cast("decimal(38,0)").isNotNull(), 2).otherwise(3)
-    parsed = parsed.withColumn("whole", F.when(value["plain"] & text.rlike(WHOLE_NUMBER), fits))
+    parsed = parsed.withColumns(
+        {
+            "whole": F.when(value["plain"] & text.rlike(WHOLE_NUMBER), fits),
+            "share": percent_share(text, False, clean=True),
+            "is_date": among(dated, parse_timestamp(F.col("raw")).isNotNull()),
+            "quarter": among(timed, quarter_number(F.col("raw")).isNotNull()),
+            "month": among([*timed, *worded], month_like(F.col("raw"))),
+            "hint": among(worded, F.col("raw").rlike(MONTH_WORD)),
+        }
+    )
     whole = F.col("whole")
     large = value["plain"] & (value["number"] > 1) & (value["number"] <= 100)
+    times = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     # A null token is no value: nothing in it counts.
-    count = lambda cond: F.count(F.when((text != "") & cond, 1))
+    count = lambda cond: times((text != "") & cond)
     counted = parsed.groupBy("column_name").agg(
-        F.count("raw").alias("n_present"),
+        F.sum("n").alias("n_rows"),
+        times(F.col("raw").isNotNull()).alias("n_present"),
         count(F.lit(True)).alias("n_filled"),
         count(value["plain"]).alias("n_plain"),
         count(whole <= 3).alias("n_whole"),
@@ -114,39 +164,44 @@ def column_counters(df: DataFrame) -> DataFrame:
         count(text.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias("n_true_false"),
         count(value["coerced"]).alias("successful_coercions"),
         count(value["failed"]).alias("failed_numeric_coercions"),
-        F.coalesce(F.sum(F.when(text != "", value["currency"])), F.lit(0)).alias("currency_removed"),
+        F.coalesce(F.sum(F.when(text != "", value["currency"] * F.col("n"))), F.lit(0)).alias("currency_removed"),
         count(value["parentheses"]).alias("parentheses_to_negative"),
         count(value["scaled"]).alias("scaling_applied"),
         count(value["minus"]).alias("unicode_minus_normalized"),
-        count(percent_share(text, False, clean=True)["changed"] | (under_percent & large)).alias("percent_normalized"),
+        count(F.col("share.changed") | (under_percent & large)).alias("percent_normalized"),
         count(F.lower(text).isin(fixed.TRUE_WORDS + fixed.FALSE_WORDS)).alias("boolean_coerced"),
+        count(F.col("is_date")).alias("datetime_parsed"),
+        count(~F.col("is_date")).alias("parsing_errors"),
+        # How often a value is a year, month or quarter: read as text, and as the number or the share that it is cleaned to.
+        *_time_counts(times, timed, under_percent, large),
         # Two conventions and nine currencies exist: these lists are short.
         F.array_sort(F.collect_set(F.when(text != "", value["convention"]))).alias("conventions"),
         F.collect_set(F.when(text != "", value["symbols"])).alias("symbols"),
         F.collect_set(F.when(text != "", value["code"])).alias("codes"),
     )
     currencies = F.array_sort(F.array_union(F.flatten("symbols"), F.col("codes")))
-    counted = counted.withColumn("currencies", currencies).drop("symbols", "codes")
-    if dated:
-        return counted.join(_date_counters(df, dated), "column_name", "left")
-    none = F.lit(0).cast("bigint")
-    return counted.withColumns({"datetime_parsed": none, "parsing_errors": none})
-
-
-def _date_counters(df: DataFrame, dated: list[str]) -> DataFrame:
-    """Parsed and failed dates of the columns that are called dates."""
-    texts = [without_null_tokens(F.col(f"`{c}`").cast("string")).alias(c) for c in dated]
-    long = df.select(*texts).unpivot([], dated, "column_name", "raw")
-    is_date = parse_timestamp(F.col("raw")).isNotNull()
-    return (
-        long.where(stripped(F.col("raw")) != "")
-        .select("column_name", is_date.alias("is_date"))
-        .groupBy("column_name")
-        .agg(
-            F.count(F.when(F.col("is_date"), 1)).alias("datetime_parsed"),
-            F.count(F.when(~F.col("is_date"), 1)).alias("parsing_errors"),
-        )
-    )
+    return counted.withColumn("currencies", currencies).drop("symbols", "codes")
+
+
+def _time_counts(times, timed: list[str], under_percent: Column, large: Column) -> list[Column]:
+    present = F.col("raw").isNotNull()
+    as_text = F.when(F.col("value")["plain"], F.col("value")["number"])
+    as_number = F.col("value")["number"]
+    as_share = F.when(under_percent & large, as_number / 100).otherwise(F.col("share.number"))
+    found = []
+    for reading, number in {"text": as_text, "number": as_number, "share": as_share}.items():
+        whole = F.when(~F.isnan(number), number.try_cast("bigint"))
+        checks = {
+            "year": number.between(fixed.YEAR_MIN, fixed.YEAR_MAX),
+            "month": F.col("month") if reading == "text" else whole.between(1, 12),
+            "quarter": F.col("quarter") if reading == "text" else whole.between(1, 4),
+        }
+        known = F.col("column_name").isin(timed) if timed else F.lit(False)
+        for kind, check in checks.items():
+            inside = present if reading == "text" and kind == "month" else present & known
+            found.append(times(inside & check).alias(f"{kind}_{reading}"))
+        found.append(times(present if reading == "text" else present & number.isNotNull()).alias(f"n_{reading}"))
+    return [*found, times(present & F.col("hint")).alias("hint_text")]
 
 
 def cascade(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
@@ -173,7 +228,7 @@ def cascade(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     )
     columns = df.sparkSession.createDataFrame(facts, schema)
     found = columns.join(column_counters(df), "column_name", "left")
-    zeros = {c: 0 for c in [*COUNTERS, "n_filled", "n_whole", "n_decimal"]}
+    zeros = {c: 0 for c in [*COUNTERS, *TIME_COUNTERS, "n_rows", "n_filled", "n_whole", "n_decimal"]}
     found = found.fillna(zeros)
 
     text = F.col("kind") == "text"
@@ -253,6 +308,10 @@ def plan_normalization(df: DataFrame, names: dict[str, str] | None = None) -> li
 
 def plans_from(rows: DataFrame) -> list[ColumnPlan]:
     """The rows of :func:`cascade`, collected."""
+    return _plans(rows.collect())
+
+
+def _plans(rows: list[Row]) -> list[ColumnPlan]:
     return [
         ColumnPlan(
             name=r["column_name"],
@@ -266,7 +325,7 @@ def plans_from(rows: DataFrame) -> list[ColumnPlan]:
             counters={c: r[c] for c in _COUNTED.get(r["branch"], [])},
             failed_ratio=r["failed_ratio"],
         )
-        for r in rows.collect()
+        for r in rows
     ]
 
 
@@ -326,15 +385,39 @@ class Normalized:
         return steps
 
 
+def _cleaned_time_counts(row: Row, data_type: T.DataType) -> TimeCounts:
+    """What the time checks find in a column once it is cleaned, from the counts over its raw values."""
+    if row["kind"] == "text" and row["branch"] == DATETIME:
+        return TimeCounts(n=row["datetime_parsed"], date=row["datetime_parsed"])
+    if row["kind"] == "text" and row["branch"] == BOOLEAN:
+        return TimeCounts(n=row["boolean_coerced"])
+    if row["branch"] == PERCENT:
+        reading = "share"
+    elif row["kind"] == "text" and _kind(data_type) == "number":
+        reading = "number"
+    else:
+        reading = "text"
+    n = row[f"n_{reading}"]
+    return TimeCounts(
+        n=n,
+        date=n if _kind(data_type) == "time" else row["datetime_parsed"],
+        year=row[f"year_{reading}"],
+        month=row[f"month_{reading}"],
+        quarter=row[f"quarter_{reading}"],
+        hint=row["hint_text"] if reading == "text" else 0,
+    )
+
+
 def normalize(df: DataFrame) -> Normalized:
-    """Clean ``df`` (this starts two jobs: column counters and time detection)."""
-    if df.isEmpty():
-        raise ValueError("the input has no rows")
+    """Clean ``df`` (this starts one job, which reads the table once and counts for all rules and time checks)."""
     names = standard_names(df.columns)
     renamed = df.toDF(*names)
-    plans = plan_normalization(renamed, names)
+    rows = cascade(renamed, names).collect()
+    if not any(r["n_rows"] for r in rows):
+        raise ValueError("the input has no rows")
+    plans = _plans(rows)
     data = apply_plans(renamed, plans)
-    spec = detect_time(data)
+    spec = time_spec(data, {r["column_name"]: _cleaned_time_counts(r, data.schema[r["column_name"]].dataType) for r in rows})
     warnings = [
         fixed.MIXED_CONVENTIONS.format(name=p.name)
         for p in plans

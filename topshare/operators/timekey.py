@@ -111,18 +111,46 @@ def time_checks(df: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class TimeCounts:
+    """Of one column: values, and how many of them pass each check; ``hint`` counts month words."""
+
+    n: int = 0
+    date: int = 0
+    year: int = 0
+    month: int = 0
+    quarter: int = 0
+    hint: int = 0
+
+
 def detect_time(df: DataFrame) -> TimeSpec:
     """Decide the grain from names and one aggregate (this starts a job)."""
-    found: dict[str, list[str]] = {k: [] for k in KINDS}
-    hinted: set[str] = set()
     # At most two rows per column.
-    for row in sorted(time_checks(df).collect(), key=lambda r: (r["position"], KINDS.index(r["kind"]))):
-        if row["kind"] == "quarter" and row["column_name"] in hinted:
+    return _decided([(r["position"], r["column_name"], r["kind"], r["hinted"], r["is_candidate"]) for r in time_checks(df).collect()])
+
+
+def time_spec(df: DataFrame, counts: dict[str, TimeCounts]) -> TimeSpec:
+    """As :func:`detect_time` from counts that are there already; of ``df`` only the schema counts."""
+    rows = []
+    for position, name, kind, _ in _kinds(df):
+        found = counts.get(name, TimeCounts())
+        hinted = not (kind == "month" and time_kind(name) != "month") or found.hint > 0
+        enough = found.n > 0 and hinted and getattr(found, kind) >= found.n * fixed.VALID_SHARE
+        rows.append((position, name, kind, hinted, enough))
+    return _decided(rows)
+
+
+def _decided(rows: list[tuple[int, str, str, bool, bool]]) -> TimeSpec:
+    """From position, column, kind, whether month words allow it, and whether enough values fit."""
+    found: dict[str, list[str]] = {k: [] for k in KINDS}
+    with_words: set[str] = set()
+    for _, name, kind, hinted, is_candidate in sorted(rows, key=lambda r: (r[0], KINDS.index(r[2]))):
+        if kind == "quarter" and name in with_words:
             continue
-        if row["kind"] == "month" and row["hinted"]:
-            hinted.add(row["column_name"])
-        if row["is_candidate"]:
-            found[row["kind"]].append(row["column_name"])
+        if kind == "month" and hinted:
+            with_words.add(name)
+        if is_candidate:
+            found[kind].append(name)
     possible = [grain for grain, kinds in GRAINS.items() if all(found[k] for k in kinds)]
     if not possible:
         return TimeSpec(warnings=[fixed.NO_TIME])
