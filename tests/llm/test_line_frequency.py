@@ -39,7 +39,7 @@ def shared(n, source, first):
 def test_limits_copies_and_cases(spark):
     rows = shared(15, "big", 0) + shared(8, "small", 100) + shared(12, None, 200)
     alone = "Only this line of ten words or more stands here alone"
-    rows += [(300 + i, alone, "copies", "k", 0) for i in range(50)]  # one text, however often
+    rows += [(300 + i, alone, "copies", "k", 0) for i in range(50)]  # copies are documents too
     stock = "A sentence with more than ten words that very many documents of a host hold in full"
     rows += [(400 + i, f"{stock}\nextra{i}", "stock", "k", 0) for i in range(20)]
     rows += [(500, None, "x", "k", 0), (501, "", "x", "k", 0), (502, "a b c d e f g h i", "x", "k", 0), (503, "w " * 50_000, "x", "k", 0)]
@@ -52,7 +52,7 @@ def test_limits_copies_and_cases(spark):
     assert all(r["n_removed_words"] == 7 and r["kept"] for d in range(15) for r in found[d]) and len(found[0]) == 2
     assert all(found[100 + i][0]["n_removed_words"] == 0 for i in range(8))
     assert all(found[200 + i][0]["n_removed_words"] == 7 for i in range(12))
-    assert all(found[300 + i][0]["kept"] for i in range(50))
+    assert not any(found[300 + i][0]["kept"] or found[300 + i][0]["base_failed"] for i in range(50))
     assert not any(found[400 + i][0]["kept"] or found[400 + i][0]["base_failed"] for i in range(20))
     assert all(found[d][0]["base_failed"] for d in (500, 501, 502, 503))
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -60,15 +60,37 @@ def test_limits_copies_and_cases(spark):
     assert clean.columns == docs.columns
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert texts[3] == rows[3][1].split("\n")[1] and texts[100] == rows[15][1]
-    assert 400 not in texts and 500 not in texts
-
-
-def test_share_of_a_large_host(spark):
-    rows = shared(15, "big", 0)
-    judged = line_frequency.judge(spark.createDataFrame(rows, SCHEMA), max_texts=10, max_share=0.9)
-    assert {r["n_removed_words"] for r in judged.collect()} == {7}  # 15 of 15 texts
-    judged = line_frequency.judge(spark.createDataFrame(rows, SCHEMA), max_texts=10, max_share=1.0)
-    assert {r["n_removed_words"] for r in judged.collect()} == {0}
+    assert 300 not in texts and 400 not in texts and 500 not in texts
+
+
+def test_hundreds_of_copies_are_rejected(spark):
+    text = "The first line of a text that was copied.\nAnd its second line, with some more words."
+    rows = [(i, text, "hot", "k", 0) for i in range(300)] + shared(5, "hot", 1000)
+    found = {r["doc_id"]: r for r in line_frequency.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(found[i]["n_removed_words"] == found[i]["n_words"] and not found[i]["kept"] for i in range(300))
+    assert all(found[1000 + i]["n_removed_words"] == 0 and found[1000 + i]["kept"] for i in range(5))
+
+
+def test_the_same_verdicts_in_a_host_of_any_size(spark):
+    """Twelve documents share a line; thirty thousand others of the host change nothing for them."""
+    rows = shared(12, "hot", 0) + shared(9, "cold", 100)
+    small = {r["doc_id"]: tuple(r) for r in line_frequency.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    others = spark.range(1000, 31_000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 12), k -> md5(cast(id * 100 + k AS string)))) AS text")
+    others = others.selectExpr("doc_id", "translate(text, '0123456789', 'ghijklmnop') AS text", "'hot' AS source", "'k' AS kept", "0 AS removed")
+    large = line_frequency.judge(spark.createDataFrame(rows, SCHEMA).unionByName(others))
+    assert {r["doc_id"]: tuple(r) for r in large.where("doc_id < 1000").collect()} == small
+    assert {r[0]: r[-2] for r in small.values()} == {**dict.fromkeys(range(12), 7), **dict.fromkeys(range(100, 109), 0)}
+
+
+def test_rows_of_one_document_count_once(spark):
+    text = "A line that one document has in many rows, each of them counted once.\n"
+    rows = [(1, text + f"row {'x' * i}", "h", "k", 0) for i in range(40)] + [(None, text, "h", "k", 0)] * 20
+    rows += [(10 + i, text, "h", "k", 0) for i in range(8)]  # ten documents in all
+    judged = line_frequency.judge(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(judged) == 68 and {r["n_removed_words"] for r in judged} == {0}
+    rows.append((99, text, "h", "k", 0))
+    judged = line_frequency.judge(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["n_removed_words"] for r in judged} == {14}
 
 
 def test_empty_table(spark):

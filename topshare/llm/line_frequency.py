@@ -1,10 +1,12 @@
 """Cross-document line frequency: lines that too many documents of a host share are taken out.
 
-A line counts once for each distinct text of its host (the source), however
-often the text repeats it and however many rows are copies of the text.  A line
-found in more texts than the limits allow is removed from every document of the
-host; a document that keeps too little is rejected.  Lines are compared without
-regard to case of letters, runs of white space and the figures in numbers.
+A line counts once for each distinct document (doc_id) of its host (the source)
+that has it, however often the document repeats it.  A line found in more
+documents of a host than the limit allows is removed from every document of the
+host; a document that keeps too little is rejected.  The limit is a number of
+documents, so what becomes of a group of documents doesn't depend on how many
+others the host has.  Lines are compared without regard to case of letters, runs
+of white space and the figures in numbers.
 """
 
 from __future__ import annotations
@@ -21,9 +23,8 @@ from pyspark.sql import functions as F
 
 from topshare.llm.common import prepare_workers, texts_of, written
 
-#: A line is over the limit in more texts of a host than both of these allow.
-MAX_TEXTS = 10
-MAX_SHARE = 0.0005
+#: A line is over the limit in more documents of a host.
+MAX_DOCUMENTS = 10
 #: A document is depleted with fewer words, or a smaller share of its words, left.
 LEAST_WORDS = 10
 LEAST_SHARE = 0.3
@@ -103,21 +104,20 @@ def _measured(docs: DataFrame, id_column: str, text_column: str, host_column: st
     return written(source.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()), "lines")
 
 
-def lines_over_limit(
-    measured: DataFrame, max_texts: int = MAX_TEXTS, max_share: float = MAX_SHARE
-) -> DataFrame:
+def lines_over_limit(measured: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """``host, hash`` of the lines to remove.
 
-    Copies of a text are one: they meet by digest before lines are counted.
-    Both counts have partial sums before their shuffle.
+    Rows are counted first, with partial sums before the shuffle; they are as
+    many as the documents, or more where a doc_id repeats.  So only lines in more
+    rows than the limit have their documents told apart.
     """
-    texts = measured.select("host", "text_digest", F.array_distinct("hashes").alias("hashes")).distinct()
-    texts = written(texts, "distinct-texts")
-    hosts = texts.groupBy("host").count().select("host", F.greatest(F.lit(max_texts), F.col("count") * max_share).alias("limit"))
-    counted = texts.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").count()
-    frequent = counted.where(F.col("count") > max_texts).alias("f")
-    over = frequent.join(hosts.alias("h"), F.col("f.host").eqNullSafe(F.col("h.host")))
-    return written(over.where("count > limit").select("f.host", "hash"), "lines-over-limit")
+    found = measured.select("host", "doc_id", F.explode(F.array_distinct("hashes")).alias("hash"))
+    rows = found.groupBy("host", "hash").count().where(F.col("count") > max_documents)
+    frequent = written(rows.select("host", "hash"), "frequent-lines")
+    same = F.expr("l.hash = f.hash AND l.host <=> f.host")
+    documents = found.alias("l").join(frequent.alias("f"), same).select("l.host", "l.hash", "l.doc_id").distinct()
+    over = documents.groupBy("host", "hash").count().where(F.col("count") > max_documents)
+    return written(over.select("host", "hash"), "lines-over-limit")
 
 
 def judge(
@@ -125,19 +125,19 @@ def judge(
     id_column: str = "doc_id",
     text_column: str = "text",
     host_column: str = "source",
-    max_texts: int = MAX_TEXTS,
-    max_share: float = MAX_SHARE,
+    max_documents: int = MAX_DOCUMENTS,
 ) -> DataFrame:
     """Base figures, lines to remove and verdict of every row (this starts jobs).
 
     ``doc_id``, the figures, ``base_failed``, ``text_digest``, ``removed`` (the
     hashes of lines to remove, or null), ``n_removed_words`` and ``kept``.
     A null text is an empty one, and fails the base rules; rows without a host
-    form a host of their own; repeated rows get equal verdicts.  Other columns
+    form a host of their own, and rows without an id are one document of their
+    host; repeated rows are one document and get equal verdicts.  Other columns
     are not looked at.
     """
     measured = _measured(docs, id_column, text_column, host_column)
-    over = lines_over_limit(measured, max_texts, max_share)
+    over = lines_over_limit(measured, max_documents)
     lines = measured.select("row", "host", F.explode(F.arrays_zip("hashes", "line_words")).alias("line"))
     lines = lines.select("row", "host", F.col("line.hashes").alias("hash"), F.col("line.line_words").alias("words"))
     # Both sides come from written tables, so a line that a third of all rows have can be split.

@@ -94,10 +94,7 @@ plain AS (
   FROM lines WHERE len(words) > 0
 ),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM plain GROUP BY doc_id),
-hosts AS (SELECT source, greatest({line_frequency.MAX_TEXTS}, count(DISTINCT text) * {line_frequency.MAX_SHARE}) AS most
-          FROM d GROUP BY source),
-counted AS (SELECT source, norm, count(DISTINCT text) AS n FROM plain GROUP BY source, norm),
-over_limit AS (SELECT c.source, c.norm FROM counted c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > h.most),
+over_limit AS (SELECT source, norm FROM plain GROUP BY source, norm HAVING count(DISTINCT doc_id) > {line_frequency.MAX_DOCUMENTS}),
 removed AS (
   SELECT p.doc_id, sum(p.n) AS gone FROM plain p JOIN over_limit o ON p.norm = o.norm AND p.source IS NOT DISTINCT FROM o.source
   GROUP BY p.doc_id
