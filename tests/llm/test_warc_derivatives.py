@@ -4,6 +4,8 @@ import base64
 import gzip
 import hashlib
 import zlib
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 from topshare.llm import warc_derivatives as W
 from topshare.llm.html_layout import visible_text
@@ -155,6 +157,54 @@ def test_whole_table(spark):
     assert all(len(s) == 1 for s in sources.values()) and len({r["record_id"] for r in rows}) == len(rows)
 
 
+class _Links(HTMLParser):
+    """Links of a page by another parser."""
+
+    def __init__(self, base):
+        super().__init__()
+        self.base, self.found = base, []
+
+    def handle_starttag(self, tag, attrs):
+        href = next((v for n, v in attrs if n == "href" and v), None)
+        if tag == "a" and href:
+            self.found.append(urljoin(self.base, href.strip()))
+
+
+def test_links_of_the_whole_table(spark):
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    seen = 0
+    for r in op2_warc_derivatives(spark, SF).where("record_type = 'metadata'").collect():
+        links = _Links(pages[r["page_id"]]["url"])
+        links.feed(pages[r["page_id"]]["html"])
+        assert [v for n, v in W.fields_of(r["text"]) if n == "outlink"] == links.found
+        seen += len(links.found)
+    assert seen > len(pages)
+
+
+def test_joined_links():
+    """The short ways give what ``urljoin`` gives."""
+    bases = ["http://h.example", "http://h.example/", "https://h.example:8080/a/b.html?q=1#f", "http://h/a//b/../c", "HTTP://H/x/", "ftp://h/a/b",
+             "", "a/b", "http://h/a;p=1/b", "http://h/a b/c", "http://h/a/./b", "http://é.example/d/", "http://h/a?x/y", "http://h/a#x/y"]
+    hrefs = ["x", "x/", "x/y.html", "./x", "../x", "/x/../y", "/", "//k/z", "/x//y", "?q=2", "#top", "x?a=1/2#z", "/x?", "/x#", "x;p", "http://k",
+             "http://k/", "http://k/a/../b", "https://k:1/a?b=c&d=%20#e", "HTTP://k/a", "mailto:a@b.c", "javascript:f()", " x ", "x y", "é/ü", "/é",
+             "/.hidden/x", "..", ".", "a..b/c", "http://k/?", "data:x", "c:d/e", "/a:b", "x#a?b", "/x?a#b/../c", "http:x", "x\ny"]
+    for base in bases:
+        for href in hrefs:
+            assert W._Joiner(base).joined(href) == W._joined(base, href), (base, href)
+
+
+def test_fields_are_those_of_the_header_lines(spark):
+    pages = spark.createDataFrame([(1, "http://h/\u2028a", "<p>source-payload-digest: x"), (2, None, None)], "page_id long, url string, html string")
+    for r in W.derivatives(W.responses_from_pages(pages)).collect():
+        fields = dict(W.fields_of(r["head"]))
+        assert (r["record_id"], r["refers_to"], r["warc_date"]) == tuple(fields[f"WARC-{n}"] for n in ("Record-ID", "Refers-To", "Date"))
+        assert r["target_uri"] == fields.get("WARC-Target-URI") and r["block_digest"] == fields["WARC-Block-Digest"]
+        assert r["content_type"] == fields["Content-Type"] and r["content_length"] == int(fields["Content-Length"])
+        told_of = dict(W.fields_of(bytes(r["block"]).decode())) if r["record_type"] == "metadata" else {}
+        assert r["source_payload_digest"] == told_of.get("source-payload-digest")
+        assert r["source_digest_agrees"] == (True if told_of else None)
+
+
 def test_null_empty_and_repeated_rows(spark):
     rows = [(1, None, None, "h"), (2, "u", "", "h"), (3, "u\r\nX: y", "<p>a", "h"), (3, "u\r\nX: y", "<p>a", "h"), (None, "v", "<p>b", "h")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, head string")

@@ -27,24 +27,7 @@ from topshare.llm.common import table
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses = warc_derivatives.responses_from_pages(table(spark, sf_dir, "pages"))
     records = warc_derivatives.derivatives(responses)
-
-    def field(name: str, lines: str = "head") -> Column:
-        return F.nullif(F.regexp_extract(lines, rf"(?m)^{name}: (.*)$", 1), F.lit(""))
-
-    return records.withColumn("text", F.col("block").cast("string")).select(
-        "page_id",
-        "record_type",
-        "record_id",
-        "refers_to",
-        field("WARC-Target-URI").alias("target_uri"),
-        field("WARC-Date").alias("warc_date"),
-        field("Content-Type").alias("content_type"),
-        field("Content-Length").cast("long").alias("content_length"),
-        field("WARC-Block-Digest").alias("block_digest"),
-        field("source-payload-digest", "text").alias("source_payload_digest"),
-        field("source-payload-digest-agrees", "text").cast("boolean").alias("source_digest_agrees"),
-        "text",
-    )
+    return records.withColumn("text", F.col("block").cast("string")).drop("head", "block")
 
 
 def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,17 +189,45 @@ def sha1_label(data: bytes | Iterable[bytes]) -> str:
 
 def links_of(tree: Node, base: str) -> list[str]:
     """The targets of links, in order and as often as they occur."""
-    found, todo = [], [tree]
+    found, todo, joiner = [], [tree], _Joiner(base)
     while todo:
         node = todo.pop()
         if node.tag == "base" and node.attrs.get("href"):
-            base = _joined(base, node.attrs["href"])
+            joiner = _Joiner(joiner.joined(node.attrs["href"]))
         if node.tag in ("a", "area") and node.attrs.get("href"):
-            found.append(_joined(base, node.attrs["href"]))
+            found.append(joiner.joined(node.attrs["href"]))
         todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     return found
 
 
+#: What ``urljoin`` gives back as it is, or only puts behind the start of the base: plain segments, none of dots.
+_PLAIN = r"(?:[\w~%+-][\w.~%+-]*/)*(?:[\w~%+-][\w.~%+-]*)?(?:\?[\w=&%+.,/-]+)?(?:#[\w.-]+)?"
+_ABSOLUTE = re.compile(rf"https?://[\w.-]+(?::\d+)?/{_PLAIN}", re.A)
+_ROOTED = re.compile(rf"/{_PLAIN}", re.A)
+_BESIDE = re.compile(rf"[\w~%+-]{_PLAIN}", re.A)
+
+
+class _Joiner:
+    """Joins the links of one page to its base; the base is taken apart once."""
+
+    def __init__(self, base: str):
+        self._base = base
+        plain = _ABSOLUTE.fullmatch(base)
+        # The base up to its path, and up to the last slash of its path.
+        self._root = base[: base.index("/", 8)] if plain else None
+        self._folder = re.split(r"[?#]", base, maxsplit=1)[0].rpartition("/")[0] + "/" if plain else None
+
+    def joined(self, href: str) -> str:
+        if _ABSOLUTE.fullmatch(href):
+            return href
+        if self._root is not None:
+            if _ROOTED.fullmatch(href):
+                return self._root + href
+            if _BESIDE.fullmatch(href):
+                return self._folder + href
+        return _joined(self._base, href)
+
+
 def _joined(base: str, href: str) -> str:
     try:
         return _ONE_LINE.sub("", urljoin(base, href.strip()))
@@ -220,6 +248,11 @@ def derive(head: str, block: bytes) -> list[tuple[str, str, str, str, bytes]]:
 
     Records of other types than response, and those without an id, have none.
     """
+    return [record[:5] for record in _derived(head, block)]
+
+
+def _derived(head: str, block: bytes) -> list[tuple]:
+    """As :func:`derive`, each with the values of ``_FIELDS`` behind, null where there is none."""
     fields = {n.lower(): v for n, v in reversed(fields_of(head))}
     source = fields.get("warc-record-id", "")
     if fields.get("warc-type", "").lower() != "response" or not source:
@@ -254,11 +287,14 @@ def derive(head: str, block: bytes) -> list[tuple[str, str, str, str, bytes]]:
         ]
 
     told = [("source-content-length", str(len(block)))]
+    of_payload: tuple = (None, None)
     for name, data in (("block", block), ("payload", response.payload() if response else b"")):
         if label := fields.get(f"warc-{name}-digest"):
             agrees = digest_agrees(label, data)
             if name == "payload" and response and response.unknown_coding:
                 agrees = agrees or None  # it may be that of the unpacked body
+            if name == "payload":
+                of_payload = (_ONE_LINE.sub(" ", label), agrees)
             told += [(f"source-{name}-digest", label)]
             told += [(f"source-{name}-digest-agrees", "unknown" if agrees is None else str(agrees).lower())]
     if response:
@@ -275,7 +311,14 @@ def derive(head: str, block: bytes) -> list[tuple[str, str, str, str, bytes]]:
     records = [("metadata", body, "application/warc-fields")]
     if text is not None:
         records.append(("conversion", text, "text/plain; charset=utf-8"))
-    return [(k, _record_id(source, k), source, _head(shared(k, b, t)), b) for k, b, t in records]
+    found = []
+    for name, data, content_type in records:
+        lines = shared(name, data, content_type)
+        values = {n: _ONE_LINE.sub(" ", v) or None for n, v in lines}
+        told_of = [values["WARC-Target-URI"], values["WARC-Date"], content_type, len(data), values["WARC-Block-Digest"]]
+        payload = of_payload if name == "metadata" else (None, None)
+        found.append((name, values["WARC-Record-ID"], source, _head(lines), data, *told_of, *payload))
+    return found
 
 
 def to_warc(head: str, block: bytes, compressed: bool = True) -> bytes:
@@ -327,25 +370,47 @@ def responses_from_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", head.alias("head"), block.alias("block"))
 
 
+#: Columns behind ``block``.
+_FIELDS = {
+    "target_uri": pa.string(),
+    "warc_date": pa.string(),
+    "content_type": pa.string(),
+    "content_length": pa.int64(),
+    "block_digest": pa.string(),
+    "source_payload_digest": pa.string(),
+    "source_digest_agrees": pa.bool_(),
+}
+_RECORD = dict.fromkeys(["record_type", "record_id", "refers_to", "head"], pa.string()) | {"block": pa.binary()} | _FIELDS
+
+
 def derivatives(records: DataFrame, id_column: str = "page_id") -> DataFrame:
     """The derivative records of ``head, block`` rows; ``id_column`` is kept.
 
-    ``record_type, record_id, refers_to, head, block``.  A null head or block is
-    an empty one; a row that is no response, or has no id, gives no records; one
+    ``record_type, record_id, refers_to, head, block``, and as columns of their
+    own what the header lines tell: ``target_uri, warc_date, content_type,
+    content_length, block_digest`` and, of metadata, ``source_payload_digest,
+    source_digest_agrees`` (null where unknown).  A null head or block is an
+    empty one; a row that is no response, or has no id, gives no records; one
     whose block is no HTTP gives metadata that say so.  Repeated rows give
     repeated records.
     """
     prepare_workers(records.sparkSession, 256)
     kind = records.schema[id_column].dataType.simpleString()
-    names = ["record_type", "record_id", "refers_to", "head", "block"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, head, block in zip(batch[id_column].array, batch["head"], batch["block"]):
-                rows += [(None if pd.isna(key) else key, *d) for d in derive(head or "", block or b"")]
-            frame = pd.DataFrame.from_records(rows, columns=[id_column, *names])
-            yield frame.astype({id_column: "Int64"}) if kind in ("bigint", "int") else frame
-
-    schema = f"{id_column} {kind}, record_type string, record_id string, refers_to string, head string, block binary"
-    return records.select(id_column, "head", "block").mapInPandas(run, schema)
+            source, rows = [], []
+            for at, (head, block) in enumerate(zip(batch.column("head").to_pylist(), batch.column("block").to_pylist())):
+                found = _derived(head or "", block or b"")
+                source += [at] * len(found)
+                rows += found
+            ids = batch.column(0).take(pa.array(source, pa.int64()))
+            columns = zip(*rows) if rows else [()] * len(_RECORD)
+            yield pa.RecordBatch.from_arrays(
+                [ids, *[pa.array(c, t) for c, t in zip(columns, _RECORD.values())]], names=[id_column, *_RECORD]
+            )
+
+    text = "record_type string, record_id string, refers_to string, head string, block binary"
+    fields = "target_uri string, warc_date string, content_type string, content_length long, block_digest string"
+    agrees = "source_payload_digest string, source_digest_agrees boolean"
+    return records.select(id_column, "head", "block").mapInArrow(run, f"{id_column} {kind}, {text}, {fields}, {agrees}")
