@@ -103,3 +103,16 @@ def test_very_long_runs_of_white_space(tokenizer, space):
     run = (space * 1_000_000)[:1_000_000]
     for text in (run, f"some words{run}end"):
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_document_of_eight_million_ids():
+    """Time grows with the length, not with its square."""
+    import time
+
+    ids = bytes(4 * 8_000_000)
+    packer = packing.OnlinePacker(1024, 64, 0)
+    began = time.process_time()
+    packer.add(packing.Piece(1, 0, 8_000_000, 8_000_000, ids))
+    assert time.process_time() - began < 3
+    assert sum(r[2] for r in packer.rows) + sum(p.length for p in packer.left()) == 8_000_000
+    assert all(type(r[4]) is bytes for r in packer.rows) and [len(p.ids) for p in packer.left()] == [4 * (8_000_000 % 1024)]

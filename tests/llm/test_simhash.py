@@ -108,3 +108,29 @@ def test_one_of_each_stays(spark):
     kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert kept.columns == ["doc_id", "text", "lang"]
     assert sorted((r["doc_id"], r["lang"]) for r in kept.collect()) == [(1, "en"), (3, None)]
+
+
+def test_unique_texts_stay_where_ids_repeat(spark):
+    one, other, third = "one text of some words here", "quite another text with its own words", "and a third that is not like them"
+    schema = "doc_id long, text string, lang string, `__digest2` string"
+
+    def kept(rows):
+        found = []
+        for n in (1, 3, 7):
+            frame = spark.createDataFrame([(*r, "x") for r in rows], schema).repartition(n)
+            found.append(sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in simhash.keep_one_of_each(frame).collect()))
+        assert found[0] == found[1] == found[2]
+        return [r[1:] for r in found[0]]
+
+    assert kept([(5, one, "a"), (5, other, "b")]) == sorted([(5, one), (5, other)])
+    assert kept([(1, one, "a"), (2, other, "b"), (2, one, "c"), (1, third, "d")]) == sorted([(1, one), (2, other), (1, third)])
+    assert kept([(None, one, "a"), (None, one, "b"), (None, other, "c"), (4, other, "d"), (9, "", "e"), (8, None, "f")]) == [
+        (4, other), (8, None), (None, one)]
+    assert len(kept([(3, one, "a")] * 40 + [(3, other, "a")] * 40)) == 2
+
+
+def test_the_row_that_stays_of_equal_ids_and_texts(spark):
+    rows = [(1, "a b c d", lang) for lang in ("en", "de", "fr", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    stays = {tuple(simhash.keep_one_of_each(frame.repartition(n)).collect()) for n in (1, 2, 4)}
+    assert len(stays) == 1 and len(stays.pop()) == 1

@@ -46,7 +46,7 @@ class Piece(NamedTuple):
     start: int
     length: int
     doc_tokens: int
-    ids: bytes
+    ids: bytes | memoryview
 
     def cut(self, at: int) -> tuple[Piece, Piece]:
         head, tail = self.ids[: at * _ID_BYTES], self.ids[at * _ID_BYTES :]
@@ -69,9 +69,13 @@ class OnlinePacker:
         self.rows: list[tuple] = []
 
     def add(self, piece: Piece) -> None:
+        # Slices of a view are no copies, so a document is cut in time that is linear in its length.
+        piece = piece._replace(ids=memoryview(piece.ids))
         while piece.length >= self._window:
             head, piece = piece.cut(self._window)
             self._emit([head])
+        # What waits in a window doesn't hold the rest of its document.
+        piece = piece._replace(ids=bytes(piece.ids))
         while piece.length:
             fit = bisect_left(self._free, (piece.length, -1))
             if fit < len(self._free):
@@ -114,7 +118,7 @@ class OnlinePacker:
     def _emit(self, pieces: Iterable[Piece]) -> None:
         offset = 0
         for p in pieces:
-            self.rows.append((*p, self._next_id, offset, None))
+            self.rows.append((*p[:-1], bytes(p.ids), self._next_id, offset, None))
             offset += p.length
         self._next_id += 1
 

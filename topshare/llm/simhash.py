@@ -18,14 +18,14 @@ hold more than 65,536 different fingerprints.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from functools import partial
 from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topshare.llm.common import prepare_workers, texts_of, written
@@ -72,8 +72,17 @@ def fingerprint_of(text: str, shingle: int = 3) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id, fingerprint`` (signed long) of every whole text; null counts as empty, whose fingerprint is zero."""
+def fingerprints(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    shingle: int = 3,
+    extra: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """``doc_id, fingerprint`` (signed long) of every whole text, and the columns of ``extra``.
+
+    Null counts as empty, whose fingerprint is zero.
+    """
     prepare_workers(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -81,7 +90,8 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         values = np.array([fingerprint_of(t, shingle) for t in texts_of(column)], np.uint64)
         return pd.Series(values.view(np.int64))
 
-    return docs.select(F.col(id_column).alias("doc_id"), simhash(F.col(text_column)).alias("fingerprint"))
+    more = [c.alias(n) for n, c in (extra or {}).items()]
+    return docs.select(F.col(id_column).alias("doc_id"), simhash(F.col(text_column)).alias("fingerprint"), *more)
 
 
 def links(values: DataFrame, paired: int = PAIRED, listed: int = LISTED) -> DataFrame:
@@ -215,29 +225,50 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     its kind.  Other columns are not looked at.
     """
     marked = written(fingerprints(docs, id_column, text_column), "fingerprints")
+    rooted = _rooted(marked)
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Both written, so that the joins read plain tables and a hot component can be split.
+    members = written(rooted.join(written(least, "components"), "root").select("fingerprint", "component_id"), "members")
+    return marked.join(members, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def _rooted(marked: DataFrame) -> DataFrame:
+    """``fingerprint, least, root``: the least doc_id of each fingerprint, and the root of its component; written."""
     nodes = written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
     roots = connected_components(links(nodes.select("fingerprint")))
     rooted = (
         nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
         .select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     )
-    rooted = written(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Both written, so that the joins read plain tables and a hot component can be split.
-    members = written(rooted.join(written(least, "components"), "root").select("fingerprint", "component_id"), "members")
-    return marked.join(members, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return written(rooted, "rooted")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the least doc_id of each component (this starts jobs).
-
-    All columns stay.  If rows repeat a doc_id, one of them stays.  Rows without
-    a doc_id stay only where their component has no other.
+    """One row of ``docs`` for each component (this starts jobs).
+
+    It is the one with the least doc_id; rows without a doc_id come last, and of
+    different texts of one doc_id the one with the least digest is first.  So
+    rows that repeat a doc_id lose no text that is in no other component, and the
+    same rows stay in every partitioning; of rows that repeat both doc_id and
+    text one stays, the least by a hash of all its columns (maps left out).
+    All columns stay; an empty table gives no rows.
     """
-    found = written(near_duplicates(docs), "near-duplicates")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    kept = written(kept.select(F.col("doc_id").alias("__kept"), (F.col("count") > 1).alias("__repeats")), "kept")
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("__digest", digest)
+    marked = written(fingerprints(docs, extra={"digest": digest}), "fingerprints")
+    rows = marked.join(_rooted(marked).select("fingerprint", "root"), "fingerprint")
+    texts = rows.groupBy("root", "doc_id", "digest").count()
+    # A copy of most rows: one for each document of a component, pre-aggregated before the shuffle.
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "digest", "count")).alias("first")
+    kept = texts.groupBy("root").agg(first).select(
+        F.col("first.doc_id").alias("__kept"), F.col("first.digest").alias("__kept_digest"), (F.col("first.count") > 1).alias("__repeats")
+    )
+    kept = written(kept, "kept")
     # The kept ids grow with the documents: the same plan at every size, never a broadcast of them.
-    ids = kept.select("__kept").hint("merge")
-    left = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    return left if kept.where("__repeats").isEmpty() else left.dropDuplicates(["doc_id"])
+    same = keyed["doc_id"].eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__kept_digest"))
+    left = keyed.join(kept.select("__kept", "__kept_digest").hint("merge"), same, "left_semi")
+    if not kept.where("__repeats").isEmpty():
+        told = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+        order = Window.partitionBy("doc_id", "__digest").orderBy(F.xxhash64(*told))
+        left = left.withColumn("__place", F.row_number().over(order)).where("__place = 1")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
