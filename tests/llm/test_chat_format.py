@@ -67,3 +67,21 @@ def test_very_long_text_and_many_turns(spark):
 @pytest.mark.parametrize("schema", [SCHEMA])
 def test_empty_table(spark, schema):
     assert C.format_conversations(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_a_very_long_conversation(spark):
+    """Forty thousand turns with texts around the ends of chunks: right, and in time that grows with the length."""
+    import time
+
+    turns = [(1, i, "assistant" if i % 2 else "user", "é漢" * (i % 7) + "</s>" * (i % 3 == 0) + "x" * (1500 * (i % 500 == 1))) for i in range(40_000)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    began = time.perf_counter()
+    formatted = C.format_conversations(frame)
+    (row,) = formatted.select(
+        C.learned_text(F.col("formatted"), F.col("loss_spans")).alias("learned"),
+        F.size("loss_spans").alias("n"),
+        C.turns_of(F.col("formatted")).alias("turns"),
+    ).collect()
+    assert time.perf_counter() - began < 40
+    assert row["n"] == 20_000 and row["learned"] == "".join(t[3] for t in turns if t[2] == "assistant")
+    assert [(t["role"], t["text"]) for t in row["turns"]] == [(t[2], t[3]) for t in turns]

@@ -19,6 +19,10 @@ _REST = r"(\|[A-Za-z_]{1,32}\||/?s>|/?INST\]|/?SYS>>)"
 CONTROL = rf"([<\[])(\\*){_REST}"
 _ESCAPED = rf"([<\[])\\(\\*){_REST}"
 
+#: Turns whose spans are gathered at once, and code points of a chunk in which spans are looked up.
+_BLOCK = 512
+_CHUNK = 1024
+
 
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, CONTROL, r"$1\\$2$3")
@@ -62,12 +66,28 @@ def format_conversations(turns: DataFrame, learned_role: str = "assistant") -> D
 
     none = F.array().cast("array<struct<start:int,length:int>>")
     pieces = collected.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    return pieces.select(
+    # Spans are gathered in blocks: a fold copies its list at every step, so a list over all turns would take quadratic time.
+    block = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / _BLOCK).cast("int")),
+        lambda b: F.slice("pieces", b * _BLOCK + 1, F.lit(_BLOCK)),
+    )
+    blocks = pieces.select("conv_id", "pieces", block.alias("blocks"))
+    lengths = F.transform(
+        "blocks",
+        lambda b: F.aggregate(b, F.lit(0), lambda n, p: n + F.char_length(p["mark"]) + F.char_length(p["body"])),
+    )
+    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    started = blocks.select("conv_id", "pieces", "blocks", starts.alias("starts"))
+    spans = F.transform(
+        "blocks",
+        lambda b, i: F.aggregate(b, F.struct(F.get("starts", i).alias("at"), none.alias("spans")), step)["spans"],
+    )
+    return started.select(
         "conv_id",
         F.concat(
             F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["body"])), ""), F.lit(END)
         ).alias("formatted"),
-        F.aggregate("pieces", F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"].alias("loss_spans"),
+        F.flatten(spans).alias("loss_spans"),
     )
 
 
@@ -85,7 +105,21 @@ def turns_of(formatted: Column) -> Column:
 
 
 def learned_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, without escapes."""
-    return F.array_join(
-        F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"]))), ""
-    )
+    """All text under the loss mask, without escapes.
+
+    The text is cut once into chunks of equal length, so each span is found by
+    its place; a substring of the whole would count code points from the start.
+    """
+    chunks = F.regexp_extract_all(formatted, F.lit(rf"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+    def chunk_of(place: Column) -> Column:
+        return F.floor(place / _CHUNK).cast("int")
+
+    def text(chunk: Column, span: Column) -> Column:
+        first, last = chunk_of(span["start"]), chunk_of(span["start"] + F.greatest(span["length"], F.lit(1)) - 1)
+        around = F.array_join(F.slice(chunk, first + 1, last - first + 1), "")
+        return unescape(F.substr(around, span["start"] % _CHUNK + 1, span["length"]))
+
+    # One element holds the chunks, so that they are cut once.
+    found = F.transform(F.array(chunks), lambda c: F.array_join(F.transform(spans, lambda s: text(c, s)), ""))
+    return found[0]
