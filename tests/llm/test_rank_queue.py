@@ -7,6 +7,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -41,6 +42,28 @@ def test_characters(reference):
         assert ids(text) == reference.encode_ordinary(text), hex(c)
 
 
+def test_all_code_points(reference):
+    # Letters, digits and an ending around each, so that another class of the character gives other ids.
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    bpe = rank_queue.encoder(PATH)
+    for start in range(0, len(points), 1 << 14):
+        text = "".join(f"x{chr(c)}'s{chr(c)}1{chr(c)}." for c in points[start : start + (1 << 14)])
+        assert np.frombuffer(bpe.encode_batch([text])[0], "<u4").tolist() == reference.encode_ordinary(text), hex(points[start])
+
+
+def test_characters_unknown_to_the_reference(reference):
+    for c in (0x0558, 0x088F, 0x0C5C, 0x16EA0, 0x323B0):
+        for text in (f"{chr(c)}'s", f"a{chr(c)}b", f"1{chr(c)}2 {chr(c)} {chr(c)}a", f"{chr(c)}{chr(c)}'ll!"):
+            assert ids(text) == reference.encode_ordinary(text), (hex(c), text)
+
+
+def test_classes_that_differ_either_way():
+    unassigned = regex.compile(rank_queue.dated_pattern(r"\p{Cn}"), regex.V1)
+    assert regex.search(r"\p{Cn}", chr(0x0558)) is None and unassigned.search(chr(0x0558))
+    assert rank_queue._ranges({"a", "b", "c", "x"}) == r"\U00000061-\U00000063\U00000078-\U00000078"
+    assert rank_queue.dated_pattern(r"\s+|[a-z]") == r"\s+|[a-z]"
+
+
 @pytest.mark.parametrize("letters", ["a", "ab", "theinga", "abcdefghijklmnopqrstuvwxyz", "é漢"])
 def test_long_pre_tokens(reference, letters):
     rng = random.Random(4)

@@ -12,6 +12,7 @@ as short ones.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,6 +20,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,16 +33,43 @@ _LOW = (1 << _WORD) - 1
 REMEMBERED = 400_000
 
 
+def dated_pattern(pattern: str) -> str:
+    """``pattern`` with its ``\\p{..}`` classes as the tiktoken library knows them.
+
+    The ``regex`` module follows a later version of Unicode, in which thousands
+    of code points have become letters and numbers.  The other library is asked
+    for the members of each class, and what differs is taken out or added.
+    """
+    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    single = {bytes([b]): b for b in range(256)}
+    for name in set(re.findall(r"\\[pP]\{\^?\w+\}", pattern)):
+        other = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
+        theirs = set(bytes(other.encode_ordinary(points)).decode())
+        ours = set(regex.findall(name, points))
+        dated = f"[{name}--[{_ranges(ours - theirs)}]]" if ours > theirs & ours else name
+        pattern = pattern.replace(name, f"[{dated}[{_ranges(theirs - ours)}]]" if theirs - ours else dated)
+    return pattern
+
+
+def _ranges(characters: set[str]) -> str:
+    """The inside of a character class, one range for each run of code points."""
+    points = np.array(sorted(map(ord, characters)))
+    runs = np.split(points, np.flatnonzero(np.diff(points) > 1) + 1)
+    return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs)
+
+
 class RankQueueBPE:
     """Encoder and decoder for one vocabulary of ranks.
 
-    ``pattern`` cuts a text into pre-tokens; ``ranks`` maps the bytes of a token
-    to its rank, which is its id.  Every single byte has to be a token.
+    ``pattern`` cuts a text into pre-tokens, with classes of characters as in
+    tiktoken; ``ranks`` maps the bytes of a token to its rank, which is its id.
+    Every single byte has to be a token.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self._ranks = ranks
         self._split = regex.compile(pattern).findall
+        self._split_dated = regex.compile(dated_pattern(pattern), regex.V1).findall
         self._bytes = {i: t for t, i in ranks.items()}
         self._one = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
         self._singles = np.array([ranks[bytes([b])] for b in range(256)])
@@ -64,7 +93,7 @@ class RankQueueBPE:
 
     def _cut(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text; a pre-token that is a token needs no merges, the others are merged together."""
-        one, split = self._one, self._split
+        one = self._one
         cut = []
         unknown: dict[bytes, bytes] = {}
         for text in texts:
@@ -74,6 +103,7 @@ class RankQueueBPE:
                 if piece not in one:
                     unknown[piece] = b""
             else:
+                split = self._split if text.isascii() else self._split_dated
                 pieces = [p.encode() for p in split(text)]
                 cut.append(pieces)
                 unknown.update((p, b"") for p in pieces if p not in one)
