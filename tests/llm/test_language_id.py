@@ -76,3 +76,55 @@ def test_one_language_alone(spark):
     docs = spark.createDataFrame([(1, "some text", "en"), (2, "more text", "en")], "doc_id long, text string, lang string")
     model = language_id.train(language_id.training_rows(docs, F.lit(True)))
     assert {r["lang_pred"] for r in language_id.classify(docs, model).collect()} == {"en"}
+
+
+def test_nothing_learned_rejects_nothing(spark):
+    docs = spark.createDataFrame([(1, "text", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert language_id.keep_identified(docs, language_id.train(language_id.training_rows(docs, F.lit(True)))).count() == 2
+
+
+def test_training_rows_against_plain_ranking(spark):
+    """Octaves choose what a ranking of all rows would, with a hot language, repeated rows and one id with two texts."""
+    rows = [(i, f"text {i}", "hot" if i % 3 else ["a", "b", "c"][i % 9 // 3]) for i in range(6000)]
+    rows += [(7, "text 7", "hot")] * 30 + [(8, "another", "hot"), (8, "b text", "a"), (9000, "rare", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.xxhash64("doc_id"))
+    for limit in (1, 40, 400, 100_000):
+        want = {}
+        counts = {}
+        for r in sorted(docs.collect(), key=lambda r: (r["h"], r["doc_id"])):
+            counts[r["lang"]] = counts.get(r["lang"], 0) + 1
+            if counts[r["lang"]] <= limit:
+                want.setdefault((r["doc_id"], r["lang"]), None)
+        chosen = {}
+        for i, text, lang in rows:
+            if (i, lang) in want:
+                chosen[i] = min(chosen.get(i, (lang, text)), (lang, text))
+        found = language_id.training_rows(docs.repartition(5), F.lit(True), limit).collect()
+        assert sorted((r["lang"], r["text"]) for r in found) == sorted(chosen.values())
+
+
+def test_scripts_of_thousands_of_characters():
+    """Long texts in two languages that share a script of 5,000 characters are told apart, as short ones are."""
+    rng = np.random.default_rng(1)
+    common = rng.permutation(5000) + 0x4E00
+    words = {
+        name: ["".join(map(chr, rng.choice(common[low : low + 4000], 2))) for _ in range(3000)]
+        for name, low in (("one", 0), ("two", 1000))
+    }
+
+    def text(name, n):
+        return "".join(rng.choice(words[name], n))
+
+    train = [(text(n, int(rng.integers(50, 3000))), n) for n in words for _ in range(60)]
+    model = language_id._fit([t for t, _ in train], np.array([n for _, n in train]), 64)
+    held = [(text(n, size), n) for n in words for size in (100, 10_000, 100_000) for _ in range(4)]
+    assert model.predict([t for t, _ in held])[0] == [n for _, n in held]
+    filled = len(language_id._grams(text("one", 100_000))) / language_id.SIZE
+    assert filled < 0.5
+
+
+def test_batches_do_not_change_scores(model):
+    texts = ["the dog", "le chien " * 50_000, "", "the cat and " * 3, "le chat"]
+    alone = [model.predict([t]) for t in texts]
+    together = model.predict(texts)
+    assert together[0] == [a[0][0] for a in alone] and np.array_equal(together[1], [a[1][0] for a in alone])
