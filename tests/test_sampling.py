@@ -133,3 +133,32 @@ def test_nan_is_missing_for_edge_cases(spark):
     found = {r["id"] for r in sampling.edge_cases_sample(df, ["id"], ["value"]).collect()}
     assert found == {1, 2, 3, 4, 5}
     assert df.where(sampling.has_null(df)).count() == 1
+
+
+def test_many_quotas_from_one_count(spark):
+    """Several quotas of groups, one of them hot, against one at a time; also where parts are counted again."""
+    from topshare.operators.numbering import hash_cutoffs, row_hash
+
+    rows = [(i, "hot" if i % 3 else f"g{i % 7}") for i in range(3000)] + [(5, "hot")] * 20
+    hashed = spark.createDataFrame(rows, "id long, g string").withColumn("h", row_hash(["id"], 1))
+    quotas = {"half": F.floor(F.col("n") / 2), "tenth": F.floor(F.col("n") / 10), "all": F.col("n"), "none": F.lit(0)}
+    for ranked in (1_000_000, 3):
+        found = hash_cutoffs(hashed, ["g"], quotas, ranked_rows=ranked).collect()
+        got = {(r["quota_name"], r["g"]): r["cutoff"] for r in found}
+        assert len(got) == len(found)
+        want = {
+            (name, r["g"]): r["cutoff"]
+            for name, quota in quotas.items()
+            for r in hash_cutoffs(hashed, ["g"], quota).collect()
+        }
+        assert got == want and len(got) == 3 * 8
+
+
+def test_samples_of_several_sizes(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    found = sampling.random_samples(df, ["k"], [30.0, 5.0, 0.05])
+    sizes = {p: {r["k"] for r in rows.collect()} for p, rows in found.items()}
+    assert {p: len(ids) for p, ids in sizes.items()} == {30.0: 300, 5.0: 50, 0.05: 0} and sizes[5.0] < sizes[30.0]
+    assert sizes[5.0] == {r["k"] for r in sampling.random_sample(df, ["k"], 5.0).collect()}
+    empty = sampling.random_samples(df.limit(0), ["k"], [30.0])
+    assert empty[30.0].count() == 0

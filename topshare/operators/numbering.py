@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,11 +74,16 @@ def row_hash(keys: Sequence[str], seed: int | str) -> Column:
 
 
 def hash_cutoffs(
-    hashed: DataFrame, groups: Sequence[str], quota: Column, hash_name: str = "h", ranked_rows: int = _RANKED_ROWS
+    hashed: DataFrame,
+    groups: Sequence[str],
+    quota: Column | Mapping[str, Column],
+    hash_name: str = "h",
+    ranked_rows: int = _RANKED_ROWS,
 ) -> DataFrame:
     """Per group, the hash of its ``quota``-th row in hash order, as ``cutoff`` (this starts jobs).
 
-    ``quota`` is an expression of the group size ``n``.  Rows are counted per
+    ``quota`` is an expression of the group size ``n``, or several by name, which
+    share one count of the rows; the result then has a ``quota_name`` too.  Rows are counted per
     group and hash prefix first; only the one prefix in which the quota ends is
     ranked.  A group that holds a third of all rows is 65,536 parts, and while
     the part of any group has more than ``ranked_rows`` rows, parts are counted
@@ -87,10 +92,13 @@ def hash_cutoffs(
     Both small tables (a row per group) are written out: the planner then knows
     their size and broadcasts them if that is small, or else joins by sorting.
     """
+    quotas = quota if isinstance(quota, Mapping) else {"": quota}
+    asked = [F.struct(F.lit(name).alias("quota_name"), q.cast("bigint").alias("quota")) for name, q in quotas.items()]
+    keys = [*groups, "quota_name"]
     digits = _BUCKET_DIGITS
     narrow = hashed.select(*groups, hash_name, F.substring(hash_name, 1, digits).alias("bucket"))
     before = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ending = (
+    counted = (
         narrow.groupBy(*groups, "bucket")
         .agg(F.count(F.lit(1)).alias("size"))
         .select(
@@ -100,26 +108,28 @@ def hash_cutoffs(
             F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"),
             F.sum("size").over(Window.partitionBy(*groups)).alias("n"),
         )
-        .withColumn("quota", quota.cast("bigint"))
-        .where((F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("size")))
-        .select(*groups, "bucket", "size", (F.col("quota") - F.col("before")).alias("rest"))
+        .select(*groups, "bucket", "size", "before", F.inline(F.array(*asked)))
     )
+    closing = (F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("size"))
+    ending = counted.where(closing).select(*keys, "bucket", "size", (F.col("quota") - F.col("before")).alias("rest"))
     ending, _path = materialize(ending, "quota-ends")
+    shared = [*groups, "bucket"]
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     while digits < _HASH_DIGITS and not ending.where(F.col("size") > ranked_rows).isEmpty():
         digits += _BUCKET_DIGITS
-        inside = narrow.join(ending.select(*groups, "bucket", "rest"), [*groups, "bucket"])
-        narrow = inside.withColumn("bucket", F.substring(hash_name, 1, digits)).select(*groups, hash_name, "bucket", "rest")
-        counted = narrow.groupBy(*groups, "bucket").agg(F.count(F.lit(1)).alias("size"), F.first("rest").alias("rest"))
+        inside = narrow.join(ending.select(*keys, "bucket", "rest"), shared)
+        narrow = inside.withColumn("bucket", F.substring(hash_name, 1, digits)).select(*keys, hash_name, "bucket", "rest")
+        counted = narrow.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("size"), F.first("rest").alias("rest"))
         placed = counted.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
         closing = (F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("size"))
-        ending = placed.where(closing).select(*groups, "bucket", "size", (F.col("rest") - F.col("before")).alias("rest"))
+        ending = placed.where(closing).select(*keys, "bucket", "size", (F.col("rest") - F.col("before")).alias("rest"))
         ending, _path = materialize(ending, "quota-ends")
-        narrow = narrow.drop("rest")
-    in_bucket = Window.partitionBy(*groups).orderBy(hash_name)
+        narrow, shared = narrow.drop("rest"), [*keys, "bucket"]
+    in_bucket = Window.partitionBy(*keys).orderBy(hash_name)
     cutoffs = (
-        narrow.join(ending, [*groups, "bucket"])
+        narrow.join(ending, shared)
         .withColumn("pos", F.row_number().over(in_bucket))
         .where(F.col("pos") == F.col("rest"))
-        .select(*groups, F.col(hash_name).alias("cutoff"))
+        .select(*(keys if isinstance(quota, Mapping) else groups), F.col(hash_name).alias("cutoff"))
     )
     return materialize(cutoffs, "cutoffs")[0]

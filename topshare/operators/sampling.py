@@ -27,10 +27,19 @@ def _ordered(keys: Sequence[str]) -> list[Column]:
 
 def random_sample(df: DataFrame, keys: Sequence[str], percentage: float = 20.0, seed: int = 42) -> DataFrame:
     """Exactly int(rows * percentage / 100) rows (finding the cutoff starts jobs, here and below)."""
+    return random_samples(df, keys, [percentage], seed)[percentage]
+
+
+def random_samples(
+    df: DataFrame, keys: Sequence[str], percentages: Sequence[float], seed: int = 42
+) -> dict[float, DataFrame]:
+    """Samples of several sizes from one count of the rows; a smaller one is part of every larger one."""
     mark = row_hash(keys, seed)
     hashed = df.select(F.lit("all").alias("g"), mark.alias("h"))
-    cutoff = hash_cutoffs(hashed, ["g"], F.floor(F.col("n") * F.lit(percentage / 100))).first()
-    return df.where(mark <= F.lit(cutoff["cutoff"])) if cutoff else df.limit(0)
+    quotas = {str(p): F.floor(F.col("n") * F.lit(p / 100)) for p in percentages}
+    # One cutoff per percentage.
+    cuts = {r["quota_name"]: r["cutoff"] for r in hash_cutoffs(hashed, ["g"], quotas).collect()}
+    return {p: df.where(mark <= F.lit(cuts[str(p)])) if str(p) in cuts else df.limit(0) for p in percentages}
 
 
 def stratified_sample(

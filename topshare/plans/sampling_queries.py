@@ -24,6 +24,20 @@ ORACLES["sample_random"] = f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_to
 SELECT *, row_number() OVER (ORDER BY {_HASH}) AS pos, count(*) OVER () AS n FROM orders) t WHERE pos <= floor(n * 0.2)"""
 
 
+def sample_random_sizes(spark, d):
+    """Five samples of one hash order, found in one count of the rows."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    found = sampling.random_samples(lines, ["l_orderkey", "l_linenumber"], [50.0, 20.0, 8.0, 1.0, 0.0])
+    return reduce(DataFrame.unionByName, [rows.withColumn("percentage", F.lit(p)) for p, rows in found.items()])
+
+
+ORACLES["sample_random_sizes"] = """WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity, count(*) OVER () AS n,
+row_number() OVER (ORDER BY md5('42|' || length(CAST(l_orderkey AS VARCHAR)) || ':' || l_orderkey || '|'
+|| length(CAST(l_linenumber AS VARCHAR)) || ':' || l_linenumber)) AS pos FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_quantity, CAST(p AS DOUBLE) AS percentage
+FROM t, (VALUES (50), (20), (8), (1), (0)) v(p) WHERE pos <= floor(n * p / 100)"""
+
+
 def sample_time_balanced(spark, d):
     orders = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
     return sampling.time_balanced_sample(orders, "year", _KEY, 10).select("year", "o_orderkey", "o_totalprice")

@@ -29,9 +29,10 @@ def write_samples(
     """
     spark = df.sparkSession
     columns = len(df.columns)
+    random = sampling.random_samples(df, keys, [20, 10, 8, 5], seed)
     samples: dict[str, tuple[str, DataFrame]] = {
-        "sample_20pct": ("20% random sample", sampling.random_sample(df, keys, 20, seed)),
-        "sample_small": ("5% random sample", sampling.random_sample(df, keys, 5, seed)),
+        "sample_20pct": ("20% random sample", random[20]),
+        "sample_small": ("5% random sample", random[5]),
     }
     if period:
         balanced = sampling.time_balanced_sample(df, period, keys, 10, seed)
@@ -47,12 +48,10 @@ def write_samples(
     if group:
         samples["sample_stratified"] = ("15% of every group", sampling.stratified_sample(df, group, keys, 15, seed))
     targets = [c for c in df.columns if c not in kept]
-    tenth = sampling.random_sample(df, keys, 10, seed)
-    gappy = sampling.add_random_nulls(tenth, keys, 12, targets, seed)
+    gappy = sampling.add_random_nulls(random[10], keys, 12, targets, seed)
     samples["sample_with_nulls"] = ("10% sample with 12% nulls", gappy)
     if value:
-        part = sampling.random_sample(df, keys, 8, seed)
-        holed = sampling.add_column_nulls(part, value, keys, 25, seed=seed)
+        holed = sampling.add_column_nulls(random[8], value, keys, 25, seed=seed)
         samples["sample_single_null_column"] = (f"8% sample with 25% nulls in {value}", holed)
 
     lines = []
