@@ -129,3 +129,25 @@ def test_schema_validation(spark):
         ("d2", "error", "Normalized data is empty or unreadable"),
     }
     assert audit.validate_schemas(df.where(F.col("dataset_id") == "d1"), "payload").count() == 0
+
+
+def test_numbers_given_at_append(spark, lineage, tmp_path):
+    """Appends of two sessions, one of them late in time; one that failed; null ids; an empty one."""
+    path = str(tmp_path / "steps")
+    with pytest.raises(ValueError):
+        audit.stored_steps(spark, path)
+    audit.append_steps(lineage.where("operation = 'analyze'"), path)
+    # Steps without marks are those of an append that failed.
+    lineage.withColumn("step_no", F.lit(99)).withColumn("id", F.lit("x")).write.parquet(f"{path}/steps/batch=lost")
+    other = spark.newSession()
+    again = other.createDataFrame(lineage.where("operation <> 'analyze'").collect(), lineage.schema)
+    audit.append_steps(again, path, max_window_rows=0)
+    audit.append_steps(lineage.limit(0), path)
+    nulls = spark.createDataFrame([(None, at(9), "b"), (None, at(8), "a")], lineage.schema)
+    audit.append_steps(nulls, path)
+    audit.append_steps(nulls.limit(1), path)
+    found = {(r["dataset_id"], r["id"], r["operation"]) for r in audit.stored_steps(spark, path).collect()}
+    assert found == {
+        ("d1", "st_0001", "analyze"), ("d1", "st_0002", "analyze"), ("d1", "st_0003", "normalize"), ("d1", "st_0004", "normalize"),
+        ("d2", "st_0001", "upload"), (None, "st_0001", "a"), (None, "st_0002", "b"), (None, "st_0003", "b"),
+    }

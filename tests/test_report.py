@@ -103,3 +103,33 @@ def test_findings(spark):
     ]
     without = texts(insight.findings(concentrate(df, "e", "v", None, [50])))
     assert without == [("finding", ANALYSIS_PENDING)]
+
+
+def test_dataset_insights(spark):
+    schemas = spark.createDataFrame([("both", 3, "year"), ("schema", 2, None), (None, 1, "year")], "dataset_id string, column_count int, period_grain string")
+    analyses = spark.createDataFrame([("both", 2, 80.04), ("analysis", 1, 80.0), ("error", None, None), (None, 1, 1.0)], "dataset_id string, entity_count bigint, pct double")
+    found = {r["dataset_id"]: tuple(r)[1:] for r in insight.dataset_insights(schemas, analyses).collect()}
+    pending, summary = "Concentration analysis pending", "Analysis summary for dataset {} with {} key findings"
+    assert found == {
+        "both": (
+            summary.format("both", 2), ["Dataset contains 3 columns with year time granularity", "Top 10%: 2 entities = 80.0% of value"], [],
+            ["Enhanced analytics available with time series"],
+            ["Leverage year time series for trend analysis", "High concentration risk - consider diversification strategies"],
+        ),
+        "schema": (
+            summary.format("schema", 1), ["Dataset contains 2 columns with none time granularity"], [pending], [],
+            ["Consider adding temporal dimensions for time-based analysis"],
+        ),
+        "analysis": (summary.format("analysis", 1), ["Top 10%: 1 entities = 80.0% of value"], [], [], []),
+        "error": (summary.format("error", 1), [ANALYSIS_PENDING], [], [], []),
+    }
+
+
+def test_insights_look_up_the_grain(spark):
+    df = spark.createDataFrame([("a", 9.0, 2021), ("b", 1.0, 2022)], "e string, v double, year int")
+    pending = insight.insights_of(df, "d").first()
+    assert pending["key_findings"] == ["Dataset contains 3 columns with year time granularity"]
+    assert pending["risk_indicators"] == ["Concentration analysis pending"]
+    full = insight.insights_of(df, "d", concentrate(df, "e", "v")).first()
+    assert full["executive_summary"].endswith("with 2 key findings") and full["risk_indicators"] == []
+    assert full["recommendations"][1].startswith("High concentration risk")

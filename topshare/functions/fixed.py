@@ -99,6 +99,8 @@ MISSING_KEYS = "Schema missing required keys: "
 COLUMN_MISSING_KEYS = "Column %d (%s) missing keys: %s"
 QUALITY_WARNING = "Data quality warning: "
 NO_DATA = "Normalized data is empty or unreadable"
+EXECUTIVE_SUMMARY = "Analysis summary for dataset %s with %d key findings"
+PENDING_RISK = "Concentration analysis pending"
 ANALYSIS_PENDING = "Run concentration analysis to generate detailed insights"
 SHAPE_FINDING = "Dataset contains {columns} columns with {grain} time granularity"
 TOP_FINDING = "Top 10%%: %d entities = %.1f%% of value"

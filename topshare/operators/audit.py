@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topshare.functions import fixed
@@ -29,7 +30,7 @@ def lineage_step(
     params: dict | None = None,
     metrics: dict | None = None,
 ) -> DataFrame:
-    """One step as a row, to be appended; it gets its number when the lineage is read."""
+    """One step as a row; :func:`append_steps` numbers it for good, :func:`numbered_steps` when lineage is read."""
     texts = lambda d: {str(k): str(v) for k, v in (d or {}).items()}
     row = (dataset_id, operation, list(inputs), list(outputs), texts(params), texts(metrics))
     schema = ", ".join(p for p in LINEAGE_SCHEMA.split(", ") if not p.startswith("timestamp"))
@@ -38,16 +39,63 @@ def lineage_step(
     return made.select(*[p.split(" ")[0] for p in LINEAGE_SCHEMA.split(", ")])
 
 
-def numbered_steps(lineage: DataFrame, tie_break: Sequence[str] = ("operation",), **sizes) -> DataFrame:
-    """Add step_no and id (st_0001 ..) per dataset in time order (this starts jobs)."""
-    order = [F.col("timestamp").asc(), *[F.col(c).asc() for c in tie_break]]
-    numbered = number_rows(lineage, order, ["dataset_id"], "step_no", **sizes)
+def _step_order(tie_break: Sequence[str]) -> list[Column]:
+    return [F.col("timestamp").asc(), *[F.col(c).asc() for c in tie_break]]
+
+
+def _with_id(numbered: DataFrame) -> DataFrame:
     digits = F.col("step_no").cast("string")
     return numbered.withColumn(
         "id", F.concat(F.lit("st_"), F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0")))
     )
 
 
+def numbered_steps(lineage: DataFrame, tie_break: Sequence[str] = ("operation",), **sizes) -> DataFrame:
+    """Add step_no and id (st_0001 ..) per dataset in time order (this starts jobs)."""
+    return _with_id(number_rows(lineage, _step_order(tie_break), ["dataset_id"], "step_no", **sizes))
+
+
+def _complete_batches(spark: SparkSession, path: str) -> list[str]:
+    """Names of the appends whose marks are complete; one per append."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/marks/batch=*/_SUCCESS")
+    found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done)
+    return sorted(f.getPath().getParent().getName() for f in found or [])
+
+
+def append_steps(steps: DataFrame, path: str, tie_break: Sequence[str] = ("operation",), **sizes) -> None:
+    """Store steps with the numbers that follow those stored before (this starts jobs).
+
+    Steps keep their number for good: those of one append are numbered in time
+    order, after all of earlier appends.  Beside the steps each append stores a
+    mark for each of its datasets, the last number given; the next append reads
+    only marks, so its cost follows its own steps.  Marks are written last and
+    readers take appends with complete marks only: one that failed leaves
+    nothing to see and is simply run again.  One append at a time; any session
+    may do the next.  Null dataset ids are a dataset of their own.
+    """
+    spark, batch = steps.sparkSession, f"batch={uuid.uuid4().hex}"
+    numbered = number_rows(steps, _step_order(tie_break), ["dataset_id"], "step_no", **sizes)
+    earlier = _complete_batches(spark, path)
+    if earlier:
+        marks = spark.read.parquet(*[f"{path}/marks/{b}" for b in earlier])
+        last = marks.groupBy(F.col("dataset_id").alias("__dataset")).agg(F.max("last_no").alias("__last"))
+        joined = numbered.join(last, F.col("dataset_id").eqNullSafe(F.col("__dataset")), "left")
+        after = F.col("step_no") + F.coalesce(F.col("__last"), F.lit(0))
+        numbered = joined.withColumn("step_no", after).drop("__dataset", "__last")
+    _with_id(numbered).write.parquet(f"{path}/steps/{batch}")
+    stored = spark.read.parquet(f"{path}/steps/{batch}")
+    stored.groupBy("dataset_id").agg(F.max("step_no").alias("last_no")).write.parquet(f"{path}/marks/{batch}")
+
+
+def stored_steps(spark: SparkSession, path: str) -> DataFrame:
+    """All steps that :func:`append_steps` stored, with step_no and id; nothing is numbered again."""
+    complete = _complete_batches(spark, path)
+    if not complete:
+        raise ValueError(f"no complete append under {path}")
+    return spark.read.parquet(*[f"{path}/steps/{b}" for b in complete])
+
+
 def _edge_step(steps: DataFrame, operation: str | None, pick, by: Sequence[str], extra: Sequence[str]) -> DataFrame:
     chosen = steps if operation is None else steps.where(F.col("operation") == operation)
     rest = [c for c in steps.columns if c not in extra]

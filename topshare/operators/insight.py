@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from topshare.functions import fixed
 from topshare.operators.concentration import GROUP, Concentration
+from topshare.operators.timekey import detect_time
 
 
 def risk_levels(result: Concentration) -> DataFrame:
@@ -62,3 +63,67 @@ def findings(result: Concentration, column_count: int | None = None, grain: str
     ten = result.metrics().where(F.col("is_total") & (F.col("threshold") == 10)).select(*GROUP, "entity_count", "pct")
     total = result.groups.where("is_total").select(*GROUP).join(ten, GROUP, "left")
     return total.select(F.inline(F.filter(F.array(*lines), lambda e: e.isNotNull())))
+
+
+def analysed_datasets(result: Concentration, dataset_id: str | None = None) -> DataFrame:
+    """dataset_id, entity_count, pct of threshold 10: the total as the given dataset, or each group as a dataset.
+
+    Groups without metrics are there with nulls, as they were analysed too.
+    """
+    ten = result.metrics().where(F.col("threshold") == 10).select(*GROUP, "entity_count", "pct")
+    chosen = result.groups.where("is_total" if dataset_id is not None else "NOT is_total").select(*GROUP)
+    named = F.col("period") if dataset_id is None else F.lit(dataset_id)
+    return chosen.join(ten, GROUP, "left").select(named.alias("dataset_id"), "entity_count", "pct")
+
+
+def dataset_insights(schemas: DataFrame, analyses: DataFrame) -> DataFrame:
+    """Summary and lists of findings of every dataset that is described, analysed or both: one row each.
+
+    ``schemas`` has dataset_id, column_count and period_grain (null: none),
+    ``analyses`` what :func:`analysed_datasets` returns; each has one row for a
+    dataset, and null ids are left out.  A dataset without analysis has it as a
+    pending risk; one without any finding is asked to run it.
+    """
+    some = F.col("dataset_id").isNotNull()
+    described = schemas.where(some).select(
+        "dataset_id",
+        "column_count",
+        F.coalesce(F.col("period_grain"), F.lit("none")).alias("grain"),
+    )
+    analysed = analyses.where(some).select("dataset_id", "entity_count", "pct", F.lit(True).alias("is_analysed"))
+    grain, share = F.col("grain"), F.col("pct")
+    shape = F.format_string(fixed.SHAPE_FINDING.format(columns="%d", grain="%s"), F.col("column_count"), grain)
+    top = F.format_string(fixed.TOP_FINDING, F.col("entity_count"), share)
+    use = F.format_string(fixed.USE_TIME.format(grain="%s"), grain)
+    has_time = grain != "none"
+
+    def lines(*texts: Column) -> Column:
+        return F.array_compact(F.array(*texts))
+
+    found = lines(F.when(grain.isNotNull(), shape), F.when(share.isNotNull(), top))
+    return (
+        described.join(analysed, "dataset_id", "full")
+        .withColumn("key_findings", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(fixed.ANALYSIS_PENDING))))
+        .select(
+            "dataset_id",
+            F.format_string(fixed.EXECUTIVE_SUMMARY, F.col("dataset_id"), F.size("key_findings")).alias(
+                "executive_summary"
+            ),
+            "key_findings",
+            lines(F.when(F.col("is_analysed").isNull(), F.lit(fixed.PENDING_RISK))).alias("risk_indicators"),
+            lines(F.when(has_time, F.lit(fixed.TIME_OPPORTUNITY))).alias("opportunities"),
+            lines(
+                F.when(has_time, use).when(grain.isNotNull(), F.lit(fixed.ADD_TIME)),
+                F.when(share > fixed.HIGH_SHARE, F.lit(fixed.DIVERSIFY)),
+            ).alias("recommendations"),
+        )
+    )
+
+
+def insights_of(data: DataFrame, dataset_id: str, result: Concentration | None = None) -> DataFrame:
+    """:func:`dataset_insights` of one table: columns and time grain are looked up in it (this starts a job)."""
+    spark = data.sparkSession
+    facts = (dataset_id, len(data.columns), detect_time(data).grain)
+    schemas = spark.createDataFrame([facts], "dataset_id string, column_count int, period_grain string")
+    empty = spark.createDataFrame([], "dataset_id string, entity_count bigint, pct double")
+    return dataset_insights(schemas, empty if result is None else analysed_datasets(result, dataset_id))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from topshare.operators.concentration import without_nan
 from topshare.operators.numbering import hash_cutoffs, number_rows, row_hash
+from topshare.operators.picks import Pick, first_keys
 from topshare.session import materialize
 
 SPECIAL_CHARACTERS = r"(?U)[^\w\s]"
@@ -98,22 +99,17 @@ def edge_cases_sample(
     """Rows with nulls, extreme values and special characters, without repeats (this starts jobs).
 
     At most 5 null rows, 2 smallest and 2 largest of up to three measures and
-    3 special rows of up to two text columns.  Each part is a top-k over the
-    columns it needs; whole rows are read once, for the at most 23 keys found.
+    3 special rows of up to two text columns.  One scan finds the at most 23
+    keys, a second one reads their rows whole.
     """
-    order, names = _ordered(keys), list(keys)
-
-    def first(frame: DataFrame, rows: int, *sort: Column) -> DataFrame:
-        return frame.orderBy(*sort, *order).limit(rows).select(*[F.col(f"`{k}`") for k in names])
-
-    parts = [first(df.where(has_null(df)), 5)]
+    picks = [Pick(5, has_null(df))]
     for v in list(values)[:3]:
         column = without_nan(df, v)
-        present = df.where(column.isNotNull())
-        parts += [first(present, 2, column.asc()), first(present, 2, column.desc())]
+        picks += [Pick(2, F.lit(True), column), Pick(2, F.lit(True), column, descending=True)]
     for t in list(texts)[:2]:
-        parts.append(first(df.where(F.col(f"`{t}`").rlike(SPECIAL_CHARACTERS)), 3))
-    chosen, _path = materialize(reduce(DataFrame.unionByName, parts).distinct(), "edge-keys")
+        picks.append(Pick(3, F.col(f"`{t}`").rlike(SPECIAL_CHARACTERS)))
+    names = list(keys)
+    chosen, _path = materialize(first_keys(df, names, picks), "edge-keys")
     if chosen.isEmpty():
         found = random_sample(df, keys, 10.0, seed)
     else:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from topshare.operators import audit
 from topshare.plans.common import table
+from topshare.session import scratch_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -44,6 +45,18 @@ def lineage_steps_ranges(spark, d):
 ORACLES["lineage_steps_ranges"] = ORACLES["lineage_steps"]
 
 
+def lineage_appended(spark, d):
+    """Steps stored by two sessions, one after the other: numbers go on where the first ended."""
+    steps, path = _lineage(spark, d), scratch_path(spark, "lineage")
+    late = F.col("event_id") % 3 == 0
+    audit.append_steps(steps.where(~late), path, ["event_id"])
+    audit.append_steps(_lineage(spark.newSession(), d).where(late), path, ["event_id"], max_window_rows=0)
+    return audit.stored_steps(spark, path).select("dataset_id", "step_no", "id", "operation", "event_id")
+
+
+ORACLES["lineage_appended"] = ORACLES["lineage_steps"].replace("ORDER BY ts", "ORDER BY event_id % 3 = 0, ts")
+
+
 def lineage_latest(spark, d):
     steps = audit.numbered_steps(_lineage(spark, d), ["event_id"])
     return audit.latest_step(steps, "purchase").select("dataset_id", "id", "operation", "event_id")

@@ -577,6 +577,45 @@ UNION ALL SELECT 'recommendation', 'High concentration risk - consider diversifi
 )
 
 
+def dataset_insights(spark, d):
+    """Customers as datasets: some are not described, some not analysed."""
+    key = F.col("c_custkey")
+    grain = F.when(key % 3 == 0, "date").when(key % 3 == 1, "none")
+    schemas = (
+        table(spark, d, "customer")
+        .where(key % 7 > 0)
+        .select(
+            key.cast("string").alias("dataset_id"),
+            (F.col("c_nationkey") + 1).alias("column_count"),
+            grain.alias("period_grain"),
+        )
+    )
+    orders = _orders(spark, d).where(F.col("o_custkey") % 5 > 0)
+    result = concentrate(orders, "o_orderpriority", "o_totalprice", "o_custkey", [10])
+    found = insight.dataset_insights(schemas, insight.analysed_datasets(result))
+    lists = ["key_findings", "risk_indicators", "opportunities", "recommendations"]
+    return found.select("dataset_id", "executive_summary", *[F.concat_ws("|", c).alias(c) for c in lists])
+
+
+ORACLES["dataset_insights"] = (
+    concentration_sql("SELECT o_orderpriority AS entity, o_custkey AS period, o_totalprice AS value FROM orders WHERE o_custkey % 5 > 0", [10])
+    + """, s AS (SELECT CAST(c_custkey AS VARCHAR) AS dataset_id, c_nationkey + 1 AS n, CASE WHEN c_custkey % 3 = 0 THEN 'date' ELSE 'none' END AS grain
+FROM customer WHERE c_custkey % 7 > 0),
+a AS (SELECT g.period AS dataset_id, entity_count, pct FROM gs g LEFT JOIN m ON NOT m.is_total AND g.period = m.period WHERE NOT g.is_total),
+f AS (SELECT coalesce(s.dataset_id, a.dataset_id) AS dataset_id, grain, pct, a.dataset_id IS NULL AS is_pending,
+CASE WHEN grain IS NOT NULL THEN 'Dataset contains ' || n || ' columns with ' || grain || ' time granularity' END AS shape,
+CASE WHEN pct IS NOT NULL THEN 'Top 10%: ' || entity_count || ' entities = ' || printf('%.1f', pct) || '% of value' END AS top
+FROM s FULL JOIN a ON s.dataset_id = a.dataset_id)
+SELECT dataset_id,
+'Analysis summary for dataset ' || dataset_id || ' with ' || CASE WHEN shape IS NOT NULL AND top IS NOT NULL THEN 2 ELSE 1 END || ' key findings' AS executive_summary,
+coalesce(nullif(concat_ws('|', shape, top), ''), 'Run concentration analysis to generate detailed insights') AS key_findings,
+CASE WHEN is_pending THEN 'Concentration analysis pending' ELSE '' END AS risk_indicators,
+CASE WHEN grain = 'date' THEN 'Enhanced analytics available with time series' ELSE '' END AS opportunities,
+concat_ws('|', CASE grain WHEN 'date' THEN 'Leverage date time series for trend analysis' WHEN 'none' THEN 'Consider adding temporal dimensions for time-based analysis' END,
+CASE WHEN pct > 80 THEN 'High concentration risk - consider diversification strategies' END) AS recommendations FROM f"""
+)
+
+
 def risk_level(spark, d):
     """Sales by brand within part types: few entities per group, so all levels occur."""
     parts = table(spark, d, "part").withColumn("size_class", F.concat(F.lit("S"), F.col("p_size").cast("string")))
