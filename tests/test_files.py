@@ -79,3 +79,17 @@ def test_csv_reader_loses_nothing(spark, tmp_path, rows):
     with pytest.raises(Exception):
         files.read_csv(spark, str(broken)).collect()
     assert rows(files.read_csv(spark, str(broken), multiLine=True)) == [("1", "x\ny, z"), ("2", "w")]
+
+
+def test_columns_chosen_for_samples(spark, tmp_path):
+    from topshare.sources.fixtures import chosen_columns
+
+    rows = [(i, f"n{i}", f"g{i % 5}", float(i), 2020 + i % 3, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, name string, grp string, amount double, year int, gap string")
+    assert chosen_columns(df, ["id"]) == {"group": "grp", "value": "amount", "period": "year"}
+    assert chosen_columns(df)["value"] == "id"
+    assert chosen_columns(df.select("id"), ["id"]) == {"group": None, "value": None, "period": None}
+    given = write_samples(df, str(tmp_path / "given"), ["id"], "grp", "amount", "year").collect()
+    chosen = write_samples(df, str(tmp_path / "chosen"), ["id"], choose=True).collect()
+    told = lambda manifest: {(r["name"], r["n_rows"], r["checksum"]) for r in manifest}
+    assert told(given) == told(chosen) and len(told(given)) == 8

@@ -162,3 +162,31 @@ def test_samples_of_several_sizes(spark):
     assert sizes[5.0] == {r["k"] for r in sampling.random_sample(df, ["k"], 5.0).collect()}
     empty = sampling.random_samples(df.limit(0), ["k"], [30.0])
     assert empty[30.0].count() == 0
+
+
+def test_stratified_ways_agree(spark, table):
+    """All cutoffs broadcast, only those of large groups, none but the smallest bound: the same rows."""
+    want = ids(sampling.stratified_sample(table, "grp", ["id"], 15))
+    for most in (1, 2, 5):
+        assert ids(sampling.stratified_sample(table, "grp", ["id"], 15, most_broadcast=most)) == want
+    alone = table.withColumn("grp", F.col("id").cast("string"))
+    assert ids(sampling.stratified_sample(alone, "grp", ["id"], 60, most_broadcast=3)) == list(range(1000))
+    assert sampling.stratified_sample(table.limit(0), "grp", ["id"], 15, most_broadcast=0).count() == 0
+    nulls = table.withColumn("grp", F.lit(None).cast("string"))
+    assert sampling.stratified_sample(nulls, "grp", ["id"], 15, most_broadcast=1).count() == 0
+
+
+def test_rows_of_a_hot_group_are_not_shuffled(spark):
+    """A third of all rows is in one group: the exchange before the join gets none of them."""
+    df = spark.range(30000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('g', id % 7001) END AS g")
+    # Some groups round to nothing; their rows don't count.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = sampling.stratified_sample(df, "g", ["id"], 50.0, most_broadcast=100)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" in plan
+        sizes = {r["g"]: r["count"] for r in found.groupBy("g").count().collect()}
+        want = {r["g"]: round(r["count"] * 0.5) for r in df.groupBy("g").count().collect()}
+        assert sizes == {g: n for g, n in want.items() if n} and sizes["hot"] == 5000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -79,6 +79,7 @@ def hash_cutoffs(
     quota: Column | Mapping[str, Column],
     hash_name: str = "h",
     ranked_rows: int = _RANKED_ROWS,
+    with_size: bool = False,
 ) -> DataFrame:
     """Per group, the hash of its ``quota``-th row in hash order, as ``cutoff`` (this starts jobs).
 
@@ -89,6 +90,7 @@ def hash_cutoffs(
     the part of any group has more than ``ranked_rows`` rows, parts are counted
     again by four more digits.  Groups with quota 0 are absent.
 
+    ``with_size`` adds the group's number of rows, as ``n``.
     Both small tables (a row per group) are written out: the planner then knows
     their size and broadcasts them if that is small, or else joins by sorting.
     """
@@ -108,28 +110,37 @@ def hash_cutoffs(
             F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"),
             F.sum("size").over(Window.partitionBy(*groups)).alias("n"),
         )
-        .select(*groups, "bucket", "size", "before", F.inline(F.array(*asked)))
+        .select(*groups, "bucket", "size", "before", "n", F.inline(F.array(*asked)))
     )
     closing = (F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("size"))
-    ending = counted.where(closing).select(*keys, "bucket", "size", (F.col("quota") - F.col("before")).alias("rest"))
+    rest = (F.col("quota") - F.col("before")).alias("rest")
+    ending = counted.where(closing).select(*keys, "bucket", "size", "n", rest)
     ending, _path = materialize(ending, "quota-ends")
     shared = [*groups, "bucket"]
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     while digits < _HASH_DIGITS and not ending.where(F.col("size") > ranked_rows).isEmpty():
         digits += _BUCKET_DIGITS
-        inside = narrow.join(ending.select(*keys, "bucket", "rest"), shared)
-        narrow = inside.withColumn("bucket", F.substring(hash_name, 1, digits)).select(*keys, hash_name, "bucket", "rest")
-        counted = narrow.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("size"), F.first("rest").alias("rest"))
+        inside = narrow.join(ending.select(*keys, "bucket", "rest", "n"), shared)
+        deeper = inside.withColumn("bucket", F.substring(hash_name, 1, digits))
+        narrow = deeper.select(*keys, hash_name, "bucket", "rest", "n")
+        # ``rest`` and ``n`` are the same in all rows of a group.
+        carried = [F.max(c).alias(c) for c in ("rest", "n")]
+        counted = narrow.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("size"), *carried)
         placed = counted.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
         closing = (F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("size"))
-        ending = placed.where(closing).select(*keys, "bucket", "size", (F.col("rest") - F.col("before")).alias("rest"))
+        rest = (F.col("rest") - F.col("before")).alias("rest")
+        ending = placed.where(closing).select(*keys, "bucket", "size", "n", rest)
         ending, _path = materialize(ending, "quota-ends")
-        narrow, shared = narrow.drop("rest"), [*keys, "bucket"]
+        narrow, shared = narrow.drop("rest", "n"), [*keys, "bucket"]
     in_bucket = Window.partitionBy(*keys).orderBy(hash_name)
     cutoffs = (
         narrow.join(ending, shared)
         .withColumn("pos", F.row_number().over(in_bucket))
         .where(F.col("pos") == F.col("rest"))
-        .select(*(keys if isinstance(quota, Mapping) else groups), F.col(hash_name).alias("cutoff"))
+        .select(
+            *(keys if isinstance(quota, Mapping) else groups),
+            F.col(hash_name).alias("cutoff"),
+            *(["n"] if with_size else []),
+        )
     )
     return materialize(cutoffs, "cutoffs")[0]

@@ -44,12 +44,40 @@ def random_samples(
 
 
 def stratified_sample(
-    df: DataFrame, group: str, keys: Sequence[str], percentage: float = 20.0, seed: int = 42
+    df: DataFrame,
+    group: str,
+    keys: Sequence[str],
+    percentage: float = 20.0,
+    seed: int = 42,
+    most_broadcast: int = 10_000,
 ) -> DataFrame:
-    """round(size * percentage / 100) rows per group, halves to even; rows with a null group are left out."""
+    """round(size * percentage / 100) rows per group, halves to even; rows with a null group are left out.
+
+    No group is gathered in a task.  Cutoffs of up to ``most_broadcast`` groups
+    (counted) are broadcast.  Of more groups, those that hold at least one in
+    ``most_broadcast`` of the rows cannot be more than that; their cutoffs are
+    broadcast and their rows decided where they are read.  Only rows of the
+    smaller groups, as far as their hash is no larger than the largest of these
+    cutoffs, are shuffled to meet theirs.
+    """
     hashed = df.where(F.col(f"`{group}`").isNotNull()).withColumn("h", row_hash(keys, seed))
-    cutoffs = hash_cutoffs(hashed, [group], F.rint(F.col("n") * (percentage / 100)))
-    return hashed.join(cutoffs, group).where(F.col("h") <= F.col("cutoff")).select(*df.columns)
+    cutoffs = hash_cutoffs(hashed, [group], F.rint(F.col("n") * (percentage / 100)), with_size=True)
+    found = cutoffs.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows")).first()
+
+    def taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+        joined = rows.join(cuts.select(group, "cutoff"), group)
+        return joined.where(F.col("h") <= F.col("cutoff")).select(*df.columns)
+
+    if found["groups"] <= most_broadcast:
+        return taken(hashed, F.broadcast(cutoffs))
+    is_large = F.col("n") * most_broadcast >= found["rows"]
+    large, small = cutoffs.where(is_large), cutoffs.where(~is_large)
+    decided = taken(hashed, F.broadcast(large))
+    highest = small.agg(F.max("cutoff").alias("h")).first()["h"]
+    if highest is None:
+        return decided
+    rest = hashed.where(F.col("h") <= F.lit(highest)).join(F.broadcast(large.select(group)), group, "left_anti")
+    return decided.unionAll(taken(rest, small))
 
 
 def time_balanced_sample(

@@ -26,15 +26,14 @@ SELECT *, row_number() OVER (ORDER BY {_HASH}) AS pos, count(*) OVER () AS n FRO
 
 def sample_random_sizes(spark, d):
     """Five samples of one hash order, found in one count of the rows."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    found = sampling.random_samples(lines, ["l_orderkey", "l_linenumber"], [50.0, 20.0, 8.0, 1.0, 0.0])
+    events = table(spark, d, "events").select("event_id", "user_id", "value")
+    found = sampling.random_samples(events, ["event_id"], [50.0, 20.0, 8.0, 1.0, 0.0])
     return reduce(DataFrame.unionByName, [rows.withColumn("percentage", F.lit(p)) for p, rows in found.items()])
 
 
-ORACLES["sample_random_sizes"] = """WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity, count(*) OVER () AS n,
-row_number() OVER (ORDER BY md5('42|' || length(CAST(l_orderkey AS VARCHAR)) || ':' || l_orderkey || '|'
-|| length(CAST(l_linenumber AS VARCHAR)) || ':' || l_linenumber)) AS pos FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_quantity, CAST(p AS DOUBLE) AS percentage
+ORACLES["sample_random_sizes"] = """WITH t AS (SELECT event_id, user_id, value, count(*) OVER () AS n,
+row_number() OVER (ORDER BY md5('42|' || length(CAST(event_id AS VARCHAR)) || ':' || event_id)) AS pos FROM events)
+SELECT event_id, user_id, value, CAST(p AS DOUBLE) AS percentage
 FROM t, (VALUES (50), (20), (8), (1), (0)) v(p) WHERE pos <= floor(n * p / 100)"""
 
 
@@ -87,6 +86,18 @@ SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {_HASH}) AS pos, co
 FROM orders) t WHERE pos <= round_even(n * 0.1, 0)"""
 
 
+def sample_stratified_uneven(spark, d):
+    """One group holds a third of the rows, thousands hold a few: large ones are decided where they are read."""
+    group = F.when(F.col("o_orderkey") % 3 == 0, F.lit(-1)).otherwise(F.col("o_custkey"))
+    orders = table(spark, d, "orders").select("o_orderkey", group.alias("g"))
+    return sampling.stratified_sample(orders, "g", _KEY, 15.0, most_broadcast=20)
+
+
+ORACLES["sample_stratified_uneven"] = f"""WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS g FROM orders)
+SELECT o_orderkey, g FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {_HASH}) AS pos, count(*) OVER (PARTITION BY g) AS n
+FROM t) u WHERE pos <= round_even(n * 0.15, 0)"""
+
+
 def sample_edge_cases(spark, d):
     """Orders whose status is missing for every 500th key."""
     orders = table(spark, d, "orders").select(

@@ -9,10 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topshare.operators import sampling
-from topshare.operators.profile import one_row
+from topshare.operators.profile import column_kinds, one_row
 from topshare.sources import files
 
 
+def chosen_columns(df: DataFrame, keys: Sequence[str] = ()) -> dict[str, str | None]:
+    """group, value and period as the samplers choose them (this starts a job); keys are left out.
+
+    The first column with repeated texts, the first measure, the last time column.
+    """
+    # One row per column.
+    found = sorted((r["position"], r["kind"], r["column_name"]) for r in column_kinds(df).collect())
+    named = {kind: [c for _, k, c in found if k == kind and c not in keys] for kind in ("group", "value", "time")}
+    first = {kind: next(iter(names), None) for kind, names in named.items()}
+    return {"group": first["group"], "value": first["value"], "period": named["time"][-1] if named["time"] else None}
+
+
 def write_samples(
     df: DataFrame,
     path: str,
@@ -21,13 +33,20 @@ def write_samples(
     value: str | None = None,
     period: str | None = None,
     seed: int = 42,
+    choose: bool = False,
 ) -> DataFrame:
     """Write each sample under ``path`` (this starts jobs) and return the manifest.
 
+    ``choose`` takes columns that are not given from :func:`chosen_columns`;
+    samples without their columns are left out.
+
     Manifest: name, description, n_rows, checksum (of the rows), n_columns,
     n_files, files_digest.  ``files.file_manifest`` lists the files.
     """
     spark = df.sparkSession
+    if choose:
+        picked = chosen_columns(df, keys)
+        group, value, period = group or picked["group"], value or picked["value"], period or picked["period"]
     columns = len(df.columns)
     random = sampling.random_samples(df, keys, [20, 10, 8, 5], seed)
     samples: dict[str, tuple[str, DataFrame]] = {
