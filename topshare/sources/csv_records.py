@@ -44,12 +44,14 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _split_states(lines: DataFrame) -> DataFrame:
-    """For each split that has lines: does it begin inside quotes."""
+    """For each split that has lines: does it begin inside quotes, and does its file end inside them."""
     quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
     parity = lines.groupBy(*_SPLIT).agg((F.sum(quotes) % 2).cast("boolean").alias("odd"))
     before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum(F.col("odd").cast("bigint")).over(before), F.lit(0)) % 2 == 1
-    return parity.select(*_SPLIT, inside.alias("inside"))
+    turns = F.sum(F.col("odd").cast("bigint"))
+    inside = F.coalesce(turns.over(before), F.lit(0)) % 2 == 1
+    stays_open = turns.over(Window.partitionBy("path")) % 2 == 1
+    return parity.select(*_SPLIT, inside.alias("inside"), stays_open.alias("stays_open"))
 
 
 def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +126,8 @@ def read_csv_records(spark: SparkSession, path: str | list[str], **options) -> D
     writers of this package do; what Spark calls ``escape`` other than the quote
     itself is not known here.  Every file has a header; the first one's names
     count.  A record with more or fewer fields is an error unless
-    ``mode="PERMISSIVE"`` is given; a quote that is never closed makes the rest
-    of its file one record, and so an error as a rule.  A line break inside
+    ``mode="PERMISSIVE"`` is given.  So is a file with a quote that is never
+    closed; with that mode the rest of it is one record.  A line break inside
     quotes stays as it is in the file; the carriage return of one that ends a
     record goes.  Records of nothing but white space are left out.
 
@@ -137,7 +139,10 @@ def read_csv_records(spark: SparkSession, path: str | list[str], **options) -> D
         raise ValueError(f"not an option here: {', '.join(sorted(unknown))}")
     lines = _lines(spark, path)
     states, _ = materialize(_split_states(lines), "csv-states")
-    if states.count() <= _SENT_SPLITS:
+    seen = states.agg(F.count(F.lit(1)).alias("splits"), F.max(F.when(F.col("stays_open"), F.col("path"))).alias("open")).first()
+    if seen["open"] is not None and options.get("mode", "FAILFAST").upper() != "PERMISSIVE":
+        raise ValueError(f"a quote is never closed in {seen['open']}")
+    if seen["splits"] <= _SENT_SPLITS:
         placed = lines.join(F.broadcast(states), _SPLIT)
     else:
         placed = lines.join(states, _SPLIT).repartition(*_SPLIT)
