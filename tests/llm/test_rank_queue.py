@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -106,3 +107,69 @@ def test_cases(spark, reference):
     assert sorted(bytes(r["back"]).decode() for r in found) == sorted(t or "" for _, t, _ in rows)
     assert all(r["ids"] == [] for r in found if r["doc_id"] in (1, 2))
     assert rank_queue.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+class Counted(dict):
+    """Ranks that count how often one is looked up."""
+
+    looked_up = 0
+
+    def get(self, *args):
+        self.looked_up += 1
+        return super().get(*args)
+
+
+def test_words_are_merged_by_the_bucket(reference):
+    # One by one, every merge looks up the ranks of two pairs, so the two look-ups of a word would be some ten.
+    rng = random.Random(5)
+    words = [" " + "".join(rng.choices(["th", "er", "on", "ing", "a", "ou", "st"], k=6)) for _ in range(5_000)]
+    bpe = rank_queue.RankQueueBPE(Counted(reference._mergeable_ranks), public_tokenizers.PATTERN)
+    bpe.merge([w.encode() for w in words[:100]])  # makes its tables
+    bpe._ranks.looked_up = 0
+    merged = bpe.merge([w.encode() for w in words])
+    assert bpe._ranks.looked_up < len(words)
+    assert [np.frombuffer(m, "<u4").tolist() for m in merged] == [reference.encode_ordinary(w) for w in words]
+
+
+@pytest.mark.parametrize("many", [1, 3, 24])
+def test_full_buckets_of_any_ranks(monkeypatch, many):
+    # Ranks in any order: a merge may make pairs that go before others of its bucket; runs of equal parts overlap.
+    monkeypatch.setattr(rank_queue, "MANY", many)
+    rng = random.Random(6)
+    for _ in range(15):
+        tokens = sorted({"".join(rng.choices("abc", k=rng.randrange(2, 7))) for _ in range(60)} | {"aa", "aaa"})
+        rng.shuffle(tokens)
+        ranks = {bytes([b]): b for b in range(256)} | {t.encode(): 256 + i for i, t in enumerate(tokens)}
+        bpe = rank_queue.RankQueueBPE(ranks, public_tokenizers.PATTERN)
+        known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        words = ["".join(rng.choices("abc", [5, 2, 1], k=rng.randrange(1, 30))) for _ in range(300)]
+        words += ["a" * n for n in range(1, 40)] + ["ab" * 300, "".join(rng.choices("abc", k=2_000))]
+        for texts in (words, [" ".join(words)]):
+            for text, found in zip(texts, bpe.encode_batch(texts)):
+                assert np.frombuffer(found, "<u4").tolist() == known.encode_ordinary(text), text
+
+
+def test_gathered_batches(monkeypatch):
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": ["x" * 100 * i]}) for i in range(8)]
+    monkeypatch.setattr(rank_queue, "GATHERED", 700)
+    groups = list(rank_queue._gathered(iter(batches)))
+    assert [b for g in groups for b in g] == batches and 2 < len(groups) < 8
+    assert all(len(g) == 1 or sum(b.nbytes for b in g) <= 700 for g in groups)
+    assert list(rank_queue._gathered(iter([]))) == []
+
+
+def test_ids_that_do_not_exist(reference):
+    bpe = rank_queue.encoder(PATH)
+    assert bpe.decode([]) == b"" and bpe.decode([0, 0]) == reference.decode_bytes([0, 0])
+    for wrong in (-1, 1 << 30):
+        with pytest.raises(LookupError):
+            bpe.decode([0, wrong])
+
+
+@pytest.mark.parametrize("shared", [1, 9, 100])
+def test_shares(monkeypatch, reference, shared):
+    monkeypatch.setattr(rank_queue, "SHARED", shared)
+    words = [" thingsther", "onersting", " a", "x" * 50, " erouth", "z", " thstou"]
+    found = rank_queue.encoder(PATH).merge([w.encode() for w in words])
+    assert [np.frombuffer(m, "<u4").tolist() for m in found] == [reference.encode_ordinary(w) for w in words]
+    assert rank_queue.encoder(PATH).merge([]) == []
