@@ -17,6 +17,15 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def batch_rows(spark):
+    """Each module begins with the session's own size of Arrow batches, which text operators make smaller."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    yield
+    spark.conf.set(key, before)
+
+
 @pytest.fixture(scope="session")
 def rows():
     """Rows of a frame as tuples in a stable order."""
